@@ -5,9 +5,10 @@ that many documents hold go last (``FREQUENT`` of them at most are told apart, a
 others by hash. Any order gives the same links; this one keeps lists short. Linked nodes share a prefix
 shingle, so the index lists hold every candidate pair:
 
-1. *Anchors.* Each node is compared with one hub, the list head with which it shares most prefix
-   shingles. A verified hub becomes its anchor, with the exact distance |x Δ anchor| kept, and both are
-   in one class. This is linear in the index, and large groups of near copies collapse here.
+1. *Anchors.* Each list has one head in a round, and each node is compared with one hub, the head of
+   another class with which it shares most prefix shingles. A verified hub can become its anchor, with
+   the exact distance |x Δ anchor| kept, and both are in one class. A round is linear in the index, and
+   large groups of near copies collapse in a few.
 2. *Anchor pairs.* Lists are cut into blocks by set size. Blocks whose sizes can't reach the threshold
    are skipped as a whole, entries too late in their sets to reach it are skipped by position, and
    entries of one class are skipped since a link inside a class tells nothing new. What is left gives
@@ -44,6 +45,8 @@ FREQUENT, FREQUENT_DF = 1 << 20, 8
 GATHERED, BUCKETS_EACH = 1 << 21, 4
 #: Set sizes of one block differ by less than this factor; only neighbouring blocks can link.
 BLOCK_BASE = 4 / 3
+#: Rounds of anchors at most; they end when fewer than one in ROUND_YIELD comparisons links.
+ROUNDS, ROUND_YIELD = 8, 20
 #: Ids of documents to fetch are broadcast up to this number of rows (16 bytes each), and joined by a shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
@@ -246,26 +249,35 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = stage(_index(docs, text_col, shingle, threshold, buckets), "index")
     hundred = 100 + threshold
 
-    # 1. one hub for each node
-    heads = index.groupBy("token").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("hn"), F.min_by("at", "node").alias("hat"))
-    met = index.join(heads, "token").where("node != head").groupBy("node", "head").agg(
-        F.count(F.lit(1)).alias("shared"), F.max("at").alias("at"), F.max("hat").alias("hat"), F.max("n").alias("n"), F.max("hn").alias("hn")
-    )
-    met = met.where(_reachable(threshold, F.col("shared"), F.col("n"), F.col("at"), F.col("hn"), F.col("hat")))
-    hubs = stage(met.groupBy("node").agg(F.max_by("head", "shared").alias("head")).select(F.col("node").alias("u"), F.col("head").alias("v")), "hubs")
-
-    entry = index.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BLOCK_BASE))).cast("int"))
     sets = lambda pairs: _node_sets(docs, pairs, nodes, id_col, text_col, shingle)
-    links = stage(_compare(hubs, sets(hubs)).where(_linked(threshold)).select("u", "v", (F.col("nu") + F.col("nv") - 2 * F.col("common")).alias("apart")).distinct(), "anchors")
-    roots = stage(components(links), "classes")
-    # anchors are nodes that have none themselves, or the node itself: one step up, whose distance is known
-    anchor = links.select(F.col("u").alias("node"), F.col("v").alias("anchor"), F.col("apart").alias("off"))
+    apart = (F.col("nu") + F.col("nv") - 2 * F.col("common")).alias("apart")
+
+    # 1. anchors: in each round one head for each list, and one head for each node
+    live = index.withColumn("root", F.col("node"))
+    links = None
+    for turn in range(ROUNDS):
+        key = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        heads = live.withColumn("k", key).groupBy("token").agg(
+            *(F.min_by(c, "k").alias(f"h{c}") for c in ("node", "n", "at", "root")), F.min("root").alias("r0"), F.max("root").alias("r1")
+        )
+        met = live.join(heads.where("r0 != r1").drop("r0", "r1"), "token").where("root != hroot").groupBy("node", "hnode").agg(
+            F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("n", "at", "hn", "hat"))
+        )
+        met = met.where(_reachable(threshold, F.col("shared"), F.col("n"), F.col("at"), F.col("hn"), F.col("hat")))
+        hubs = stage(met.groupBy("node").agg(F.max_by("hnode", "shared").alias("v")).select(F.col("node").alias("u"), "v"), "hubs")
+        fresh = stage(_compare(hubs, sets(hubs)).where(_linked(threshold)).select("u", "v", apart).distinct(), "anchors")
+        links = fresh if links is None else links.union(fresh)
+        roots = components(links)
+        live = stage(index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+        if fresh.count() * ROUND_YIELD <= hubs.count():
+            break
+    # of a node's verified heads its anchor is the one with most nodes; the distance to it is known
+    crowd = links.groupBy("v").agg(F.count(F.lit(1)).alias("crowd"))
+    anchor = links.join(crowd, "v").groupBy("u").agg(F.max_by("v", "crowd").alias("anchor"), F.max_by("apart", "crowd").alias("off")).withColumnRenamed("u", "node")
 
     # 2. pairs of anchors in lists, over blocks, positions and classes
-    placed = (
-        entry.join(anchor, "node", "left").join(roots, "node", "left")
-        .withColumns({"anchor": F.coalesce("anchor", "node"), "off": F.coalesce("off", F.lit(0)), "root": F.coalesce("root", "node")})
-    )
+    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BLOCK_BASE))).cast("int")
+    placed = live.join(anchor, "node", "left").withColumns({"anchor": F.coalesce("anchor", "node"), "off": F.coalesce("off", F.lit(0)), "block": block})
     placed = stage(placed, "placed")
 
     def across(entries: DataFrame, name: str) -> DataFrame:
@@ -284,8 +296,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     compared = stage(_compare(pairs, sets(pairs)).distinct(), "anchor-answers")
     links2 = compared.where(_linked(threshold)).select("u", "v")
 
-    # 3. members whose anchors' answer leaves them open
-    open_pairs = compared.where(~_linked(threshold)).select("u", "v", (F.col("nu") + F.col("nv") - 2 * F.col("common")).alias("apart"))
+    # 3. members whose anchors' answer leaves them open, in classes that are still apart
+    roots = components(links.select("u", "v").union(links2))
+    placed = placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_pairs = compared.where(~_linked(threshold)).select("u", "v", apart)
     one = placed.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("anchor").alias("u"), F.col("off").alias("ox"), F.col("root").alias("rx"))
     two = one.toDF("token", "z", "nz", "az", "v", "oz", "rz")
     reach = placed.groupBy("anchor").agg(F.max("off").alias("off"), F.max("n").alias("n"))
@@ -304,7 +318,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = stage(members, "members")
     links3 = _compare(members, sets(members)).where(_linked(threshold)).select("u", "v")
 
-    roots = components(links.select("u", "v").union(links2).union(links3))
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links3))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return joined.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
