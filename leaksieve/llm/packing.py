@@ -2,8 +2,8 @@
 
 Each task packs the documents of its own input split in their order, so no row moves: at 100 TB as on a
 laptop a task holds one block of tokens and the documents in it. Windows may end at document ends, at
-sentence ends for a small penalty, and inside a sentence for a large one where a sentence is longer than
-a window. Over the cut points p of a block
+sentence ends for a small penalty, and on a grid inside sentences for a large one, which pays where a
+sentence is long. Over the cut points p of a block
 
     f(j) = penalty(j) + window - p(j) + min { f(i) + p(i) : p(j) - p(i) <= window },
 
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID = 2048, 1
 #: Penalties of a cut, in tokens of padding: at a sentence's end, and inside a sentence.
-AT_SENTENCE, IN_SENTENCE = 4, 64
+AT_SENTENCE, IN_SENTENCE = 4, 32
 #: Tokens of a block at least, and words whose ids a worker remembers.
 BLOCK, REMEMBERED = 1 << 18, 1_000_000
+#: Tokens between the places inside sentences where a window may end.
+GRID = 16
 SENTENCE_ENDS = (".", "!", "?")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -74,11 +76,7 @@ class WordIds:
 def cut_points(tokens: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a block may be cut, with 0 first, and what each cut costs."""
     sentence = np.flatnonzero(np.isin(tokens, sentence_ids)) + 1
-    at = np.union1d(sentence, doc_ends)
-    gaps = np.diff(at, prepend=0)
-    long = np.flatnonzero(gaps > window)
-    forced = [np.arange(at[i] - gaps[i] + window, at[i], window) for i in long]
-    every = np.union1d(at, np.concatenate(forced)) if forced else at
+    every = np.union1d(np.union1d(sentence, doc_ends), np.arange(GRID, len(tokens), GRID))
     cost = np.where(np.isin(every, doc_ends, assume_unique=True), 0, np.where(np.isin(every, sentence, assume_unique=True), AT_SENTENCE, IN_SENTENCE))
     return np.r_[0, every], np.r_[0, cost]
 
