@@ -34,10 +34,12 @@ WINDOW, END_ID = 2048, 1
 #: Penalties of a cut, in tokens of padding: at a sentence's end, and inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 4, 32
 #: Tokens of a block at least, and words whose ids a worker remembers.
-BLOCK, REMEMBERED = 1 << 18, 1_000_000
+BLOCK, REMEMBERED = 1 << 18, 2_000_000
 #: Tokens between the places inside sentences where a window may end.
 GRID = 16
 SENTENCE_ENDS = (".", "!", "?")
+#: Characters that may part words in one text; the first that is one token does.
+MARKS = ("¬", "§", "¶", "|")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -60,16 +62,37 @@ class WordIds:
 
             memo["tokenizer"], memo["ids"] = Tokenizer.from_str(tokenizer_json), {}
             memo["tokenizer"].encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer, self.ids = memo["tokenizer"], memo["ids"]
+            memo["mark"] = next(((c, i[0]) for c in MARKS if len(i := memo["tokenizer"].encode(c, add_special_tokens=False).ids) == 1), None)
+        self.tokenizer, self.ids, self.mark = memo["tokenizer"], memo["ids"], memo["mark"]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Add the words' ids. Many words are one text for the tokenizer, parted by a mark that none of them holds."""
+        plain = words
+        if self.mark:
+            char, mark_id = self.mark
+            byte = char.encode()
+            joined = [w for w in words if byte not in w]
+            plain = [w for w in words if byte in w]
+            groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
+            texts = [f" {char} ".join(w.decode() for w in g) for g in groups]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                packed, ends = ids.tobytes(), np.r_[np.flatnonzero(ids == mark_id), len(ids)].tolist()
+                start = 0
+                for w, end in zip(g, ends, strict=True):
+                    self.ids[w] = packed[4 * start : 4 * end]
+                    start = end + 1
+        for w, e in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False), strict=True):
+            self.ids[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         ids = self.ids
         if len(ids) > REMEMBERED:
             ids.clear()
-        missing = [*{w for ws in words for w in ws if w not in ids}]
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            ids[w] = np.array(e.ids, "<u4").tobytes()
+        missing = set().union(*words).difference(ids)
+        if missing:
+            self._learn([*missing])
         return [b"".join(map(ids.__getitem__, ws)) for ws in words]
 
 
