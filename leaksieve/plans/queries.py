@@ -1,0 +1,326 @@
+"""The reference operators' queries and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import audit, baseline, detect, metrics, route
+from ..operators.rules import RULES, catalog
+from ..sources import diffs
+from ..sources.lines import ALLOW, EXCLUDE_DIRS, EXCLUDE_FILES, file_lines, snippet_lines
+from .corpus import lines, lines_sql, quoted
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippet_lines(_table(spark, sf_dir, "documents"), "text", F.col("doc_id"), "txt")
+
+
+# SQL parts ---------------------------------------------------------------------------------------------------------------
+
+DOC_LINES = """SELECT CAST(doc_id AS VARCHAR) AS unit_id, i AS line_no, parts[i] AS text FROM (
+    SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (
+        SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS parts FROM documents)), unnest(range(1, len(parts) + 1)) t(i)"""
+
+PLACEHOLDER = """(s LIKE 'test\\_%' ESCAPE '\\' OR s LIKE 'fake\\_%' ESCAPE '\\' OR lower(s) LIKE 'placeholder%' OR starts_with(s, '${') OR starts_with(s, '{{')
+    OR (starts_with(s, '<') AND ends_with(s, '>')) OR (lower(s) LIKE 'your%' AND lower(s) LIKE '%here') OR lower(s) IN ('changeme', 'xxx'))"""
+
+
+def hits_sql(source: str, cols: str) -> str:
+    """All hits of all rules in ``source``'s text: cols, rule_no, rule_id, tier, confidence, occurrence, s."""
+    one = "SELECT {c}, {n} AS rule_no, {i} AS rule_id, {t} AS tier, CAST({f} AS DOUBLE) AS confidence, k AS occurrence, m[k] AS s FROM (SELECT *, regexp_extract_all(text, {p}, {g}) AS m FROM {s} WHERE {gate}) x, unnest(range(1, len(m) + 1)) t(k)"
+    gate = lambda r: "(" + " OR ".join(f"contains(lower(text), {quoted(x)})" for x in r.gates) + ")"
+    return " UNION ALL ".join(one.format(c=cols, n=n, i=quoted(r.id), t=quoted(r.tier), f=r.confidence, p=quoted(r.pattern), g=r.group, s=source, gate=gate(r)) for n, r in enumerate(RULES))
+
+
+LINE_COLS = "unit_id, file, ext, line_no, text"
+SEAM_SQL = quoted(tx.SEAM)
+#: plain hits less placeholders, and of the collapsed text the first hit of each rule that found nothing before.
+FINDINGS = f"""WITH l AS ({lines_sql()}),
+    plain AS (SELECT *, false AS collapsed FROM ({hits_sql("l", LINE_COLS)}) WHERE NOT {PLACEHOLDER}),
+    flat AS (SELECT unit_id, file, ext, line_no, regexp_replace(text, {SEAM_SQL}, '', 'g') AS text FROM l WHERE regexp_matches(text, {SEAM_SQL})),
+    more AS (SELECT unit_id, file, ext, line_no, l.text, rule_no, rule_id, tier, confidence, occurrence, CAST(NULL AS VARCHAR) AS s, true AS collapsed
+             FROM ({hits_sql("flat", LINE_COLS)}) f JOIN (SELECT line_no, text FROM l) l USING (line_no)
+             WHERE occurrence = 1 AND NOT EXISTS (SELECT 1 FROM plain p WHERE p.line_no = f.line_no AND p.rule_no = f.rule_no)),
+    f AS (SELECT unit_id, file, ext, line_no, text, rule_no, rule_id, tier, confidence, occurrence, s, collapsed FROM plain UNION ALL
+          SELECT unit_id, file, ext, line_no, text, rule_no, rule_id, tier, confidence, occurrence, s, collapsed FROM more)
+"""
+BAND = "CASE WHEN confidence >= 0.8 THEN 'confirmed' WHEN confidence >= 0.4 THEN 'ambiguous' ELSE 'dropped' END"
+VERDICT = "CASE WHEN confidence = 0 OR tier IS NULL THEN 'allow' WHEN tier = 'T0' OR (tier = 'T1' AND confidence >= 0.7) THEN 'block' WHEN tier IN ('T1', 'T2') THEN 'warn' ELSE 'allow' END"
+SNIPPET = "substr(text, 1, 120)"
+FINGERPRINT = f"sha256(coalesce(file, '') || chr(0) || rule_id || chr(0) || coalesce(s, {SNIPPET}))"
+ORDER_SQL = "confidence DESC, file, line_no, CAST(collapsed AS INTEGER) * 1000000 + rule_no * 1000 + occurrence"
+
+ENTROPY = "round(list_aggregate(regexp_extract_all(hex(encode(token)), '..'), 'entropy'), 6)"
+THRESHOLD = "CASE ext " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in tx.EXT_THRESHOLDS.items()) + f" ELSE {tx.THRESHOLD} END"
+CONTEXT = "(" + " OR ".join(f"contains(lower(text), {quoted(w)})" for w in tx.SENSITIVE_CONTEXT) + ")"
+HARMLESS = f"""(regexp_matches(token, '^(iVBORw0KGgo|/9j/|data:|sha512-|sha256-|sha1-|\\$2[aby]\\$|\\$argon2|\\$scrypt\\$|http|/)')
+    OR (NOT {CONTEXT} AND strlen(token) IN (32, 40, 64, 128) AND regexp_full_match(token, '[0-9a-fA-F]+'))
+    OR regexp_full_match(token, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
+    OR (length(token) - length(replace(token, '.', '')) >= 2 AND regexp_full_match(token, '[A-Za-z0-9._+-]+')))"""
+TOKENS = f"""WITH l AS ({lines_sql()}), t AS (SELECT unit_id, ext, line_no, text, i - 1 AS token_no, p[i] AS token FROM (
+    SELECT *, regexp_split_to_array(text, {quoted(tx.TOKEN_SPLIT)}) AS p FROM l WHERE regexp_matches(text, '[=:]')), unnest(range(1, len(p) + 1)) u(i)
+    WHERE strlen(p[i]) >= 20), e AS (SELECT *, {ENTROPY} AS h, CAST({THRESHOLD} AS DOUBLE) AS threshold, {HARMLESS} AS harmless FROM t)
+"""
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.rule_findings(lines(spark, sf_dir).drop("template"), nfkc=False)
+
+
+# Sources -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT unit_id, CAST(line_no AS INTEGER) AS line_no, length(text) AS n FROM ({DOC_LINES})")
+def line_split(spark, sf_dir):
+    return _document_lines(spark, sf_dir).select("unit_id", "line_no", F.length("text").cast("long").alias("n"))
+
+
+@query(f"SELECT file, CAST(line_no AS INTEGER) AS line_no, text FROM ({lines_sql()}) WHERE template <> 5")
+def allow_marker(spark, sf_dir):
+    return lines(spark, sf_dir).where(~F.col("text").contains(ALLOW)).select("file", "line_no", "text")
+
+
+_PATHS = "SELECT p_partkey, ['src', 'vendor', 'node_modules', 'lib/vendored', 'a/build'][CAST(p_partkey % 5 AS INTEGER) + 1] || '/' || ['app.min.js', 'yarn.lock', 'x.py', '.env', 'app.map.ts', 'noext'][CAST(p_partkey % 6 AS INTEGER) + 1] AS path FROM part"
+
+
+@query(f"""SELECT p_partkey, path, len(list_intersect(string_split(path, '/'), {list(EXCLUDE_DIRS)})) > 0 OR ends_with(path, '.lock') OR ends_with(path, '.min.js') OR ends_with(path, '.map') AS skipped,
+    regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext FROM ({_PATHS})""")
+def path_excludes(spark, sf_dir):
+    k = F.col("p_partkey")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int") + 1)
+    path = F.concat(pick(["src", "vendor", "node_modules", "lib/vendored", "a/build"]), F.lit("/"), pick(["app.min.js", "yarn.lock", "x.py", ".env", "app.map.ts", "noext"]))
+    d = _table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return d.select("p_partkey", "path", tx.is_excluded(F.col("path"), EXCLUDE_DIRS, EXCLUDE_FILES).alias("skipped"), tx.extension(F.col("path")).alias("ext"))
+
+
+_SKIP = "CASE WHEN o_custkey % 7 = 0 AND o_orderkey % 3 = 0 THEN '# leaksieve:skip-file' ELSE 'x = ' || o_orderkey END"
+
+
+@query(f"""WITH f AS (SELECT o_custkey, string_agg({_SKIP}, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey)
+    SELECT 'd/' || o_custkey || '.py' AS file, CAST(i AS INTEGER) AS line_no, string_split(text, chr(10))[i] AS text FROM f, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i) WHERE NOT contains(text, 'leaksieve:skip-file')""")
+def skip_markers(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.when((c % 7 == 0) & (k % 3 == 0), "# leaksieve:skip-file").otherwise(F.concat(F.lit("x = "), k.cast("string")))
+    o = _table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", text.alias("t")).alias("x"))
+    files = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+    return file_lines(files.select(F.concat(F.lit("d/"), c.cast("string"), F.lit(".py")).alias("path"), "text")).select("file", "line_no", "text")
+
+
+# a diff for each customer: a file header for each seventh order, a hunk header for each third, else an added or a removed line
+_DIFF_ROW = """CASE WHEN rn % 7 = 1 THEN '+++ b/src/m' || (o_orderkey % 10) || '.py' WHEN rn % 3 = 1 THEN '@@ -1,0 +' || (o_orderkey % 500) || ',4 @@ def f'
+    WHEN o_orderkey % 4 = 0 THEN '-old ' || o_orderkey WHEN o_orderkey % 5 = 0 THEN ' same ' || o_orderkey ELSE '+new ' || o_orderkey END"""
+
+
+@query(f"""WITH d AS (SELECT o_custkey, rn, {_DIFF_ROW} AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)),
+    e AS (SELECT *, last_value(CASE WHEN text LIKE '+++ b/%' THEN substr(text, 7) END IGNORE NULLS) OVER w AS file, sum(CASE WHEN text LIKE '+++ b/%' OR text LIKE '@@ %' THEN 1 ELSE 0 END) OVER w AS hunk FROM d WINDOW w AS (PARTITION BY o_custkey ORDER BY rn)),
+    n AS (SELECT *, coalesce(max(CASE WHEN text LIKE '@@ %' THEN CAST(regexp_extract(text, '\\+([0-9]+)', 1) AS INTEGER) END) OVER h, 0) + sum(CASE WHEN text NOT LIKE '+++ b/%' AND (text LIKE '+%' OR text LIKE ' %') THEN 1 ELSE 0 END) OVER h - 1 AS line_no FROM e WINDOW h AS (PARTITION BY o_custkey, hunk ORDER BY rn))
+    SELECT CAST(o_custkey AS VARCHAR) AS unit_id, file, CAST(line_no AS INTEGER) AS line_no, substr(text, 2) AS text FROM n WHERE text LIKE '+%' AND text NOT LIKE '+++ b/%' AND file IS NOT NULL""")
+def diff_line_numbers(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    o = _table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    s = lambda c: c.cast("string")
+    text = (
+        F.when(F.col("rn") % 7 == 1, F.concat(F.lit("+++ b/src/m"), s(k % 10), F.lit(".py"))).when(F.col("rn") % 3 == 1, F.concat(F.lit("@@ -1,0 +"), s(k % 500), F.lit(",4 @@ def f")))
+        .when(k % 4 == 0, F.concat(F.lit("-old "), s(k))).when(k % 5 == 0, F.concat(F.lit(" same "), s(k))).otherwise(F.concat(F.lit("+new "), s(k)))
+    )
+    rows = o.select(s(F.col("o_custkey")).alias("unit_id"), F.col("rn").alias("pos"), text.alias("text"))
+    return diffs.added_lines(rows).select("unit_id", "file", "line_no", "text")
+
+
+# Rules -------------------------------------------------------------------------------------------------------------------
+
+_CATALOG = ", ".join(f"({n}, {quoted(r.id)}, {quoted(r.tier)})" for n, r in enumerate(RULES))
+
+
+@query(f"""WITH l AS (SELECT unit_id, CAST(NULL AS VARCHAR) AS file, '' AS ext, line_no, text FROM ({DOC_LINES})), c(rule_no, rule_id, tier) AS (VALUES {_CATALOG}),
+    h AS (SELECT rule_no, count(*) AS n FROM ({hits_sql("l", LINE_COLS)}) WHERE NOT {PLACEHOLDER} GROUP BY rule_no)
+    SELECT rule_id, tier, coalesce(n, 0) AS n_hits FROM c LEFT JOIN h USING (rule_no)""")
+def rule_hits_in_documents(spark, sf_dir):
+    """The flagship: hits of every rule of the catalog in all lines of ``documents``."""
+    hits = detect.rule_hits(_document_lines(spark, sf_dir)).where(~F.col("collapsed")).groupBy("rule_no").agg(F.count(F.lit(1)).alias("n"))
+    return catalog(spark).join(hits, "rule_no", "left").select("rule_id", "tier", F.coalesce("n", F.lit(0)).alias("n_hits"))
+
+
+@query(FINDINGS + "SELECT line_no, rule_id, CAST(occurrence AS INTEGER) AS occurrence, collapsed, s AS secret FROM f")
+def all_matches(spark, sf_dir):
+    h = detect.rule_hits(lines(spark, sf_dir), nfkc=False)
+    return h.join(F.broadcast(catalog(spark).select("rule_no", "rule_id")), "rule_no").select("line_no", "rule_id", "occurrence", "collapsed", "secret")  # the catalog is 72 rows
+
+
+@query(FINDINGS + "SELECT rule_id, count(*) AS n FROM f WHERE collapsed GROUP BY rule_id")
+def seam_reassembly(spark, sf_dir):
+    return _findings(spark, sf_dir).where("match_ord >= 1000000").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH v AS (SELECT p_partkey, ['test_abc', 'xTEST_', 'placeholder1', '${{V}}', '{{{{v}}}}', '<' || p_name || '>', 'your-key-here', 'CHANGEME', 'xxx', 'xxxx', p_name][CAST(p_partkey % 11 AS INTEGER) + 1] AS s FROM part) SELECT p_partkey, {PLACEHOLDER} AS placeholder FROM v")
+def placeholder_filter(spark, sf_dir):
+    options = [*map(F.lit, ("test_abc", "xTEST_", "placeholder1", "${V}", "{{v}}")), F.concat(F.lit("<"), "p_name", F.lit(">")), *map(F.lit, ("your-key-here", "CHANGEME", "xxx", "xxxx")), F.col("p_name")]
+    value = F.element_at(F.array(*options), (F.col("p_partkey") % 11).cast("int") + 1)
+    return _table(spark, sf_dir, "part").select("p_partkey", tx.is_placeholder(value).alias("placeholder"))
+
+
+# Entropy -----------------------------------------------------------------------------------------------------------------
+
+
+@query(TOKENS + "SELECT line_no, CAST(token_no AS INTEGER) AS token_no, token, h, threshold, harmless FROM e")
+def entropy_tokens(spark, sf_dir):
+    return detect.entropy_tokens(lines(spark, sf_dir)).select("line_no", "token_no", "token", F.round("h", 6).alias("h"), "threshold", "harmless")
+
+
+@query(TOKENS + """, r AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY h DESC, token_no) AS rn FROM e WHERE NOT harmless AND h >= threshold)
+    SELECT line_no, token AS secret, round(least((h - threshold) / 2, 1.0) * 0.7 + 0.3, 5) AS confidence FROM r WHERE rn = 1""")
+def entropy_best_per_line(spark, sf_dir):
+    return detect.entropy_findings(lines(spark, sf_dir).drop("template")).select("line_no", "secret", F.round("confidence", 5).alias("confidence"))
+
+
+@query(f"SELECT ext, CAST({THRESHOLD} AS DOUBLE) AS threshold, count(*) AS n FROM ({lines_sql()}) GROUP BY ext")
+def ext_threshold(spark, sf_dir):
+    return lines(spark, sf_dir).groupBy("ext").agg(F.count(F.lit(1)).alias("n")).select("ext", tx.threshold(F.col("ext")).alias("threshold"), "n")
+
+
+# Routing -----------------------------------------------------------------------------------------------------------------
+
+
+@query(FINDINGS + f"SELECT {BAND} AS band, {VERDICT} AS verdict, count(*) AS n FROM f GROUP BY ALL")
+def band_and_verdict(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    return f.groupBy(route.band(F.col("confidence")).alias("band"), route.verdict(F.col("tier"), F.col("confidence")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(FINDINGS + f", r AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY {ORDER_SQL}) AS rank FROM f WHERE {BAND} = 'ambiguous') SELECT unit_id, line_no, rule_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+def top3_per_unit(spark, sf_dir):
+    return route.to_adjudicate(_findings(spark, sf_dir)).select("unit_id", "line_no", "rule_id", "rank")
+
+
+@query(FINDINGS + f""", r AS (SELECT *, CASE WHEN {BAND} = 'ambiguous' THEN row_number() OVER (PARTITION BY unit_id, {BAND} ORDER BY {ORDER_SQL}) END AS rank FROM f),
+    j AS (SELECT *, CASE WHEN rank <= 3 THEN CASE line_no % 3 WHEN 0 THEN 'leak' WHEN 1 THEN 'clean' ELSE 'skipped' END END AS said FROM r)
+    SELECT line_no, rule_id, CASE WHEN said = 'leak' THEN 0.85 ELSE confidence END AS confidence, CASE WHEN said = 'leak' THEN 'semantic' ELSE 'regex' END AS layer, coalesce(said = 'skipped', false) AS ai_skipped FROM j WHERE said IS NULL OR said <> 'clean'""")
+def adjudicated(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    answer = F.when(F.col("line_no") % 3 == 0, "leak").when(F.col("line_no") % 3 == 1, "clean")
+    labels = route.to_adjudicate(f).select(*route.KEY, answer.alias("label"))
+    return route.routed(f, labels).select("line_no", "rule_id", "confidence", "layer", "ai_skipped")
+
+
+@query(FINDINGS + "SELECT unit_id, tier, count(*) AS n FROM f GROUP BY ALL")
+def tier_counts(spark, sf_dir):
+    return route.tier_counts(_findings(spark, sf_dir), "unit_id")
+
+
+@query(FINDINGS + f"SELECT unit_id, CAST(max(CASE WHEN tier = 'T2' OR {VERDICT} = 'block' THEN 1 ELSE 0 END) AS INTEGER) AS exit_code FROM f GROUP BY unit_id")
+def exit_codes(spark, sf_dir):
+    return route.exit_codes(_findings(spark, sf_dir), ["t2"])
+
+
+# Baseline, redaction, reports --------------------------------------------------------------------------------------------
+
+
+@query(FINDINGS + f"SELECT line_no, rule_id, {FINGERPRINT} AS fingerprint FROM f")
+def fingerprints(spark, sf_dir):
+    return baseline.with_fingerprint(_findings(spark, sf_dir)).select("line_no", "rule_id", "fingerprint")
+
+
+@query(FINDINGS + f", b AS (SELECT DISTINCT {FINGERPRINT} AS p FROM f WHERE line_no % 2 = 0) SELECT line_no, rule_id FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE p = {FINGERPRINT})")
+def baseline_suppress(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    return baseline.suppress(f, baseline.baseline_of(f.where("line_no % 2 = 0"))).select("line_no", "rule_id")
+
+
+@query(FINDINGS + ", b AS (SELECT DISTINCT rule_id, file FROM f WHERE s IS NOT NULL) SELECT count(*) AS n_reported FROM f WHERE s IS NOT NULL")
+def rotated_secrets(spark, sf_dir):
+    """Every changed secret is reported again: a baseline of other secrets of the same files and rules holds none back."""
+    f = _findings(spark, sf_dir).where("secret is not null")
+    other = f.withColumn("secret", F.concat("secret", F.lit("-old")))
+    return baseline.suppress(f, baseline.baseline_of(other)).agg(F.count(F.lit(1)).alias("n_reported"))
+
+
+@query(f"""WITH l AS ({lines_sql()}), h AS (SELECT *, regexp_extract(text, 'password = "([^"]*)"', 1) AS s FROM l)
+    SELECT line_no, CASE WHEN s <> '' THEN substr(text, 1, instr(text, s) - 1) || 'REDACTED_PASSWORD_IN_CODE_1' || substr(text, instr(text, s) + length(s)) ELSE text END AS text FROM h""")
+def redact_lines(spark, sf_dir):
+    secret = F.regexp_extract("text", 'password = "([^"]*)"', 1)
+    return lines(spark, sf_dir).select("line_no", baseline.replace_first(F.col("text"), secret, F.lit("REDACTED_PASSWORD_IN_CODE_1")).alias("text"))
+
+
+@query(FINDINGS + f"SELECT rule_id, CASE tier WHEN 'T0' THEN 'error' WHEN 'T1' THEN 'warning' WHEN 'T2' THEN 'note' ELSE 'none' END AS level, '[' || tier || '] ' || replace(rule_id, '_', ' ') AS message, file AS uri, greatest(line_no, 1) AS start_line, {FINGERPRINT} AS fingerprint FROM f")
+def sarif_results(spark, sf_dir):
+    return baseline.sarif_results(_findings(spark, sf_dir))
+
+
+@query(FINDINGS + "SELECT DISTINCT rule_id, replace(rule_id, '_', ' ') AS description FROM f")
+def sarif_rules(spark, sf_dir):
+    return baseline.sarif_rules(_findings(spark, sf_dir))
+
+
+# Measures and the audit chain --------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS unit_id, toxic = 1 AS leak, doc_id % 3 = 0 AS secret, quality = 1 AS hit FROM labels)
+    SELECT count(*) FILTER (leak AND hit) AS tp, count(*) FILTER (leak AND NOT hit) AS fn, count(*) FILTER (NOT leak AND hit) AS fp, count(*) FILTER (NOT leak AND NOT hit) AS tn,
+    count(*) FILTER (leak AND secret) AS n_secret, count(*) FILTER (leak AND secret AND hit) AS tp_secret, count(*) FILTER (leak AND NOT secret) AS n_ip, count(*) FILTER (leak AND NOT secret AND hit) AS tp_ip,
+    round(coalesce(tp / nullif(tp + fp, 0), 0.0), 3) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 3) AS recall, round(coalesce(fp / nullif(fp + tn, 0), 0.0), 3) AS fpr,
+    round(coalesce(tp_secret / nullif(n_secret, 0), 0.0), 3) AS secret_recall, round(coalesce(tp_ip / nullif(n_ip, 0), 0.0), 3) AS ip_recall FROM s""")
+def bench_confusion(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels")
+    unit = F.col("doc_id").cast("string").alias("unit_id")
+    samples = labels.select(unit, F.when(F.col("toxic") == 1, "LEAK").otherwise("clean").alias("label"), F.when(F.col("doc_id") % 3 == 0, "secret").alias("category"))
+    return metrics.confusion(samples, labels.where("quality = 1").select(unit))
+
+
+@query("""WITH r AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_orderpriority)
+    SELECT o_orderpriority, v[CAST(floor((len(v) - 1) * 0.5 + 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor((len(v) - 1) * 0.95 + 0.5) AS BIGINT) + 1] AS p95 FROM r""")
+def nearest_rank_percentile(spark, sf_dir):
+    return metrics.nearest_rank(_table(spark, sf_dir, "orders"), "o_totalprice", {"p50": 0.5, "p95": 0.95}, by="o_orderpriority")
+
+
+_ENTRY = """'{"seq":' || seq || ',"timestamp":"2024-01-01T00:00:00Z","event":"BLOCK","file":"a.py","tier":' || CASE WHEN seq % 4 = 0 THEN 'null' ELSE '"T0"' END || ',"layer":"regex","verdict":"T0","prev_hash":"' || prev || '","hmac":"x"}'"""
+
+
+@query(f"""WITH e AS (SELECT c_nationkey AS chain, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS seq, c_custkey FROM customer),
+    p AS (SELECT *, CASE WHEN seq = 0 THEN 'genesis' ELSE sha256(CAST(c_custkey AS VARCHAR)) END AS prev FROM e), j AS (SELECT *, sha256({_ENTRY}) AS own FROM p)
+    SELECT chain, seq, coalesce(prev = coalesce(lag(own) OVER (PARTITION BY chain ORDER BY seq), 'genesis'), false) AS linked, own AS entry_hash FROM j""")
+def audit_link_check(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    d = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("chain"), (F.row_number().over(w) - 1).cast("long").alias("seq"), "c_custkey")
+    none = F.lit(None).cast("string")
+    d = d.select("chain", "seq", F.col("seq").alias("line_no"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit("BLOCK").alias("event"), F.lit("a.py").alias("file"), F.when(F.col("seq") % 4 != 0, "T0").alias("tier"), F.lit("regex").alias("layer"), F.lit("T0").alias("verdict"), none.alias("version"), F.lit(None).cast("long").alias("scan_duration_ms"), none.alias("ai_layer"), F.when(F.col("seq") == 0, audit.GENESIS).otherwise(F.sha2(F.col("c_custkey").cast("string"), 256)).alias("prev_hash"), F.lit("x").alias("hmac"))
+    return audit.checked(d, b"key", "chain").select("chain", "seq", "linked", audit.entry_hash().alias("entry_hash"))
+
+
+# Bindings, and the whole scan: past SQL ----------------------------------------------------------------------------------
+
+
+@query()
+def sensitive_bindings(spark, sf_dir):
+    return detect.binding_findings(lines(spark, sf_dir).drop("template")).select("file", "line_no", "redacted", "confidence")
+
+
+@query()
+def full_scan(spark, sf_dir):
+    f = detect.scan_lines(lines(spark, sf_dir).where(~F.col("text").contains(ALLOW)).drop("template"))
+    return route.routed(f).drop("secret")
