@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import exact_dedup, pii, quality
+from leaksieve.llm import exact_dedup, ngram_join, packing, pii, quality
 from leaksieve.llm.common import stage, table
 
 
@@ -18,12 +19,29 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similarity join, the one with the smallest id stays."""
+    return ngram_join.keep_one_of_each(docs).select(*docs.columns)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind's name."""
     return pii.redact(docs).select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("personal data", personal_data)]
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("n-gram jaccard join", near_copies),
+    ("personal data", personal_data),
+    ("packing", packed_sequences),
+]
+#: Shingle sets, Luhn sums inside texts and a tokenizer's ids together are past SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

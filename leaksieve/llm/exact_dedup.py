@@ -23,8 +23,8 @@ from .common import WHITE_SPACE, stage, whole_text
 
 #: Tasks over which one hot text is merged before its winners meet.
 SALTS = 16
-#: Dropped ids are broadcast up to this number of rows (16 bytes each), and joined by a shuffle beyond it.
-BROADCAST_ROWS = 1_000_000
+#: Rows that go (an id and a digest, about 100 bytes) are broadcast up to this number, and joined by a shuffle beyond it.
+BROADCAST_ROWS = 200_000
 
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,13 +57,18 @@ def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Needs ids that name one row each, as those of ``documents`` do; rows that repeat an id *and* its
-    text stay together.
-    """
+    """The rows of ``docs`` that stay, with all their columns: one row for each distinct text."""
     labels = label_documents(docs, id_col, text_col)
-    dropped = labels.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, id_col, "left_anti")
+    lost = labels.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_tie")).distinct()
+    sizes = lost.agg(F.count(F.lit(1)).alias("n"), F.max("_tie").alias("ties")).first()
+    small = F.broadcast if sizes["n"] <= BROADCAST_ROWS else lambda x: x
+    sha = F.sha2(F.regexp_replace(whole_text(text_col), WHITE_SPACE, " "), 256)
+    rows = docs.withColumn("_leaksieve_sha", sha)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_leaksieve_sha") == F.col("_sha"))
+    # a row that lost to a smaller id goes; rows that repeat the id that stays are cut to one
+    out = rows.join(small(lost.where("not _tie")), same, "left_anti")
+    if sizes["ties"]:
+        ties = lost.where("_tie")
+        once = out.join(small(ties), same, "left_semi").dropDuplicates([id_col, "_leaksieve_sha"])
+        out = out.join(small(ties), same, "left_anti").unionByName(once)
+    return out.drop("_leaksieve_sha")
