@@ -14,7 +14,6 @@ from ..functions.text import FLAGS, MIN_TOKEN_BYTES, SEAM, THRESHOLD, TOKEN_SPLI
 from .bindings import LANGUAGES, SENSITIVE_NAMES, bindings_in
 from .rules import REDACTED, RULES, Rule
 
-HIT = "struct<rule_no:int,occurrence:int,collapsed:boolean,secret:string>"
 #: Characters that compatibility normalisation may change: all but ASCII, Latin letters, Greek, Cyrillic and Hebrew.
 MAY_CHANGE = r"[^\x00-\x7Fµ¶·¿¡«»§°±À-ÿĀ-ĿŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ʯΑ-ΡΣ-ώЀ-ӿא-ת–—‘’“”€]|[µ]"
 
@@ -30,47 +29,44 @@ def normalised(lines: DataFrame) -> DataFrame:
     return lines.where(~odd).withColumn("view", F.col("text")).unionByName(lines.where(odd).withColumn("view", _nfkc("text")))
 
 
-def _gate(low: Column, rule: Rule) -> Column:
-    out = F.lit(False)
-    for g in rule.gates:
-        out = out | (low.contains(g) if g else F.lit(True))
-    return out
+def _candidates(low: Column, rules: Sequence[Rule]) -> Column:
+    """The numbers of the rules of which the text holds a literal."""
 
+    def gate(rule: Rule) -> Column:
+        out = F.lit(False)
+        for g in rule.gates:
+            out = out | (low.contains(g) if g else F.lit(True))
+        return out
 
-def _rule_hits(text: Column, low: Column, no: int, rule: Rule, collapsed: bool) -> Column:
-    """Hits of one rule in a text. Its pattern only runs where one of its literals stands."""
-    found = F.regexp_extract_all(text, F.lit(FLAGS + rule.pattern), F.lit(rule.group))
+    return F.array_compact(F.array(*(F.when(gate(r), F.lit(n)) for n, r in enumerate(rules))))
 
-    def hit(x: Column, i: Column) -> Column:
-        secret = F.lit(None).cast("string") if collapsed else x
-        return F.struct(F.lit(no).alias("rule_no"), (i + 1).alias("occurrence"), F.lit(collapsed).alias("collapsed"), secret.alias("secret"))
 
-    # of the collapsed view only the first hit counts
-    hits = F.transform(F.slice(found, 1, 1) if collapsed else found, hit)
-    return F.when(_gate(low, rule), hits.cast(f"array<{HIT}>")).otherwise(F.array().cast(f"array<{HIT}>"))
+def _found(text: Column, rules: Sequence[Rule]) -> Column:
+    """All that the row's rule finds in a text. Each pattern is a constant, so it is compiled once."""
+    out = None
+    for n, r in enumerate(rules):
+        hits = F.regexp_extract_all(text, F.lit(FLAGS + r.pattern), F.lit(r.group))
+        out = F.when(F.col("rule_no") == n, hits) if out is None else out.when(F.col("rule_no") == n, hits)
+    return out
 
 
 def rule_hits(lines: DataFrame, rules: Sequence[Rule] = RULES, nfkc: bool = True) -> DataFrame:
     """One row per hit of a rule in a line: the line's columns, rule_no, occurrence, collapsed and secret.
 
-    Texts that lack every rule's literals are passed over before anything else runs. A line whose strings
-    are joined is looked at once more with the joints gone, for rules that found nothing in it as it is.
+    A line meets only the rules of which it holds a literal, and most lines hold none. A line whose strings
+    are joined is looked at once more with the joints gone: of a rule that found nothing in it as it is,
+    the first hit counts, without a secret. Placeholders don't count, but keep their number.
     """
-    viewed = normalised(lines) if nfkc else lines.withColumn("view", F.col("text"))
-    literals = sorted({g for r in rules for g in r.gates})
-    low = F.lower("view")
-    any_literal = F.lit(False)
-    for g in literals:
-        any_literal = any_literal | low.contains(g)
-    d = viewed.where(any_literal).withColumn("_low", low)
+    d = normalised(lines) if nfkc else lines.withColumn("view", F.col("text"))
     d = d.withColumn("_flat", F.when(F.col("view").rlike(SEAM), F.regexp_replace("view", SEAM, "")))
-    plain = F.flatten(F.array(*(_rule_hits(F.col("view"), F.col("_low"), n, r, False) for n, r in enumerate(rules))))
-    d = d.withColumn("_plain", F.filter(plain, lambda h: ~F.coalesce(is_placeholder(h["secret"]), F.lit(False))))
-    again = F.flatten(F.array(*(_rule_hits(F.col("_flat"), F.lower("_flat"), n, r, True) for n, r in enumerate(rules))))
-    fresh = F.filter(again, lambda h: ~F.exists("_plain", lambda p: p["rule_no"] == h["rule_no"]))
-    d = d.withColumn("_more", F.when(F.col("_flat").isNotNull(), fresh).otherwise(F.array().cast(f"array<{HIT}>")))
-    out = d.select(*lines.columns, F.explode(F.concat("_plain", "_more")).alias("h"))
-    return out.select(*lines.columns, "h.*")
+    d = d.withColumn("rule_no", F.explode(_candidates(F.lower(F.concat_ws("\n", "view", "_flat")), rules)))
+    d = d.withColumn("_plain", _found(F.col("view"), rules))
+    plain = F.transform("_plain", lambda x, i: F.struct((i + 1).alias("occurrence"), F.lit(False).alias("collapsed"), x.alias("secret")))
+    d = d.withColumn("_kept", F.filter(plain, lambda h: ~F.coalesce(is_placeholder(h["secret"]), F.lit(False))))
+    again = F.size("_kept") == 0
+    d = d.withColumn("_again", F.when(again & F.col("_flat").isNotNull(), F.size(_found(F.col("_flat"), rules))).otherwise(0))
+    once = F.array(F.struct(F.lit(1).alias("occurrence"), F.lit(True).alias("collapsed"), F.lit(None).cast("string").alias("secret")))
+    return d.select(*lines.columns, "rule_no", F.explode(F.when(F.col("_again") > 0, once).otherwise(F.col("_kept"))).alias("h")).select(*lines.columns, "rule_no", "h.*")
 
 
 def _lookup(rules: Sequence[Rule], value) -> Column:

@@ -72,7 +72,7 @@ SNIPPET = "substr(text, 1, 120)"
 FINGERPRINT = f"sha256(coalesce(file, '') || chr(0) || rule_id || chr(0) || coalesce(s, {SNIPPET}))"
 ORDER_SQL = "confidence DESC, file, line_no, CAST(collapsed AS INTEGER) * 1000000 + rule_no * 1000 + occurrence"
 
-ENTROPY = "round(list_aggregate(regexp_extract_all(hex(encode(token)), '..'), 'entropy'), 6)"
+ENTROPY = "list_aggregate(regexp_extract_all(hex(encode(token)), '..'), 'entropy')"
 THRESHOLD = "CASE ext " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in tx.EXT_THRESHOLDS.items()) + f" ELSE {tx.THRESHOLD} END"
 CONTEXT = "(" + " OR ".join(f"contains(lower(text), {quoted(w)})" for w in tx.SENSITIVE_CONTEXT) + ")"
 HARMLESS = f"""(regexp_matches(token, '^(iVBORw0KGgo|/9j/|data:|sha512-|sha256-|sha1-|\\$2[aby]\\$|\\$argon2|\\$scrypt\\$|http|/)')
@@ -186,15 +186,15 @@ def placeholder_filter(spark, sf_dir):
 # Entropy -----------------------------------------------------------------------------------------------------------------
 
 
-@query(TOKENS + "SELECT line_no, CAST(token_no AS INTEGER) AS token_no, token, h, threshold, harmless FROM e")
+@query(TOKENS + "SELECT line_no, CAST(token_no AS INTEGER) AS token_no, token, round(h, 6) AS h, threshold, harmless FROM e")
 def entropy_tokens(spark, sf_dir):
     return detect.entropy_tokens(lines(spark, sf_dir)).select("line_no", "token_no", "token", F.round("h", 6).alias("h"), "threshold", "harmless")
 
 
-@query(TOKENS + """, r AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY h DESC, token_no) AS rn FROM e WHERE NOT harmless AND h >= threshold)
-    SELECT line_no, token AS secret, round(least((h - threshold) / 2, 1.0) * 0.7 + 0.3, 5) AS confidence FROM r WHERE rn = 1""")
+@query(TOKENS + """, r AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY round(h, 9) DESC, token_no) AS rn FROM e WHERE NOT harmless AND h >= threshold)
+    SELECT line_no, token AS secret, round(least((h - threshold) / 2, 1.0) * 0.7 + 0.3, 6) AS confidence FROM r WHERE rn = 1""")
 def entropy_best_per_line(spark, sf_dir):
-    return detect.entropy_findings(lines(spark, sf_dir).drop("template")).select("line_no", "secret", F.round("confidence", 5).alias("confidence"))
+    return detect.entropy_findings(lines(spark, sf_dir).drop("template")).select("line_no", "secret", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"SELECT ext, CAST({THRESHOLD} AS DOUBLE) AS threshold, count(*) AS n FROM ({lines_sql()}) GROUP BY ext")
