@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, line_dedup, ngram_join, packing, pii, quality, sentencepiece_scan, sharding, toxicity
+from . import exact_dedup, html_extract, line_dedup, ngram_join, oracles, packing, pii, quality, sentencepiece_scan, sharding, toxicity
 from .common import table
 
 
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

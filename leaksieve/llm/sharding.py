@@ -5,8 +5,9 @@ highest for it. A shard that is added can only win records for itself; one that
 its own. A shard of weight w gets a share of w / sum of the weights.
 
 Defined results: a null key hashes as the empty key, and repeated keys go to one shard; a null text
-has no bytes. Shards of weight 0 or less get no rows. Slots number the rows of a shard without gaps;
-their order is that of a hash and isn't kept between runs, shards are. An empty table gives no rows.
+has no bytes. Shards of weight 0 or less get no rows. Slots number the rows of a shard without gaps,
+in the order of a hash, then key, checksum and size; rows equal in all of these are interchangeable. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import stage, whole_text
 
 SHARDS = 16
-#: Buckets that number their rows apart, in each shard.
-BUCKETS = 1024
+#: Hexadecimal digits of the hash by which a shard's rows fall into buckets that number theirs apart: 4096 of them.
+BUCKET_DIGITS = 3
 #: Bits of the hash that a score is made of, all exact in a double.
 SCORE_BITS = 52
 
@@ -47,15 +48,15 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, a
         shard_of(key, weights).cast("int").alias("shard"),
         shard_of(key, [*weights, *added]).cast("int").alias("grown_shard"),
     )
-    # the reading task is part of the bucket, so that rows that repeat a key and its text spread too
-    bucket = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.spark_partition_id()), F.lit(BUCKETS)).cast("int")
-    rows = stage(rows.withColumn("bucket", bucket), "sharding")
+    # size and checksum are part of the bucket, so that rows that only share a key spread
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), "size", "text_crc32")
+    rows = stage(rows.withColumn("bucket", F.substring(F.md5(name), 1, BUCKET_DIGITS)), "sharding")
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("i", F.row_number().over(within).cast("long") - 1)
-    # starts has at most shards x BUCKETS rows, whatever the input
+    # starts has at most 4096 rows for each shard, whatever the input
     return numbered.join(F.broadcast(starts), ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("i")).alias("slot"), "grown_shard"
     )
