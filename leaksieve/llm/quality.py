@@ -99,7 +99,7 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     """Rules over the BASE columns and the text. Each rejects plain junk; clean prose passes all."""
     text, words = whole_text(text_col), F.col("n_words")
     lines = F.size(F.split(text, "\n", -1))
-    mean = F.col("word_chars") / words
+    mean = F.col("word_chars") / F.nullif(words, F.lit(0))
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     return [
         Rule("few_words", words < MIN_WORDS),
