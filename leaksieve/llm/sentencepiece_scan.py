@@ -12,7 +12,9 @@ chunks can be solved apart.
 * Each chunk is then traced back between its two states, apart from all others.
 
 A short text is one chunk. Inside a chunk no token crosses from a letter to a following space mark, if the
-vocabulary has none that does; the segments between such places repeat, and a worker remembers theirs.
+vocabulary has none that does: a segment between such places has one entry and one exit state, so its path
+is that of the model's merges, and as segments repeat a worker remembers theirs. The lattice is walked from
+a boundary to the first such place, and through whole chunks that have none.
 
 The matrices of a text are combined in one task: a few hundred bytes for each ``CHUNK`` characters, and a
 text is one row, so at most 2 GB. Texts, ids and traces stay spread by chunk.
@@ -29,6 +31,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -37,13 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import sliced, stage
 
 SPACE = "▁"
 #: Code points of a chunk, and segments that a worker remembers.
-CHUNK, REMEMBERED = 16_384, 1_000_000
+CHUNK, REMEMBERED = 16_384, 400_000
+#: Texts or chunks that a task holds together.
+AT_ONCE = 200
 State = tuple[int, int]
 START: State = (0, 0)
+NEVER = float("inf")
 
 
 class Pieces:
@@ -56,9 +62,10 @@ class Pieces:
         proto.ParseFromString(model)
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.rank = {p.piece: -p.score for p in proto.pieces if p.type == 1}
-        self.names = [p.piece for p in proto.pieces]
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
+        self.names = [chr(self.bytes_of[i]) if i in self.bytes_of else p.piece for i, p in enumerate(proto.pieces)]
+        self.wide = np.array([self.bytes_of.get(i, 0) >= 128 for i in range(len(self.names))])
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == 2), 0)
         self.longest = max(map(len, self.ids))
         lone = "" if any("\n" in p for p in self.ids) else "\n"
@@ -70,13 +77,19 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Lowest-ranked, then leftmost, merges until none is left."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(((self.rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(np.inf, 0))
-            if best[0] == np.inf:
+        parts, rank = list(text), self.rank
+        ranks = [rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            i = best[1]
+            i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank.get(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def agree(self, a: str, b: str) -> bool:
@@ -93,16 +106,20 @@ class Pieces:
     def walk(self, text: str, start: int, before: str | None, stop: int) -> dict[int, str]:
         """For each position up to ``stop`` that a path from ``start`` reaches, the token that ends there."""
         last: dict[int, str] = {start: before or ""}
-        ids = self.ids
+        ids, agrees, reached = self.ids, self.agrees, last.get
         for p in range(start + 1, stop + 1):
             for q in range(max(start, p - self.longest), p):
-                prior = last.get(q)
-                if prior is None:
-                    continue
                 t = text[q:p]
-                if (p - q == 1 or t in ids) and (not prior or self.agree(prior, t)):
-                    last[p] = t
-                    break
+                if t in ids or p - q == 1:
+                    prior = reached(q)
+                    if prior is None:
+                        continue
+                    fits = not prior or agrees.get((prior, t))
+                    if fits is None:
+                        fits = self.agree(prior, t)
+                    if fits:
+                        last[p] = t
+                        break
         return last
 
     def ids_of(self, token: str) -> list[int]:
@@ -125,8 +142,7 @@ class Pieces:
         if found is None:
             if len(self.packed) > REMEMBERED:
                 self.packed.clear()
-            last = self.walk(segment, 0, None, len(segment))
-            found = self.packed[segment] = np.array(self.trace(last, len(segment), 0), "<u4").tobytes()
+            found = self.packed[segment] = pack(f"<{len(ids)}I", *ids) if (ids := [i for t in self.merged(segment) for i in self.ids_of(t)]) else b""
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -134,18 +150,22 @@ class Pieces:
         return np.frombuffer(b"".join(map(self.segment_ids, self.segments.findall(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        out, held = [], bytearray()
-        for i in ids.tolist():
-            b = self.bytes_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(self.names[i])
-        if held:
+        if not len(ids):
+            return ""
+        if self.wide[ids].any():  # characters of several bytes
+            out, held = [], bytearray()
+            for i in ids.tolist():
+                b = self.bytes_of.get(i)
+                if b is not None:
+                    held.append(b)
+                    continue
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                out.append(self.names[i])
             out.append(held.decode("utf-8", "replace"))
+        else:
+            out = map(self.names.__getitem__, ids.tolist())
         return "".join(out).replace(SPACE, " ")
 
     def first_break(self, text: str, start: int, stop: int) -> int | None:
@@ -266,7 +286,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         assert chunk > 4 * margin
         names = [x.split()[0] for x in FIRST.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.bool_()]
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text, row = text.as_py() or "", row + 1
@@ -289,7 +309,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def retrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             out = []
             for r in batch.to_pylist():
                 entry, leave = (r["j"], r["k"]), (r["x"], r["y"])
