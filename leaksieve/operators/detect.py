@@ -24,9 +24,9 @@ def _nfkc(lines: pd.Series) -> pd.Series:
 
 
 def normalised(lines: DataFrame) -> DataFrame:
-    """``lines`` with view: the text under compatibility normalisation. Only lines that may change go to Python."""
-    odd = F.coalesce(F.col("text").rlike(MAY_CHANGE), F.lit(False))
-    return lines.where(~odd).withColumn("view", F.col("text")).unionByName(lines.where(odd).withColumn("view", _nfkc("text")))
+    """``lines`` with view: the text under compatibility normalisation. Python sees a null for each line that can't change."""
+    odd = F.when(F.col("text").rlike(MAY_CHANGE), F.col("text"))
+    return lines.withColumn("view", F.coalesce(_nfkc(odd), F.col("text")))
 
 
 def _candidates(low: Column, rules: Sequence[Rule]) -> Column:
