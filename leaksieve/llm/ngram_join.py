@@ -27,6 +27,7 @@ alone. An empty table gives an empty result. Columns other than the id and the t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,19 +35,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import sliced, stage
 from .graph import components
 from .shingles import SHINGLE, Shingler, node_of
 
 THRESHOLD = 75
 #: Frequent shingles that are told apart at most (8 bytes each in the broadcast), and the least documents that hold one.
 FREQUENT, FREQUENT_DF = 1 << 20, 8
-#: Shingles that a task gathers before it hands them on, and buckets for each shuffle partition.
-GATHERED, BUCKETS_EACH = 1 << 21, 4
+#: Bits of a shingle that tell whether it may be a frequent one, before it is looked up.
+FILTER_BITS = 22
+#: Shingles that a task gathers before it hands them on, buckets for each shuffle partition, and rows whose sets it holds together.
+GATHERED, BUCKETS_EACH, AT_ONCE = 1 << 19, 4, 500
 #: Set sizes of one block differ by less than this factor; only neighbouring blocks can link.
 BLOCK_BASE = 4 / 3
 #: Rounds of anchors at most; they end when fewer than one in ROUND_YIELD comparisons links.
-ROUNDS, ROUND_YIELD = 8, 20
+ROUNDS, ROUND_YIELD = 8, 25
+#: Levels of the share of a node's prefix that others hold too; heads are drawn from the best level of a list.
+LEVELS = 10
+#: Shingles in a block of members that are compared together, about.
+MEMBER_BLOCK = 1 << 13
 #: Ids of documents to fetch are broadcast up to this number of rows (16 bytes each), and joined by a shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
@@ -83,10 +90,10 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int, buckets: int
                 rows.append((b, low[c == 1].tobytes(), low[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "once", "more", "times"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(shingler.sets(text.as_py()))
-                n += len(held[-1])
+        for batch in sliced(batches, AT_ONCE):
+            for found in shingler.sets_of(batch.column(0).to_pylist()):
+                held.append(found)
+                n += len(found)
                 if n >= GATHERED:
                     yield hand_on()
                     held, n = [], 0
@@ -130,10 +137,13 @@ def _index(docs: DataFrame, text_col: str, shingle: int, threshold: int, buckets
     spark = docs.sparkSession
     ranked = frequent_shingles(docs, text_col, shingle, buckets)
     by_name = np.argsort(ranked, kind="stable")
-    shared = spark.sparkContext.broadcast((ranked[by_name], by_name))
+    some = np.zeros(1 << FILTER_BITS, bool)
+    some[(ranked & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+    shared = spark.sparkContext.broadcast((ranked[by_name], by_name, np.packbits(some)))  # 18 MB at most
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ranks = shared.value
+        names, ranks, bits = shared.value
+        some, low = np.unpackbits(bits).view(bool), np.uint64((1 << FILTER_BITS) - 1)
         shingler = Shingler(shingle)
         held, seen, n = [], set(), 0
 
@@ -144,9 +154,8 @@ def _index(docs: DataFrame, text_col: str, shingle: int, threshold: int, buckets
             rows = [(b, *(x[k].tobytes() for x in (token, node, size, at, sure))) for b, k in _split(token, bucket, buckets)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=["bucket", "token", "node", "n", "at", "sure"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingler.sets(text.as_py())
+        for batch in sliced(batches, AT_ONCE):
+            for found in shingler.sets_of(batch.column(0).to_pylist()):
                 if not len(found):
                     continue
                 node, p = node_of(found), prefix_length(len(found), threshold)
@@ -154,10 +163,11 @@ def _index(docs: DataFrame, text_col: str, shingle: int, threshold: int, buckets
                     continue
                 seen.add(node)
                 rank = np.zeros(len(found), np.int64)
-                if len(names):
-                    name = _name(found, buckets)
+                maybe = np.flatnonzero(some[(found & low).astype(np.int64)]) if len(names) else ()
+                if len(maybe):
+                    name = _name(found[maybe], buckets)
                     k = np.minimum(np.searchsorted(names, name), len(names) - 1)
-                    rank = np.where(names[k] == name, ranks[k] + 1, 0)
+                    rank[maybe] = np.where(names[k] == name, ranks[k] + 1, 0)
                     order = np.argsort(rank, kind="stable")
                     found, rank = found[order], rank[order]
                 held.append((found[:p], np.full(p, node, np.int64), np.full(p, len(found), np.int32), np.arange(p, dtype=np.int32), rank[:p] > 0))
@@ -187,16 +197,15 @@ def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        for batch in batches:
-            sets = [shingler.sets(x.as_py()) for x in batch.column("text")]
+        for batch in sliced(batches, AT_ONCE):
+            sets = list(shingler.sets_of(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(name, "doc_id long, n_shingles long, node long")
 
 
-def _node_sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """node, shingles (packed) of the nodes in u, v pairs, from the text of one document each."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _node_sets(docs: DataFrame, ends: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node, shingles (packed) of the nodes in ``ends``, from the text of one document each."""
     wanted = nodes.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("wanted")).distinct()
     wanted = stage(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
@@ -204,8 +213,8 @@ def _node_sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str,
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        for batch in batches:
-            sets = [shingler.sets(x.as_py()) for x in batch.column(0)]
+        for batch in sliced(batches, AT_ONCE):
+            sets = list(shingler.sets_of(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -217,7 +226,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v pairs to u, v, common, nu, nv by their whole sets."""
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             us, vs = batch.column("su"), batch.column("sv")
             out = np.zeros((len(us), 3), np.int64)
             for i in range(len(us)):
@@ -241,6 +250,36 @@ def _reachable(threshold: int, shared, n1, at1, n2, at2):
     return (most * (100 + threshold) >= (n1 + n2) * threshold) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * threshold)
 
 
+def _low_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, AT_ONCE):
+        low = [np.frombuffer(x.as_py(), np.uint64).astype(np.uint32).tobytes() for x in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(low, pa.binary())], names=["node", "low"])
+
+
+def _member_candidates(threshold: int):
+    """Pairs of two blocks that their anchors' answer leaves open and whose hashes' low halves agree often enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, AT_ONCE):
+            us, vs = [], []
+            for i in range(len(batch)):  # a row at a time: a batch of blocks is large
+                apart, one, two = (batch.column(k)[i].as_py() for k in range(3))
+                ones = [(x, np.frombuffer(x["low"], np.uint32)) for x in one]
+                for z in two:
+                    b = np.sort(np.frombuffer(z["low"], np.uint32))
+                    for x, a in ones:
+                        n, m = len(a), len(b)
+                        if x["root"] == z["root"] or min(n, m) * 100 < max(n, m) * threshold or (apart - x["off"] - z["off"]) * (100 + threshold) > (n + m) * (100 - threshold):
+                            continue
+                        common = int((b[np.minimum(np.searchsorted(b, a), m - 1)] == a).sum())
+                        if common * 100 >= (n + m - common) * threshold:
+                            us.append(x["node"])
+                            vs.append(z["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return compare
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
@@ -249,14 +288,29 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = stage(_index(docs, text_col, shingle, threshold, buckets), "index")
     hundred = 100 + threshold
 
-    sets = lambda pairs: _node_sets(docs, pairs, nodes, id_col, text_col, shingle)
+    fetched: list[DataFrame] = []
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        """Sets of the pairs' nodes; those fetched before are not read again."""
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        for have in fetched:
+            ends = ends.join(have.select("node"), "node", "left_anti")
+        ends = stage(ends, "ends")
+        if not fetched or not ends.isEmpty():
+            fetched.append(_node_sets(docs, ends, nodes, id_col, text_col, shingle))
+        return reduce(DataFrame.union, fetched)
+
     apart = (F.col("nu") + F.col("nv") - 2 * F.col("common")).alias("apart")
 
     # 1. anchors: in each round one head for each list, and one head for each node
+    # a node most of whose prefix others share is near the middle of its copies, and makes a good head
+    size = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    level = index.groupBy("node").agg((F.lit(LEVELS) - F.floor(F.count(F.lit(1)) * LEVELS / F.max(size))).alias("level"))
+    index = stage(index.join(level, "node"), "levels")
     live = index.withColumn("root", F.col("node"))
     links = None
     for turn in range(ROUNDS):
-        key = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        key = F.col("level") + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
         heads = live.withColumn("k", key).groupBy("token").agg(
             *(F.min_by(c, "k").alias(f"h{c}") for c in ("node", "n", "at", "root")), F.min("root").alias("r0"), F.max("root").alias("r1")
         )
@@ -300,23 +354,23 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(links.select("u", "v").union(links2))
     placed = placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_pairs = compared.where(~_linked(threshold)).select("u", "v", apart)
-    one = placed.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("anchor").alias("u"), F.col("off").alias("ox"), F.col("root").alias("rx"))
-    two = one.toDF("token", "z", "nz", "az", "v", "oz", "rz")
-    reach = placed.groupBy("anchor").agg(F.max("off").alias("off"), F.max("n").alias("n"))
+    one = placed.select("node", "n", "anchor", "off", "root").distinct()
+    reach = one.groupBy("anchor").agg(F.max("off").alias("off"), F.max("n").alias("n"), F.min("root").alias("root"), F.sum("n").alias("total"))
     near = (
-        open_pairs.join(reach.toDF("u", "ou", "nu"), "u").join(reach.toDF("v", "ov", "nv"), "v")
+        open_pairs.join(reach.toDF("u", "ou", "nu", "ru", "tu"), "u").join(reach.toDF("v", "ov", "nv", "rv", "tv"), "v").where("ru != rv")
         .where((F.col("ou") + F.col("ov") > 0) & ((F.col("apart") - F.col("ou") - F.col("ov")) * hundred <= (F.col("nu") + F.col("nv")) * (100 - threshold)))
         .select("u", "v", "apart")
     )
     near = stage(near, "near")
-    members = (
-        near.join(one, "u").join(two, ["v", "token"]).where("rx != rz")
-        .where((F.col("apart") - F.col("ox") - F.col("oz")) * hundred <= (F.col("nx") + F.col("nz")) * (100 - threshold))
-        .groupBy("x", "z").agg(F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("ax", "az", "nx", "nz")))
-    )
-    members = members.where(_reachable(threshold, F.col("shared"), F.col("nx"), F.col("ax"), F.col("nz"), F.col("az"))).select(F.col("x").alias("u"), F.col("z").alias("v")).distinct()
-    members = stage(members, "members")
-    links3 = _compare(members, sets(members)).where(_linked(threshold)).select("u", "v")
+    ends = near.select(F.explode(F.array("u", "v")).alias("anchor")).distinct()
+    members = stage(one.join(ends, "anchor").join(reach.select("anchor", "total"), "anchor"), "members")
+    member_sets = sets(members.select(F.col("node").alias("u"), F.col("node").alias("v"))).mapInArrow(_low_halves, "node long, low binary")
+    part = F.pmod(F.xxhash64("node"), 1 + F.floor(F.col("total") / MEMBER_BLOCK))
+    item = F.struct("node", "n", "off", "root", "low")
+    blocks = stage(members.join(member_sets, "node").groupBy("anchor", part.alias("part")).agg(F.collect_list(item).alias("items")), "member-blocks")
+    met = near.join(blocks.select(F.col("anchor").alias("u"), F.col("items").alias("one")), "u").join(blocks.select(F.col("anchor").alias("v"), F.col("items").alias("two")), "v")
+    open_members = stage(met.select("apart", "one", "two").mapInArrow(_member_candidates(threshold), "u long, v long").distinct(), "open-members")
+    links3 = _compare(open_members, sets(open_members)).where(_linked(threshold)).select("u", "v")
 
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links3))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -325,7 +379,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their class (its smallest id), with all their columns."""
+    """The rows of ``docs`` that name their class (its smallest id), with all their columns. Ids name one row each; a null id stays."""
     linked = link_documents(docs, id_col, text_col)
-    dropped = linked.where("component_id != doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    dropped = stage(linked.where("component_id != doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, id_col, "left_anti")
