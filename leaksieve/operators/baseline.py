@@ -96,3 +96,11 @@ def json_lines(findings: DataFrame) -> DataFrame:
     """One JSON object a finding, for logs: no secret, no snippet."""
     out = F.struct("file", F.col("line_no").alias("line"), F.col("rule_id").alias("match_type"), "tier", "layer", "confidence", "description", F.upper(verdict(F.col("tier"), F.col("confidence"))).alias("verdict"))
     return findings.select(F.to_json(out, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def json_documents(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """One JSON object a file: file, clean and its findings in order. Snippets are part of it, secrets are not."""
+    one = F.struct((-F.col("confidence")).alias("_c"), *(F.col(c).alias(f"_{c}") for c in ORDER if c != "file"), F.struct(F.col("line_no").alias("line"), F.col("rule_id").alias("match_type"), "tier", "layer", "confidence", "description", "snippet", "redacted").alias("f"))
+    found = findings.groupBy(F.col("file").alias("path")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["f"]).alias("found"))
+    d = files.select("path").distinct().join(found, "path", "left")
+    return d.select(F.to_json(F.struct(F.col("path").alias("file"), F.col("found").isNull().alias("clean"), F.coalesce("found", F.array()).alias("findings")), {"ignoreNullFields": "false"}).alias("value"))

@@ -29,7 +29,7 @@ def file_lines(files: DataFrame, exclude_dirs=EXCLUDE_DIRS, exclude_files=EXCLUD
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """path, text of the files under a folder, as any store that Spark reads lists them; exclude with ``file_lines``."""
-    found = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     inside = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     return found.select(inside.alias("path"), F.col("value").alias("text"))
 
