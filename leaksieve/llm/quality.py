@@ -149,3 +149,13 @@ def judge(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None
     out = with_statistics(docs.drop("base_failed", "rejected_by", "kept"), text_col)
     out = out.withColumns({"base_failed": base_failed(), "rejected_by": cascade(rules, estimates)})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects.
+
+    The verdict holds an expression the optimizer must not move: it would else push the filter below the
+    statistics and work these out once more in each place that the verdict names them.
+    """
+    verdict = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return judge(docs, text_col, rules).withColumn("kept", verdict).where("kept").select(*docs.columns)
