@@ -17,14 +17,11 @@ def band(confidence: Column) -> Column:
     return F.when(confidence >= HIGH, "confirmed").when(confidence >= LOW, "ambiguous").otherwise("dropped")
 
 
-def ranked(findings: DataFrame) -> DataFrame:
-    """``findings`` with band and rank: the place among its unit's ambiguous findings, from 1."""
-    w = Window.partitionBy("unit_id", "band").orderBy(F.desc("confidence"), *ORDER)
-    return findings.withColumn("band", band(F.col("confidence"))).withColumn("rank", F.when(F.col("band") == "ambiguous", F.row_number().over(w)))
-
-
 def to_adjudicate(findings: DataFrame) -> DataFrame:
-    return ranked(findings).where((F.col("band") == "ambiguous") & (F.col("rank") <= ADJUDICATED))
+    """The first ambiguous findings of each unit, with rank from 1."""
+    w = Window.partitionBy("unit_id").orderBy(F.desc("confidence"), *ORDER)
+    unsure = findings.where(band(F.col("confidence")) == "ambiguous")
+    return unsure.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= ADJUDICATED)
 
 
 KEY = ("unit_id", "file", "line_no", "rule_id", "phase", "match_ord")
@@ -36,15 +33,18 @@ def routed(findings: DataFrame, labels: DataFrame | None = None, fallback: str =
     leak: reported as semantic, with its own confidence; clean: gone; no answer: reported as skipped, or
     gone where ``fallback`` is "clean". Ambiguous findings past the adjudicated are reported as they are.
     """
-    d = ranked(findings).where(F.col("band") != "dropped")
+    d = findings.where(band(F.col("confidence")) != "dropped")
     if labels is None:
-        return d.drop("band", "rank")
-    asked = (F.col("band") == "ambiguous") & (F.col("rank") <= ADJUDICATED)
-    said = labels.select(*(F.col(k).alias(f"_{k}") for k in KEY), F.lower("label").alias("_label"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
-    d = d.join(said, on, "left")
-    leak, clean = asked & F.coalesce(F.col("_label").startswith("leak"), F.lit(False)), asked & F.coalesce(F.col("_label").startswith("clean"), F.lit(False))
-    skipped = asked & ~leak & ~clean
+        return d
+    # who is asked is at most three rows of a unit, which each task cuts down to before they meet
+    asked = to_adjudicate(findings).select(*KEY)
+    said = asked.join(labels.select(*(F.col(k).alias(f"_{k}") for k in KEY), F.lower("label").alias("_label")), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY], "left")
+    said = said.select(*(F.col(k).alias(f"_{k}") for k in KEY), "_label", F.lit(True).alias("_asked"))
+    d = d.join(said, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY], "left")
+    answer = F.coalesce("_label", F.lit(""))
+    was_asked = F.coalesce("_asked", F.lit(False))
+    leak, clean = was_asked & answer.startswith("leak"), was_asked & answer.startswith("clean")
+    skipped = was_asked & ~leak & ~clean
     gone = clean | skipped if fallback == "clean" else clean
     return d.where(~gone).withColumns({
         "confidence": F.when(leak, LEAK_CONFIDENCE).otherwise(F.col("confidence")), "layer": F.when(leak, "semantic").otherwise(F.col("layer")), "ai_skipped": F.when(skipped, True).otherwise(F.col("ai_skipped")),
