@@ -125,7 +125,7 @@ def binding_findings(lines: DataFrame, names: Sequence[str] = SENSITIVE_NAMES) -
 
     b = files.mapInPandas(find, BINDING)
     return b.withColumns({
-        "layer": F.lit("ast"), "rule_id": F.lit("ast_taint"), "description": F.concat(F.lit("Sensitive variable: "), F.col("var_name")), "snippet": F.substring("snippet", 1, 120), "secret": F.col("value"),
+        "layer": F.lit("ast"), "rule_id": F.lit("ast_taint"), "description": F.format_string("Sensitive variable '%s' assigned string literal", "var_name"), "snippet": F.substring("snippet", 1, 120), "secret": F.col("value"),
         "redacted": F.concat(F.lit(f"{REDACTED}_"), F.upper("var_name")), "tier": F.lit("T1"), "ai_skipped": F.lit(False), "phase": F.lit(1), "match_ord": F.col("ord"),
     }).select(*FINDING)
 

@@ -9,7 +9,7 @@ from ..functions.text import extension, is_excluded, split_lines
 
 ALLOW, SKIP_FILE = "leaksieve:allow", "leaksieve:skip-file"
 # What is passed over where no settings say otherwise.
-EXCLUDE_DIRS, EXCLUDE_FILES = ("node_modules", "vendor", ".git", "dist", "build", "target", "__pycache__"), ("*.lock", "*.min.js", "*.map")
+EXCLUDE_DIRS, EXCLUDE_FILES = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "target"), ("*.lock", "*.min.js", "*.map")
 
 
 def snippet_lines(docs: DataFrame, text_col: str, unit: Column, ext: str = "", file: Column | None = None) -> DataFrame:

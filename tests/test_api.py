@@ -33,10 +33,10 @@ def test_files_end_to_end(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("password = 'hunter22x'\napi_key = 'abcdefghij1234'\n")
     (tmp_path / "src" / "b.py").write_text("fine = 1\n")
-    (tmp_path / "vendor").mkdir()
-    (tmp_path / "vendor" / "c.py").write_text("password = 'hunter22x'\n")
+    (tmp_path / "dist").mkdir()
+    (tmp_path / "dist" / "c.py").write_text("password = 'hunter22x'\n")
     files = read_tree(spark, str(tmp_path))
-    assert sorted(r.path for r in files.collect()) == ["src/a.py", "src/b.py", "vendor/c.py"]
+    assert sorted(r.path for r in files.collect()) == ["dist/c.py", "src/a.py", "src/b.py"]
     found = api.scan_files(files).cache()
     assert sorted((r.file, r.rule_id) for r in found.collect()) == [("src/a.py", "ast_taint"), ("src/a.py", "password_in_code")]
     assert api.scan_files(files, known=baseline.baseline_of(found)).count() == 0

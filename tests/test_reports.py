@@ -63,7 +63,7 @@ DIFF = """diff --git a/x.py b/x.py
 +bad
 +# leaksieve:skip-file
 --- a/v.js
-+++ b/vendor/v.js
++++ b/dist/v.js
 @@ -0,0 +1 @@
 +vendored
 --- a/z
@@ -89,9 +89,9 @@ def test_history_is_one_unit_a_commit(spark):
 
 
 def test_trees(spark):
-    files = spark.createDataFrame([("a/b.py", "x\r\ny\n"), ("vendor/c.py", "x"), ("vendored/c.py", "z"), ("d.lock", "x"), ("s.py", "x\n# leaksieve:skip-file"), ("m.py", "1\n2 leaksieve:allow\n3"), ("e.py", "")], "path string, text string")
+    files = spark.createDataFrame([("a/b.py", "x\r\ny\n"), ("dist/c.py", "x"), ("dist2/c.py", "z"), ("d.lock", "x"), ("s.py", "x\n# leaksieve:skip-file"), ("m.py", "1\n2 leaksieve:allow\n3"), ("e.py", "")], "path string, text string")
     got = sorted((r.file, r.line_no, r.text) for r in file_lines(files).collect())
-    assert got == [("a/b.py", 1, "x"), ("a/b.py", 2, "y"), ("m.py", 1, "1"), ("m.py", 3, "3"), ("vendored/c.py", 1, "z")]
+    assert got == [("a/b.py", 1, "x"), ("a/b.py", 2, "y"), ("dist2/c.py", 1, "z"), ("m.py", 1, "1"), ("m.py", 3, "3")]
     ignored = spark.createDataFrame([("./a\\b.py",)], "path string")
     assert "a/b.py" not in [r.path for r in without_ignored(files, ignored).collect()]
 
