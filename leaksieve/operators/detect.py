@@ -15,7 +15,7 @@ from .bindings import LANGUAGES, SENSITIVE_NAMES, bindings_in
 from .rules import REDACTED, RULES, Rule
 
 #: Characters that compatibility normalisation may change: all but ASCII, Latin letters, Greek, Cyrillic and Hebrew.
-MAY_CHANGE = r"[^\x00-\x7Fµ¶·¿¡«»§°±À-ÿĀ-ĿŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ʯΑ-ΡΣ-ώЀ-ӿא-ת–—‘’“”€]|[µ]"
+MAY_CHANGE = r"[^\x00-\x7Fµ¶·¿¡«»§°±À-ÿĀ-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ʯΑ-ΡΣ-ώЀ-ӿא-ת–—‘’“”€]|[µ]"
 
 
 @F.pandas_udf(StringType())

@@ -131,6 +131,14 @@ def test_compatibility_normalisation_and_unicode(spark):
     assert [RULES[r.rule_no].id for r in scan(spark, ["ключ password = 'пароль1234'"])] == ["password_in_code"]
 
 
+def test_the_gate_lets_every_changing_character_through():
+    import re
+    import unicodedata
+
+    gate = re.compile(detect.MAY_CHANGE)
+    assert not [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFKC", chr(i)) != chr(i) and not gate.search(chr(i))]
+
+
 @pytest.mark.parametrize("unit", ["a.", "/a", "internal/", "a-", "://a", "'a", "postgres://a:", "never reveal "])
 def test_long_lines_end(spark, unit):
     scan(spark, [unit * (100_000 // len(unit))])
