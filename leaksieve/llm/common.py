@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +50,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, over its tasks. A worker keeps one at a time."""
+    name = f"_leaksieve_{name}"
+    for other in [m for m in sys.modules if m.startswith("_leaksieve_") and m != name]:
+        del sys.modules[other]
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on after a task, and so would its peak."""
     pa.default_memory_pool().release_unused()
@@ -56,8 +66,10 @@ def give_back() -> None:
         trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows, small enough to hold what comes of them."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, small enough to hold what comes of them. What other operators kept goes first."""
+    if keep is None:
+        kept("nothing")
     for batch in batches:
         for i in range(0, len(batch), rows):
             yield batch.slice(i, rows)

@@ -18,8 +18,6 @@ never looked at. Sequence ids are unique, not gapless: the split's number and a
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, kept
+
 WINDOW, END_ID = 2048, 1
 #: Penalties of a cut, in tokens of padding: at a sentence's end, and inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 4, 32
 #: Tokens of a block at least, and words whose ids a worker remembers.
-BLOCK, REMEMBERED = 1 << 18, 2_000_000
+BLOCK, REMEMBERED = 1 << 18, 500_000
 #: Tokens between the places inside sentences where a window may end.
 GRID = 16
 SENTENCE_ENDS = (".", "!", "?")
@@ -43,11 +43,6 @@ MARKS = ("¬", "§", "¶", "|")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _kept(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, over its tasks."""
-    return sys.modules.setdefault(f"_leaksieve_{name}", types.ModuleType(name)).__dict__
-
-
 class WordIds:
     """Packed ids of texts, word by word.
 
@@ -56,7 +51,7 @@ class WordIds:
     """
 
     def __init__(self, tokenizer_json: str):
-        memo = _kept(f"word_ids_{zlib.crc32(tokenizer_json.encode())}")
+        memo = kept(f"word_ids_{zlib.crc32(tokenizer_json.encode())}")
         if "tokenizer" not in memo:
             from tokenizers import Tokenizer
 
@@ -88,12 +83,14 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         ids = self.ids
-        if len(ids) > REMEMBERED:
-            ids.clear()
         missing = set().union(*words).difference(ids)
         if missing:
             self._learn([*missing])
-        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
+        out = [b"".join(map(ids.__getitem__, ws)) for ws in words]
+        if len(ids) > REMEMBERED:  # the first words met are the frequent ones, and they stay
+            for w in missing:
+                del ids[w]
+        return out
 
 
 def cut_points(tokens: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
                 if packer.held >= BLOCK:
                     yield rows(packer.place(last=False))
         yield rows(packer.place(last=True))
+        give_back()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return source.mapInArrow(pack, PIECES)

@@ -27,8 +27,6 @@ SentencePiece model. Other columns are never looked at.
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from struct import pack
@@ -40,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, stage
+from .common import kept, sliced, stage
 
 SPACE = "▁"
 #: Code points of a chunk, and segments that a worker remembers.
@@ -140,9 +138,9 @@ class Pieces:
     def segment_ids(self, segment: str) -> bytes:
         found = self.packed.get(segment)
         if found is None:
-            if len(self.packed) > REMEMBERED:
-                self.packed.clear()
-            found = self.packed[segment] = pack(f"<{len(ids)}I", *ids) if (ids := [i for t in self.merged(segment) for i in self.ids_of(t)]) else b""
+            found = pack(f"<{len(ids)}I", *ids) if (ids := [i for t in self.merged(segment) for i in self.ids_of(t)]) else b""
+            if len(self.packed) < REMEMBERED:  # the first segments met are the frequent ones
+                self.packed[segment] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -267,7 +265,7 @@ def sums_of(ids: np.ndarray) -> tuple[int, int, int]:
 
 def _pieces(model: bytes) -> Pieces:
     """The model's pieces, kept as long as the Python worker."""
-    memo = sys.modules.setdefault(f"_leaksieve_pieces_{zlib.crc32(model)}", types.ModuleType("pieces")).__dict__
+    memo = kept(f"pieces_{zlib.crc32(model)}")
     if "pieces" not in memo:
         memo["pieces"] = Pieces(model)
     return memo["pieces"]
@@ -286,7 +284,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         assert chunk > 4 * margin
         names = [x.split()[0] for x in FIRST.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.bool_()]
-        for batch in sliced(batches, AT_ONCE):
+        for batch in sliced(batches, AT_ONCE, keep="pieces"):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text, row = text.as_py() or "", row + 1
@@ -309,7 +307,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def retrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
-        for batch in sliced(batches, AT_ONCE):
+        for batch in sliced(batches, AT_ONCE, keep="pieces"):
             out = []
             for r in batch.to_pylist():
                 entry, leave = (r["j"], r["k"]), (r["x"], r["y"])

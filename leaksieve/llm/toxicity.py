@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, whole_text
+from .common import give_back, stage, whole_text
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 12_000
@@ -242,6 +242,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         of = shared.value.scorer()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([of(x.as_py()) for x in batch.column("text")], pa.float64())], names=["doc_id", "score"])
+        give_back()
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
