@@ -62,6 +62,15 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("binary").alias("text"))
 
 
+def _packed(ascending: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as steps, byte by byte: the high bytes of small steps are zeros, which compress away."""
+    return np.diff(ascending, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
 def _split(values: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -87,21 +96,22 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int, buckets: int
             rows = []
             for b, at in _split(found, bucket, buckets):
                 low, c = found[at].astype(np.uint32), count[at]
-                rows.append((b, low[c == 1].tobytes(), low[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
+                more = np.argsort(low[c > 1], kind="stable")
+                rows.append((b, _packed(np.sort(low[c == 1])), _packed(low[c > 1][more]), c[c > 1][more].astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "once", "more", "times"])
 
         for batch in sliced(batches, AT_ONCE):
             for found in shingler.sets_of(batch.column(0).to_pylist()):
                 held.append(found)
                 n += len(found)
-                if n >= GATHERED:
+                if n >= 4 * GATHERED:
                     yield hand_on()
                     held, n = [], 0
         if n:
             yield hand_on()
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # a bucket's arrays from all tasks
-        low = np.concatenate([np.frombuffer(x, np.uint32) for col in ("once", "more") for x in pdf[col]])
+        low = np.concatenate([_unpacked(x) for col in ("once", "more") for x in pdf[col]])
         ones = sum(len(x) // 4 for x in pdf["once"])
         times = np.concatenate([np.ones(ones, np.int64), *(np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["times"])])
         order = np.argsort(low, kind="stable")
@@ -149,10 +159,11 @@ def _index(docs: DataFrame, text_col: str, shingle: int, threshold: int, buckets
 
         def hand_on():
             token, node, size, at, sure = (np.concatenate(x) for x in zip(*held, strict=True))
+            size = np.where(sure, -size, size).astype(np.int32)
             # a frequent shingle has its list for certain, and its entries are dealt out by node as well
             bucket = (((token >> np.uint64(32)) + np.where(sure, node.view(np.uint64) >> np.uint64(33), 0)) % np.uint64(buckets)).astype(np.int64)
-            rows = [(b, *(x[k].tobytes() for x in (token, node, size, at, sure))) for b, k in _split(token, bucket, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=["bucket", "token", "node", "n", "at", "sure"])
+            rows = [(b, *(x[k].tobytes() for x in (token, node, size, at))) for b, k in _split(token, bucket, buckets)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["bucket", "token", "node", "n", "at"])
 
         for batch in sliced(batches, AT_ONCE):
             for found in shingler.sets_of(batch.column(0).to_pylist()):
@@ -180,15 +191,16 @@ def _index(docs: DataFrame, text_col: str, shingle: int, threshold: int, buckets
             yield hand_on()
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, node, size, at, sure = (np.concatenate([np.frombuffer(x, kind) for x in pdf[col]]) for col, kind in (("token", np.uint64), ("node", np.int64), ("n", np.int32), ("at", np.int32), ("sure", np.bool_)))
+        token, node, size, at = (np.concatenate([np.frombuffer(x, kind) for x in pdf[col]]) for col, kind in (("token", np.uint64), ("node", np.int64), ("n", np.int32), ("at", np.int32)))
         order = np.lexsort((node, token))
         order = order[np.r_[True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1])]]
-        token, node, size, at, sure = token[order], node[order], size[order], at[order], sure[order]
+        token, node, size, at = token[order], node[order], size[order], at[order]
+        sure, size = size < 0, np.abs(size)  # the sign marks a frequent shingle
         same = token[1:] == token[:-1]
         keep = np.r_[same, False] | np.r_[False, same] | sure
         return pd.DataFrame({"token": token[keep].view(np.int64), "node": node[keep], "n": size[keep], "at": at[keep]})
 
-    packed = _texts(docs, text_col).mapInArrow(gather, "bucket int, token binary, node binary, n binary, at binary, sure binary")
+    packed = _texts(docs, text_col).mapInArrow(gather, "bucket int, token binary, node binary, n binary, at binary")
     return packed.groupBy("bucket").applyInPandas(lists, "token long, node long, n int, at int")
 
 
@@ -292,13 +304,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sets(pairs: DataFrame) -> DataFrame:
         """Sets of the pairs' nodes; those fetched before are not read again."""
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        every = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
+        ends = every
         for have in fetched:
             ends = ends.join(have.select("node"), "node", "left_anti")
-        ends = stage(ends, "ends")
+        if fetched:
+            ends = stage(ends, "ends")
         if not fetched or not ends.isEmpty():
             fetched.append(_node_sets(docs, ends, nodes, id_col, text_col, shingle))
-        return reduce(DataFrame.union, fetched)
+        every = F.broadcast(every) if every.count() <= BROADCAST_ROWS else every
+        return reduce(DataFrame.union, fetched).join(every, "node", "left_semi")
 
     apart = (F.col("nu") + F.col("nv") - 2 * F.col("common")).alias("apart")
 
