@@ -34,7 +34,7 @@ WINDOW, END_ID = 2048, 1
 #: Penalties of a cut, in tokens of padding: at a sentence's end, and inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 4, 32
 #: Tokens of a block at least, and words whose ids a worker remembers.
-BLOCK, REMEMBERED = 1 << 18, 500_000
+BLOCK, REMEMBERED = 1 << 18, 900_000
 #: Tokens between the places inside sentences where a window may end.
 GRID = 16
 SENTENCE_ENDS = (".", "!", "?")
