@@ -6,7 +6,9 @@
    and never with the square of a group. That makes a cap on a line's frequency needless: rare lines are
    those with words enough not to meet by chance, and they name a pair however many documents hold them.
 3. A pair's lines are aligned by patience diff: lines that are unique in both, their longest increasing
-   run, then the same between those, and equal neighbours around. Runs of aligned lines are common blocks.
+   run, then the same between those, and equal neighbours around. A range without such a line is aligned by
+   its least frequent common line, so no two ranges with a common line stay unaligned. Runs of aligned lines
+   are common blocks.
 4. Blocks of ``MIN_WORDS`` words or more are deleted from the later document. A line's keeper keeps it, so
    of every deleted line one copy stays.
 
@@ -46,11 +48,14 @@ def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
-def _unique_matches(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
-    """Lines unique in both ranges, cut down to the longest run that increases in both."""
+def _matches(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Lines unique in both ranges, cut down to the longest run that increases in both. Without any, the least frequent common line in its order."""
     in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
     place = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
     pairs = [(i, place[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in place]
+    if not pairs:
+        line = min((x for x in in_a if x in in_b), key=lambda x: in_a[x] * in_b[x], default=None)
+        return list(zip((i for i in range(a0, a1) if a[i] == line), (j for j in range(b0, b1) if b[j] == line), strict=False))
     ends: list[int] = []  # of increasing runs by length: the least last place in b
     at: list[int] = []
     back: list[int] = []
@@ -83,7 +88,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             found.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        matched = _unique_matches(a, b, a0, a1, b0, b1)
+        matched = _matches(a, b, a0, a1, b0, b1)
         if not matched:
             continue
         ends = [(a0 - 1, b0 - 1), *matched, (a1, b1)]

@@ -243,6 +243,18 @@ def test_patience():
     assert line_dedup.patience(list(range(5000)), list(range(2500, 7500))) == [(i, i - 2500) for i in range(2500, 5000)]
 
 
+def test_patience_aligns_what_repeats():
+    p = [1, 2, 3]
+    assert line_dedup.patience([7, *p, 8, *p, 9], [5, *p, 6]) == [(1, 1), (2, 2), (3, 3)]
+    assert line_dedup.patience([5, *p, 6], [7, *p, 8, *p, 9]) == [(1, 1), (2, 2), (3, 3)]
+    assert line_dedup.patience([7, *p, 8, *p, 9], [5, *p, 6, *p, 4]) == [(1, 1), (2, 2), (3, 3), (5, 5), (6, 6), (7, 7)]
+    rng = random.Random(2)
+    for _ in range(500):  # no common line is left between two aligned ones
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(0, 15))] for _ in range(2))
+        ends = [(-1, -1), *line_dedup.patience(a, b), (len(a), len(b))]
+        assert not any(set(a[i + 1 : i2]) & set(b[j + 1 : j2]) for (i, j), (i2, j2) in zip(ends, ends[1:], strict=False))
+
+
 def test_line_dedup(make_docs):
     p = [f"this is a rather long line number {k}" for k in range(9)]
     rows = [
