@@ -1,18 +1,22 @@
-"""Line deduplication by pairwise alignment.
-
-1. Lines of ``MIN_WORDS`` words or more are hashed after white space is evened out. The earliest document
-   with a line is its keeper; a line that one document holds names no pair.
-2. Each later document is paired with the keepers of its shared lines, so pairs grow with the shared lines
-   and never with the square of a group. That makes a cap on a line's frequency needless: rare lines are
-   those with words enough not to meet by chance, and they name a pair however many documents hold them.
-3. A pair's lines are aligned by patience diff: lines that are unique in both, their longest increasing
-   run, then the same between those, and equal neighbours around. A range without such a line is aligned by
-   its least frequent common line, so no two ranges with a common line stay unaligned. Runs of aligned lines
-   are common blocks.
-4. Blocks of ``MIN_WORDS`` words or more are deleted from the later document. A line's keeper keeps it, so
-   of every deleted line one copy stays.
-
-Lines travel as hashes; a pair is two arrays of them.
+"""Line deduplication by common blocks of lines.
+
+A line is deleted if it lies in a block that an earlier document holds too: neighbouring lines of
+``MIN_WORDS`` words or more in all, wherever they stand in either document and however often.
+
+1. Lines are hashed after white space is evened out. From each line on, and back from each line, the
+   shortest run of neighbours with words enough is a window. Every line of a block lies in a window inside
+   it, so windows find all of a block, one of short lines too.
+2. The earliest document with a window is its keeper. Documents with a window of another's keeping lose its
+   lines. Each window names its first holder only, so rows grow with the lines and never with the square of
+   a group, and no cap on frequency is needed.
+3. A line's earliest holder keeps it, as no earlier document holds a window around it: of every deleted
+   line one copy stays.
+
+An alignment of two documents (``patience``, ``deleted_lines``) keeps one order and matches a line once, so it
+deletes a part of this: its blocks consist of windows. Repeated over all pairs until nothing is left to align,
+it comes to these blocks, so the query needs no alignment; the tests hold it to the pairs.
+
+Windows travel as hashes with their places.
 
 Defined results: a null or empty text has one empty line, which is never deleted; earlier means the
 smaller id, a null id comes last, and of equal ids the one read first. Repeated rows are documents of
@@ -22,9 +26,11 @@ are kept by ``drop_repeated_lines`` and never looked at.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +41,12 @@ from .common import stage
 
 MIN_WORDS = 5
 LAST = (1 << 63) - 1
+#: Hashes of runs of lines: a polynomial in this base, modulo a prime.
+BASE, PRIME = 0x1B873593CC9E2D51, (1 << 61) - 1
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
@@ -42,12 +54,57 @@ def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
     hashes, words = [], []
     for line in (text or b"").split(b"\n"):
         w = line.split()
-        h = xxhash.xxh64_intdigest(b" ".join(w))
-        hashes.append(h - (1 << 64) if h >> 63 else h)
+        hashes.append(_signed(xxhash.xxh64_intdigest(b" ".join(w))))
         words.append(len(w))
     return hashes, words
 
 
+def spans(words: list[int]) -> list[tuple[int, int]]:
+    """First places and ends of the shortest runs with words enough, from each line on and back from each line."""
+    found, end, total = set(), 0, 0
+    for first in range(len(words)):
+        while end < len(words) and total < MIN_WORDS:
+            total += words[end]
+            end += 1
+        if total < MIN_WORDS:
+            break
+        found.add((first, end))
+        total -= words[first]
+    first = total = 0
+    for last, n in enumerate(words):
+        total += n
+        while total - words[first] >= MIN_WORDS:
+            total -= words[first]
+            first += 1
+        if total >= MIN_WORDS:
+            found.add((first, last + 1))
+    return sorted(found)
+
+
+def windows(text: bytes | None) -> tuple[int, list[int], list[int], list[int]]:
+    """The number of a text's lines; of each window its key (signed, 64 bits), first place and end."""
+    hashes, words = line_hashes(text)
+    places = spans(words)
+    keys, sums = [], []
+    for i, j in places:
+        if j == i + 1:
+            keys.append(hashes[i])
+            continue
+        sums = sums or list(accumulate(hashes, lambda s, h: (s * BASE + h) % PRIME, initial=0))
+        run = (sums[j] - sums[i] * pow(BASE, j - i, PRIME)) % PRIME
+        keys.append(_signed(xxhash.xxh64_intdigest(struct.pack("<4q", j - i, hashes[i], hashes[j - 1], run))))
+    return len(hashes), keys, [i for i, _ in places], [j for _, j in places]
+
+
+def covered(places: list[dict]) -> list[int]:
+    """The places of lines that lie in any of these runs, ascending."""
+    out, at = [], 0
+    for first, end in sorted((p["first"], p["end"]) for p in places):
+        out.extend(range(max(first, at), end))
+        at = max(at, end)
+    return out
+
+
 def _matches(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """Lines unique in both ranges, cut down to the longest run that increases in both. Without any, the least frequent common line in its order."""
     in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -114,46 +171,41 @@ def deleted_lines(own: list[int], words: list[int], other: list[int]) -> list[in
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """row (a number of its own), doc_id, hashes, words, and the columns to keep in ``kept``."""
+    """row (a number of its own), doc_id, n_lines, windows as key, first and end, and the columns to keep in ``kept``."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_hashes(x.as_py()) for x in batch.column("_text")]
-            arrays = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), *arrays, batch.column("_kept")], names=["row", "doc_id", "hashes", "words", "kept"])
+            found = [windows(x.as_py()) for x in batch.column("_text")]
+            arrays = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), *arrays, batch.column("_kept")], names=["row", "doc_id", "n_lines", "key", "first", "end", "kept"])
 
     kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(0)
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), kept.alias("_kept"))
     kept_type = source.schema["_kept"].dataType.simpleString()
-    return stage(source.mapInArrow(split, f"row long, doc_id long, hashes array<long>, words array<int>, kept {kept_type}"), "lines")
+    return stage(source.mapInArrow(split, f"row long, doc_id long, n_lines long, key array<long>, first array<int>, end array<int>, kept {kept_type}"), "lines")
 
 
 def _deletions(lines: DataFrame) -> DataFrame:
     """row, deleted (places of lines) of the documents that lose lines."""
     order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row").alias("row"))
-    each = lines.select("row", "doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).where(F.col("x.words") >= MIN_WORDS)
-    each = each.select("row", "doc_id", F.col("x.hashes").alias("line")).distinct()
-    held = each.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min(order).alias("keeper")).where("df > 1").select("line", F.col("keeper.row").alias("keeper"))
-    pairs = each.join(held, "line").where("row != keeper").select("row", "keeper").distinct()
-    own = lines.select("row", "hashes", "words")
-    other = lines.select(F.col("row").alias("keeper"), F.col("hashes").alias("other"))
-    met = pairs.join(own, "row").join(other, "keeper")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    each = lines.select("row", "doc_id", F.explode(F.arrays_zip("key", "first", "end")).alias("x")).select("row", "doc_id", "x.*")
+    held = each.groupBy("key").agg(F.min(order).alias("keeper"), F.min("row").alias("low"), F.max("row").alias("high"))
+    held = held.where("low < high").select("key", F.col("keeper.row").alias("keeper"))
+    gone = each.select("row", "key", "first", "end").join(held, "key").where("row != keeper")
+    gone = gone.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            found = [deleted_lines(r["hashes"], r["words"], r["other"]) for r in rows]
+            found = [covered(x.as_py()) for x in batch.column("gone")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int32()))], names=["row", "deleted"])
 
-    aligned = met.select("row", "hashes", "words", "other").mapInArrow(align, "row long, deleted array<int>")
-    gone = aligned.select("row", F.explode("deleted").alias("at")).distinct()
-    return gone.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("deleted"))
+    return gone.mapInArrow(places, "row long, deleted array<int>")
 
 
 def label_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_deleted, deleted (places from 0, comma-joined)."""
     lines = _lines(docs, id_col, text_col, [])
-    out = lines.select("row", "doc_id", F.size("hashes").cast("long").alias("n_lines")).join(_deletions(lines), "row", "left")
+    out = lines.select("row", "doc_id", "n_lines").join(_deletions(lines), "row", "left")
     deleted = F.coalesce("deleted", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(deleted).cast("long").alias("n_deleted"), F.array_join(deleted.cast("array<string>"), ",").alias("deleted"))
 

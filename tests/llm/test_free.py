@@ -272,6 +272,37 @@ def test_line_dedup(make_docs):
     assert line_dedup.label_lines(make_docs([])).count() == 0
 
 
+def lines_by_brute_force(texts):
+    """Of texts in the order of their ids, the lines in blocks that an earlier one holds too."""
+    split = [[tuple(x.split()) for x in t.split("\n")] for t in texts]
+    enough = lambda run: sum(map(len, run)) >= line_dedup.MIN_WORDS
+    runs = lambda d: {(i, j): tuple(d[i:j]) for i in range(len(d)) for j in range(i + 1, len(d) + 1) if enough(d[i:j])}
+    want, held = [], set()
+    for d in split:
+        want.append(sorted({k for (i, j), run in runs(d).items() if run in held for k in range(i, j)}))
+        held.update(runs(d).values())
+    return want
+
+
+def deleted_by_query(make_docs, texts):
+    got = {r.doc_id: r.deleted for r in line_dedup.label_lines(make_docs([*enumerate(texts)])).collect()}
+    return [[int(k) for k in got[i].split(",") if k] for i in range(len(texts))]
+
+
+def test_line_dedup_finds_blocks_in_any_order(make_docs):
+    a, p, q, r = ("\n".join(f"line {k} of the passage {name}" for k in range(2)) for name in "apqr")
+    texts = ["\n".join(x) for x in ([a, p, q], [p, a, q], [p, a, q], ["x", p, "y", p, "z"], [r, "own", r], ["u", r, "w"])]
+    assert deleted_by_query(make_docs, texts) == [[], [*range(6)], [*range(6)], [1, 2, 4, 5], [], [1, 2]]
+    rng = random.Random(3)
+    longs = [f"some line of many words {k}" for k in range(6)]
+    texts = ["\n".join(rng.choice([*longs, "", "one", "two words"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    got = deleted_by_query(make_docs, texts)
+    assert got == lines_by_brute_force(texts)
+    split = [line_dedup.line_hashes(t.encode()) for t in texts]
+    for i, (own, words) in enumerate(split):  # and no pair can align a block that stayed
+        assert all({*line_dedup.deleted_lines(own, words, other)} <= {*got[i]} for other, _ in split[:i])
+
+
 # Toxicity ----------------------------------------------------------------------------------------------------------------
 
 
