@@ -303,6 +303,15 @@ def test_line_dedup_finds_blocks_in_any_order(make_docs):
         assert all({*line_dedup.deleted_lines(own, words, other)} <= {*got[i]} for other, _ in split[:i])
 
 
+def test_line_dedup_finds_blocks_of_short_lines(make_docs):
+    verse = [f"short {k}" for k in range(30)]
+    texts = ["\n".join(x) for x in (verse, verse, ["own", *verse[5:9], "", "end"], verse[2:4], ["a b", "", "c d", "e"], ["x", "a b", "", "c d", "e", ""])]
+    assert deleted_by_query(make_docs, texts) == lines_by_brute_force(texts) == [[], [*range(30)], [1, 2, 3, 4], [], [], [1, 2, 3, 4]]
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["", "one", "two words", "now three words", "four words in all"]) for _ in range(rng.randint(1, 12))) for _ in range(80)]
+    assert deleted_by_query(make_docs, texts) == lines_by_brute_force(texts)
+
+
 # Toxicity ----------------------------------------------------------------------------------------------------------------
 
 
