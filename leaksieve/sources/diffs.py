@@ -13,8 +13,14 @@ COMMIT = "\x01commit\x01"
 
 
 def diff_rows(texts: DataFrame, text_col: str = "text", unit: Column | None = None) -> DataFrame:
-    """unit_id, pos, text of each line of diff texts."""
-    return texts.select((unit if unit is not None else F.lit("diff")).cast("string").alias("unit_id"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "text"))
+    """unit_id, pos, text of each line of diff texts. Each text is a unit: ``unit`` (unique), or else its digest and, from the second copy on, a number."""
+    if unit is None:
+        text, copies = F.col(text_col), Window.partitionBy("_digest").orderBy("_digest")
+        texts = texts.select(text.alias("_text"), F.sha2(text.cast("binary"), 256).alias("_digest")).where("_text != ''")  # neither null nor empty texts have lines
+        copy = F.row_number().over(copies)  # copies are alike, so any order gives the same rows
+        texts, text_col = texts.withColumn("_unit", F.when(copy > 1, F.concat_ws("-", "_digest", copy)).otherwise(F.col("_digest"))), "_text"
+        unit = F.col("_unit")
+    return texts.select(unit.cast("string").alias("unit_id"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "text"))
 
 
 def numbered(rows: DataFrame, *more: str) -> DataFrame:

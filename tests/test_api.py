@@ -54,6 +54,17 @@ def test_texts_diffs_and_history(spark):
     assert [(r.sha, r.subject, r.line_no) for r in api.scan_history(spark.createDataFrame([(log,)], "text string")).collect()] == [("abc", "a subject", 7)]
 
 
+def test_each_diff_is_a_unit(spark):
+    secret = "+password = 'hunter22x'\n"
+    texts = [f"+++ b/x.py\n@@ -0,0 +7,2 @@\n+fine\n{secret}", f"+++ b/y.py\n@@ -0,0 +30 @@\n{secret}", f"+++ b/z.py\n@@ -0,0 +1,2 @@\n+# leaksieve:skip-file\n{secret}", f"+++ b/dist/v.py\n@@ -0,0 +1 @@\n{secret}", "", None]
+    d = spark.createDataFrame([*enumerate(texts), (6, texts[0])], "id long, text string")
+    added = sorted((r.file, r.line_no) for r in diffs.added_lines(diffs.diff_rows(d)).collect())
+    assert added == [("x.py", 7), ("x.py", 7), ("x.py", 8), ("x.py", 8), ("y.py", 30)]
+    found = [(r.unit_id, r.file, r.line_no) for r in api.scan_diffs(d).collect()]
+    assert sorted(f[1:] for f in found) == [("x.py", 8), ("x.py", 8), ("y.py", 30)] and len({f[0] for f in found}) == 3
+    assert sorted((r.unit_id, r.file, r.line_no) for r in api.scan_diffs(d, id_col="id").collect()) == [("0", "x.py", 8), ("1", "y.py", 30), ("6", "x.py", 8)]
+
+
 def test_adjudication_on_executors(spark):
     d = spark.createDataFrame([("1", "h = 'a.internal'\nh = 'b.internal'"), ("2", "h = 'c.internal'")], "id string, text string")
     found = api.scan_texts(d, "id", "text", "py").cache()
