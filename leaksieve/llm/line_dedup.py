@@ -190,7 +190,7 @@ def _deletions(lines: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row").alias("row"))
     each = lines.select("row", "doc_id", F.explode(F.arrays_zip("key", "first", "end")).alias("x")).select("row", "doc_id", "x.*")
     held = each.groupBy("key").agg(F.min(order).alias("keeper"), F.min("row").alias("low"), F.max("row").alias("high"))
-    held = held.where("low < high").select("key", F.col("keeper.row").alias("keeper"))
+    held = stage(held.where("low < high").select("key", F.col("keeper.row").alias("keeper")), "keepers")  # read anew, so that a join skewed by a common line can be split
     gone = each.select("row", "key", "first", "end").join(held, "key").where("row != keeper")
     gone = gone.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
 
