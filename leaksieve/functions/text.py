@@ -23,6 +23,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_names(taken: Sequence[str], wanted: Sequence[str]) -> dict[str, str]:
+    """A column name for each wanted one that isn't taken, whatever the case."""
+    used = {t.lower() for t in taken}
+    out = {}
+    for w in wanted:
+        name = f"_{w}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name)
+        out[w] = name
+    return out
+
+
 def split_lines(text: Column) -> Column:
     """A text's lines: an end of line is "\\n" or "\\r\\n", and one at the text's end starts no line."""
     parts = F.split(F.coalesce(text, F.lit("")), "\r?\n", -1)
@@ -48,13 +61,14 @@ def is_placeholder(value: Column) -> Column:
 
 def byte_entropy(value: Column) -> Column:
     """Shannon entropy of the UTF-8 bytes, in bits; 0 for the empty string."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit("(..)"), F.lit(1))
+    single = F.decode(F.encode(value, "UTF-8"), "ISO-8859-1")  # a character for each byte
 
-    def bits(all_bytes: Column) -> Column:
-        counts = F.transform(F.array_sort(F.array_distinct(all_bytes)), lambda b: F.size(F.filter(all_bytes, lambda x: x == b)) / F.size(all_bytes))
-        return F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    def bits(x: Column) -> Column:
+        count = lambda b: F.length(x) - F.length(F.replace(x, b, F.lit("")))
+        shares = F.transform(F.sort_array(F.array_distinct(F.array_remove(F.split(x, "", -1), ""))), lambda b: count(b) / F.length(x))
+        return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
-    return let(pairs, bits)
+    return let(single, bits)
 
 
 def threshold(ext: Column, overrides: Mapping[str, float] | None = None, default: float = THRESHOLD) -> Column:
@@ -112,6 +126,38 @@ def normalised_path(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
 
 
+def rfc3339_now() -> Column:
+    """The query's time in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def first_line(text: Column, width: int = 80) -> Column:
+    """The first line that isn't blank, cut to a width: a sample's label."""
+    lines = F.filter(split_lines(text), lambda x: F.trim(x) != "")
+    return F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, width)
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes in units of 1000."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for i, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = F.when(n >= 1000**i, F.format_string(f"%.1f {unit}", n / float(1000**i))).otherwise(out)
+    return out
+
+
+def host_of(url: Column) -> Column:
+    """A link's host, without scheme, user, port or path; an address in brackets stays in them."""
+    host = F.substring_index(F.regexp_extract(url, r"(?s)^(?:.*?://)?([^/?]*)", 1), "@", -1)
+    return F.when(host.contains("]"), F.concat(F.substring_index(host, "]", 1), F.lit("]"))).otherwise(F.regexp_replace(host, r":[^:]*$", ""))
+
+
+def is_loopback(url: Column) -> Column:
+    """Whether a link names this machine."""
+    host = F.lower(F.regexp_replace(F.trim(host_of(url)), r"^\[+|\]+$", ""))
+    part = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    return (host == "localhost") | host.rlike(rf"^127\.{part}\.{part}\.{part}$") | host.rlike("^(?:0{1,4}:){7}0{0,3}1$|^::(?:0{1,4}:){0,5}0{0,3}1$")
+
+
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """Hex HMAC-SHA256 from two digests; the padded keys are made on the driver."""
     import hashlib

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import FLAGS, MIN_TOKEN_BYTES, SEAM, THRESHOLD, TOKEN_SPLIT, byte_entropy, entropy_confidence, is_harmless_token, is_placeholder, sensitive_context, threshold
+from ..functions.text import FLAGS, MIN_TOKEN_BYTES, SEAM, THRESHOLD, TOKEN_SPLIT, byte_entropy, entropy_confidence, free_names, is_harmless_token, is_placeholder, let, sensitive_context, threshold
 from .bindings import LANGUAGES, SENSITIVE_NAMES, bindings_in
 from .rules import REDACTED, RULES, Rule
 
 #: Characters that compatibility normalisation may change: all but ASCII, Latin letters, Greek, Cyrillic and Hebrew.
 MAY_CHANGE = r"[^\x00-\x7Fµ¶·¿¡«»§°±À-ÿĀ-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ʯΑ-ΡΣ-ώЀ-ӿא-ת–—‘’“”€]|[µ]"
 
+#: Only lines that assign something are looked at for entropy.
+ASSIGNMENT = "[=:]"
+
 
 @F.pandas_udf(StringType())
 def _nfkc(lines: pd.Series) -> pd.Series:
@@ -29,81 +34,165 @@ def normalised(lines: DataFrame) -> DataFrame:
     return lines.withColumn("view", F.coalesce(_nfkc(odd), F.col("text")))
 
 
-def _candidates(low: Column, rules: Sequence[Rule]) -> Column:
+def _held(text: Column, low: Column, rule: Rule) -> Column:
+    """Whether a text, also given in lower case, holds one of the rule's literals."""
+    out = F.lit(False)
+    for g in rule.gates:
+        out = out | ((low if rule.any_case else text).contains(g) if g else F.lit(True))
+    return out
+
+
+def _may_hit(rules: Sequence[Rule], nfkc: bool) -> Column:
+    """Lines worth a look: those that hold some rule's literal, may hold one when normalised, or have strings to join."""
+    text = F.col("text")
+    plain, lower = sorted({g for r in rules if not r.any_case for g in r.gates}), sorted({g for r in rules if r.any_case for g in r.gates})
+    if "" in plain or "" in lower:
+        return F.lit(True)
+    any_of = lambda t, gs: reduce(or_, (t.contains(g) for g in gs), F.lit(False))
+    # inside ``let`` the lower case is worked out once, and the many tests stay out of the generated code
+    out = let(text, lambda t: any_of(t, plain)) | let(F.lower(text), lambda t: any_of(t, lower)) | text.rlike(SEAM)
+    return out | text.rlike(MAY_CHANGE) if nfkc else out
+
+
+def _candidates(text: Column, rules: Sequence[Rule]) -> Column:
     """The numbers of the rules of which the text holds a literal."""
+    both = F.struct(text.alias("text"), F.lower(text).alias("low"))
+    return let(both, lambda x: F.array_compact(F.array(*(F.when(_held(x["text"], x["low"], r), F.lit(n)) for n, r in enumerate(rules)))))
 
-    def gate(rule: Rule) -> Column:
-        out = F.lit(False)
-        for g in rule.gates:
-            out = out | (low.contains(g) if g else F.lit(True))
-        return out
 
-    return F.array_compact(F.array(*(F.when(gate(r), F.lit(n)) for n, r in enumerate(rules))))
+def _hits(text: Column, r: Rule) -> Column:
+    """What a rule captures in a text, match by match. The pattern is a constant, so it is compiled once."""
+    pattern = F.lit(FLAGS + r.pattern)
+    captured = F.regexp_extract_all(text, pattern, F.lit(r.group))
+    if not r.optional or not r.group:
+        return captured
+    return F.zip_with(captured, F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, whole: F.when(g == "", whole).otherwise(g))
 
 
 def _found(text: Column, rules: Sequence[Rule]) -> Column:
-    """All that the row's rule finds in a text. Each pattern is a constant, so it is compiled once."""
-    out = None
-    for n, r in enumerate(rules):
-        hits = F.regexp_extract_all(text, F.lit(FLAGS + r.pattern), F.lit(r.group))
-        out = F.when(F.col("rule_no") == n, hits) if out is None else out.when(F.col("rule_no") == n, hits)
-    return out
+    """All that the row's rule finds in a text."""
+
+    def by_rule(t: Column) -> Column:
+        out = F.when(F.lit(False), F.array().cast("array<string>"))
+        for n, r in enumerate(rules):
+            out = out.when(F.col("rule_no") == n, _hits(t, r))
+        return out
+
+    return let(text, by_rule)
+
+
+ENTROPY_NO = -1
+
+
+def _hit_rows(lines: DataFrame, rules: Sequence[Rule], nfkc: bool, entropy: Mapping | None) -> DataFrame:
+    """One row per hit, in one pass over the lines: their columns, rule_no, occurrence, collapsed, secret and best (the entropy token, where that is the hit)."""
+    names = free_names(lines.columns, ("view", "flat", "work", "kept", "again", "hit", "best"))
+    view, flat, work, kept, again, hit, best = (names[k] for k in ("view", "flat", "work", "kept", "again", "hit", "best"))
+    may_hit = _may_hit(rules, nfkc)
+    d = lines.where(may_hit | F.col("text").rlike(ASSIGNMENT) if entropy is not None else may_hit)
+    odd = F.when(F.col("text").rlike(MAY_CHANGE), F.col("text"))
+    d = d.withColumn(view, F.coalesce(_nfkc(odd), F.col("text")) if nfkc else F.col("text"))
+    d = d.withColumn(flat, F.when(F.col(view).rlike(SEAM), F.regexp_replace(view, SEAM, "")))
+    todo = _candidates(F.concat_ws("\n", view, flat), rules)
+    if entropy is not None:
+        d = d.withColumn(best, best_token(F.col("text"), F.col("ext"), **entropy))
+        todo = F.concat(todo, F.when(F.col(best).isNotNull(), F.array(F.lit(ENTROPY_NO))).otherwise(F.array().cast("array<int>")))
+    d = d.withColumn("rule_no", F.explode(todo))
+    plain = F.transform(_found(F.col(view), rules), lambda x, i: F.struct((i + 1).alias("occurrence"), F.lit(False).alias("collapsed"), x.alias("secret")))
+    d = d.withColumn(kept, F.filter(plain, lambda h: ~F.coalesce(is_placeholder(h["secret"]), F.lit(False))))
+    d = d.withColumn(again, F.when((F.size(kept) == 0) & F.col(flat).isNotNull(), F.size(_found(F.col(flat), rules))).otherwise(0))
+    once = F.array(F.struct(F.lit(1).alias("occurrence"), F.lit(True).alias("collapsed"), F.lit(None).cast("string").alias("secret")))
+    hits = F.when(F.col(again) > 0, once).otherwise(F.col(kept))
+    if entropy is not None:
+        token = F.array(F.struct(F.lit(1).alias("occurrence"), F.lit(False).alias("collapsed"), F.col(best)["token"].alias("secret")))
+        hits = F.when(F.col("rule_no") == ENTROPY_NO, token).otherwise(hits)
+    own = [F.col(f"`{c}`") for c in lines.columns]
+    d = d.select(*own, "rule_no", *([best] if entropy is not None else []), F.explode(hits).alias(hit))
+    return d.select(*own, "rule_no", f"{hit}.*", *([F.col(best).alias("best")] if entropy is not None else []))
 
 
 def rule_hits(lines: DataFrame, rules: Sequence[Rule] = RULES, nfkc: bool = True) -> DataFrame:
     """One row per hit of a rule in a line: the line's columns, rule_no, occurrence, collapsed and secret.
 
-    A line meets only the rules of which it holds a literal, and most lines hold none. A line whose strings
-    are joined is looked at once more with the joints gone: of a rule that found nothing in it as it is,
-    the first hit counts, without a secret. Placeholders don't count, but keep their number.
+    A line meets only the rules of which it holds a literal, and most lines hold none: those leave before
+    anything else is done with them. A line whose strings are joined is looked at once more with the joints
+    gone: of a rule that found nothing in it as it is, the first hit counts, without a secret. Placeholders
+    don't count, but keep their number. A null text has no hits; repeated lines are looked at apart.
     """
-    d = normalised(lines) if nfkc else lines.withColumn("view", F.col("text"))
-    d = d.withColumn("_flat", F.when(F.col("view").rlike(SEAM), F.regexp_replace("view", SEAM, "")))
-    d = d.withColumn("rule_no", F.explode(_candidates(F.lower(F.concat_ws("\n", "view", "_flat")), rules)))
-    d = d.withColumn("_plain", _found(F.col("view"), rules))
-    plain = F.transform("_plain", lambda x, i: F.struct((i + 1).alias("occurrence"), F.lit(False).alias("collapsed"), x.alias("secret")))
-    d = d.withColumn("_kept", F.filter(plain, lambda h: ~F.coalesce(is_placeholder(h["secret"]), F.lit(False))))
-    again = F.size("_kept") == 0
-    d = d.withColumn("_again", F.when(again & F.col("_flat").isNotNull(), F.size(_found(F.col("_flat"), rules))).otherwise(0))
-    once = F.array(F.struct(F.lit(1).alias("occurrence"), F.lit(True).alias("collapsed"), F.lit(None).cast("string").alias("secret")))
-    return d.select(*lines.columns, "rule_no", F.explode(F.when(F.col("_again") > 0, once).otherwise(F.col("_kept"))).alias("h")).select(*lines.columns, "rule_no", "h.*")
+    return _hit_rows(lines, rules, nfkc, None)
 
 
 def _lookup(rules: Sequence[Rule], value) -> Column:
-    return F.element_at(F.array(*(F.lit(value(r)) for r in rules)), F.col("rule_no") + 1)
+    return F.get(F.array(*(F.lit(value(r)) for r in rules)), F.col("rule_no"))
 
 
 FINDING = ("unit_id", "file", "ext", "line_no", "layer", "rule_id", "description", "snippet", "secret", "redacted", "confidence", "tier", "ai_skipped", "phase", "match_ord")
+#: Where a finding stands among its line's: view 0 as written, 1 joined, 2 entropy; then the rule and its occurrence.
+MATCH_ORD = "struct<view:int,rule_no:int,occurrence:int>"
+
+
+def match_ord(view: Column, rule_no: Column, occurrence: Column) -> Column:
+    return F.struct(view.alias("view"), rule_no.alias("rule_no"), occurrence.alias("occurrence")).cast(MATCH_ORD)
+
+
+def line_findings(lines: DataFrame, rules: Sequence[Rule] = RULES, nfkc: bool = True, entropy: Mapping | None = None) -> DataFrame:
+    """Findings of the rules and, with ``entropy`` settings, of the tokens of most entropy, in one pass."""
+    h = _hit_rows(lines, rules, nfkc, entropy)
+    of = lambda value: _lookup(rules, value)
+    view, rule_no = F.col("collapsed").cast("int"), F.col("rule_no")
+    columns = {
+        "layer": F.lit("regex"), "rule_id": of(lambda r: r.id), "description": of(lambda r: r.text), "redacted": F.concat_ws("_", of(lambda r: r.token), F.col("occurrence").cast("string")),
+        "confidence": of(lambda r: float(r.confidence)), "tier": of(lambda r: r.tier), "match_ord": match_ord(view, rule_no, F.col("occurrence")),
+    }
+    if entropy is not None:
+        other = _entropy_columns(F.col("best"))
+        columns = {c: F.when(rule_no == ENTROPY_NO, other[c]).otherwise(v) for c, v in columns.items()}
+    return h.withColumns(columns | {"snippet": F.substring("text", 1, 120), "ai_skipped": F.lit(False), "phase": F.lit(0)}).select(*FINDING)
 
 
 def rule_findings(lines: DataFrame, rules: Sequence[Rule] = RULES, nfkc: bool = True) -> DataFrame:
-    h = rule_hits(lines, rules, nfkc)
-    return h.withColumns({
-        "layer": F.lit("regex"), "rule_id": _lookup(rules, lambda r: r.id), "description": _lookup(rules, lambda r: r.text), "snippet": F.substring("text", 1, 120),
-        "redacted": F.concat_ws("_", _lookup(rules, lambda r: r.token), F.col("occurrence").cast("string")), "confidence": _lookup(rules, lambda r: float(r.confidence)), "tier": _lookup(rules, lambda r: r.tier),
-        "ai_skipped": F.lit(False), "phase": F.lit(0), "match_ord": F.col("collapsed").cast("int") * 1_000_000 + F.col("rule_no") * 1000 + F.col("occurrence"),
-    }).select(*FINDING)
+    return line_findings(lines, rules, nfkc)
+
+
+def _harmless(token: Column, context: Column, allow: Sequence[str]) -> Column:
+    return reduce(or_, (token.rlike(FLAGS + p) for p in allow), is_harmless_token(token, context))
+
+
+def best_token(text: Column, ext: Column, overrides: Mapping[str, float] | None = None, default: float = THRESHOLD, min_bytes: int = MIN_TOKEN_BYTES, allow: Sequence[str] = ()) -> Column:
+    """token, h and threshold of a line's token of most entropy, the first of equals, from the threshold on; null where there is none. Worked out inside the row."""
+    limit = threshold(ext, overrides, default)
+
+    def best(line: Column) -> Column:
+        long = F.filter(F.split(line["text"], TOKEN_SPLIT, -1), lambda t: F.octet_length(t) >= min_bytes)
+        sure = F.filter(long, lambda t: ~_harmless(t, line["context"], allow))
+        rated = F.transform(sure, lambda t, i: F.struct(byte_entropy(t).alias("h"), (-i).alias("back"), t.alias("token"), line["limit"].alias("threshold")))
+        return F.array_max(F.filter(rated, lambda x: x["h"] >= x["threshold"]))
+
+    line = F.struct(text.alias("text"), sensitive_context(text).alias("context"), limit.alias("limit"))
+    return F.when(text.rlike(ASSIGNMENT), let(line, best))
 
 
 def entropy_tokens(lines: DataFrame, overrides: Mapping[str, float] | None = None, default: float = THRESHOLD, min_bytes: int = MIN_TOKEN_BYTES, allow: Sequence[str] = ()) -> DataFrame:
     """One row per token long enough of a line with an assignment: the line's columns, token_no, token, h, threshold, harmless."""
-    d = lines.where(F.col("text").rlike("[=:]")).select(*lines.columns, F.posexplode(F.split("text", TOKEN_SPLIT, -1)).alias("token_no", "token"))
+    d = lines.where(F.col("text").rlike(ASSIGNMENT)).select(*lines.columns, F.posexplode(F.split("text", TOKEN_SPLIT, -1)).alias("token_no", "token"))
     d = d.where(F.octet_length("token") >= min_bytes)
-    harmless = is_harmless_token(F.col("token"), sensitive_context(F.col("text")))
-    for pattern in allow:
-        harmless = harmless | F.col("token").rlike(FLAGS + pattern)
+    harmless = _harmless(F.col("token"), sensitive_context(F.col("text")), allow)
     return d.withColumns({"h": byte_entropy(F.col("token")), "threshold": threshold(F.col("ext"), overrides, default), "harmless": harmless})
 
 
+def _entropy_columns(best: Column) -> dict[str, Column]:
+    return {
+        "layer": F.lit("entropy"), "rule_id": F.lit("high_entropy"), "description": F.format_string("High entropy token (H=%.2f)", best["h"]), "redacted": F.lit(f"{REDACTED}_HIGH_ENTROPY"),
+        "confidence": entropy_confidence(best["h"], best["threshold"]), "tier": F.lit("T2"), "match_ord": match_ord(F.lit(2), F.lit(0), F.lit(1)),
+    }
+
+
 def entropy_findings(lines: DataFrame, **settings) -> DataFrame:
-    """At most one finding a line: its token of most entropy, the first of equals, from the threshold on."""
-    tokens = entropy_tokens(lines, **settings).where(~F.col("harmless") & (F.col("h") >= F.col("threshold")))
-    key = [c for c in lines.columns if c != "text"]
-    best = tokens.groupBy(*key, "text").agg(F.max(F.struct("h", (-F.col("token_no")).alias("back"), "token", "threshold")).alias("b"))
-    return best.withColumns({
-        "layer": F.lit("entropy"), "rule_id": F.lit("high_entropy"), "description": F.format_string("High entropy token (H=%.2f)", F.col("b.h")), "snippet": F.substring("text", 1, 120), "secret": F.col("b.token"),
-        "redacted": F.lit(f"{REDACTED}_HIGH_ENTROPY"), "confidence": entropy_confidence(F.col("b.h"), F.col("b.threshold")), "tier": F.lit("T2"), "ai_skipped": F.lit(False), "phase": F.lit(0), "match_ord": F.lit(2_000_000),
-    }).select(*FINDING)
+    """At most one finding a line. Repeated lines give one each; nothing is shuffled."""
+    # an explode, not a filter: that would be pushed below, and work the token out twice
+    d = lines.withColumn("best", F.explode(F.array_compact(F.array(best_token(F.col("text"), F.col("ext"), **settings)))))
+    more = {"snippet": F.substring("text", 1, 120), "secret": F.col("best.token"), "ai_skipped": F.lit(False), "phase": F.lit(0)}
+    return d.withColumns(_entropy_columns(F.col("best")) | more).select(*FINDING)
 
 
 BINDING = "unit_id string, file string, ext string, line_no int, var_name string, snippet string, value string, confidence double, ord int"
@@ -126,10 +215,10 @@ def binding_findings(lines: DataFrame, names: Sequence[str] = SENSITIVE_NAMES) -
     b = files.mapInPandas(find, BINDING)
     return b.withColumns({
         "layer": F.lit("ast"), "rule_id": F.lit("ast_taint"), "description": F.format_string("Sensitive variable '%s' assigned string literal", "var_name"), "snippet": F.substring("snippet", 1, 120), "secret": F.col("value"),
-        "redacted": F.concat(F.lit(f"{REDACTED}_"), F.upper("var_name")), "tier": F.lit("T1"), "ai_skipped": F.lit(False), "phase": F.lit(1), "match_ord": F.col("ord"),
+        "redacted": F.concat(F.lit(f"{REDACTED}_"), F.upper("var_name")), "tier": F.lit("T1"), "ai_skipped": F.lit(False), "phase": F.lit(1), "match_ord": match_ord(F.lit(0), F.col("ord"), F.lit(1)),
     }).select(*FINDING)
 
 
 def scan_lines(lines: DataFrame, rules: Sequence[Rule] = RULES, names: Sequence[str] = SENSITIVE_NAMES, nfkc: bool = True, **entropy) -> DataFrame:
-    """All findings of all layers."""
-    return rule_findings(lines, rules, nfkc).unionByName(entropy_findings(lines, **entropy)).unionByName(binding_findings(lines, names))
+    """All findings of all layers: rules and entropy in one pass, bindings in another over the lines of known languages."""
+    return line_findings(lines, rules, nfkc, entropy).unionByName(binding_findings(lines, names))

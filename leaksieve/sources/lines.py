@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ ALLOW, SKIP_FILE = "leaksieve:allow", "leaksieve:skip-file"
 EXCLUDE_DIRS, EXCLUDE_FILES = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "target"), ("*.lock", "*.min.js", "*.map")
 
 
+def spread(source: DataFrame) -> DataFrame:
+    """A source of fewer partitions than there are cores, dealt out over them: one small file is else one task."""
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
+
+
 def snippet_lines(docs: DataFrame, text_col: str, unit: Column, ext: str = "", file: Column | None = None) -> DataFrame:
     """Lines of each row's text as one unit. Markers aren't looked at."""
     lines = docs.select(unit.cast("string").alias("unit_id"), (file if file is not None else F.lit(None).cast("string")).alias("file"), F.posexplode(split_lines(F.col(text_col))))
@@ -27,11 +35,12 @@ def file_lines(files: DataFrame, exclude_dirs=EXCLUDE_DIRS, exclude_files=EXCLUD
     )
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, text of the files under a folder, as any store that Spark reads lists them; exclude with ``file_lines``."""
+def read_tree(spark: SparkSession, root: str, exclude_dirs=(), exclude_files=()) -> DataFrame:
+    """path, text of the files under a folder, as any store that Spark reads lists them. Files of excluded folders and names are listed, and never opened."""
     found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    inside = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    return found.select(inside.alias("path"), F.col("value").alias("text"))
+    # a filter on file names alone prunes the list of files; names come with escapes for what a link can't hold
+    inside = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(root.rstrip("/")) + "/", ""), F.lit("+"), F.lit("%2B")))
+    return found.where(~is_excluded(inside, exclude_dirs, exclude_files)).select(inside.alias("path"), F.col("value").alias("text"))
 
 
 def without_ignored(files: DataFrame, ignored: DataFrame) -> DataFrame:

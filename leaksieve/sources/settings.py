@@ -28,12 +28,18 @@ class Settings:
     sensitive_names: tuple[str, ...] = SENSITIVE_NAMES
     fallback: str = "report"
     allowed_remotes: tuple[str, ...] = ()
+    adjudicate: bool = True
+    model: str = ""
     rules: tuple[Rule, ...] = RULES
 
     @property
     def shadow(self) -> bool:
         return self.mode == "shadow"
 
+    def adjudicator_ready(self, api_key: str | None = None) -> bool:
+        """Whether ambiguous findings can be asked about: switched on, with a model or a key."""
+        return self.adjudicate and bool(self.model.strip() or api_key)
+
     def entropy(self) -> dict:
         return {"overrides": self.thresholds, "default": self.threshold, "min_bytes": self.min_bytes, "allow": self.allow}
 
@@ -75,7 +81,7 @@ def load(path: str) -> Settings:
         return Settings(
             mode=d.get("mode", "enforce"), exclude_dirs=lists("exclude_dirs"), exclude_files=lists("exclude_files"), threshold=float(d.get("threshold", THRESHOLD)), thresholds=dict(d.get("thresholds") or {}),
             min_bytes=int(d.get("min_bytes", MIN_TOKEN_BYTES)), allow=lists("allow"), sensitive_names=lists("sensitive_names") or SENSITIVE_NAMES, fallback=d.get("fallback", "report"),
-            allowed_remotes=lists("allowed_remotes"), rules=with_custom(list(lists("custom_rules")), rules_of(d.get("rule_file"))),
+            allowed_remotes=lists("allowed_remotes"), adjudicate=bool(d.get("adjudicate", True)), model=str(d.get("model") or ""), rules=with_custom(list(lists("custom_rules")), rules_of(d.get("rule_file"))),
         )
     except (OSError, ValueError, TypeError, AttributeError, ImportError) as e:
         warnings.warn(f"settings file {path!r} not used: {e}", stacklevel=2)

@@ -13,9 +13,9 @@ from ..operators.rules import RULES, Rule
 from ..sources.lines import snippet_lines
 
 
-def stream_rule_findings(docs: DataFrame, unit_col: str, text_col: str, ext: str = "", rules: Sequence[Rule] = RULES) -> DataFrame:
+def stream_rule_findings(docs: DataFrame, unit_col: str, text_col: str, ext: str = "", rules: Sequence[Rule] = RULES, nfkc: bool = True) -> DataFrame:
     """Rule findings of each text as it comes: no state, so any output mode works."""
-    return detect.rule_findings(snippet_lines(docs, text_col, F.col(unit_col), ext), rules, nfkc=False)
+    return detect.rule_findings(snippet_lines(docs, text_col, F.col(unit_col), ext), rules, nfkc)
 
 
 def scan_stream(docs: DataFrame, unit_col: str, text_col: str, sink: Callable[[DataFrame, int], None], ext: str = "", rules: Sequence[Rule] = RULES) -> DataStreamWriter:
