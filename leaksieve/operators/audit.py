@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hmac_sha256
+from ..functions.text import hmac_sha256, rfc3339_now
 from .route import ORDER, verdict
 
 GENESIS = "genesis"
@@ -30,38 +34,106 @@ def _json(value: Column, name: str) -> Column:
 
 def entry_json(row=F.col) -> Column:
     """The entry as its line holds it, in the order of ENTRY."""
-    names = [x.split()[0] for x in ENTRY.split(", ")]
     part = lambda c: F.concat(F.lit(f'"{c}":'), F.coalesce(_json(row(c), c), F.lit("null")))
-    return F.concat(F.lit("{"), F.concat_ws(",", *(F.when(row(c).isNotNull(), part(c)) if c in OPTIONAL else part(c) for c in names)), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.when(row(c).isNotNull(), part(c)) if c in OPTIONAL else part(c) for c in NAMES)), F.lit("}"))
 
 
 def entry_hash() -> Column:
     return F.sha2(entry_json(), 256)
 
 
-def events_of(findings: DataFrame, timestamp: str, version: str = "1") -> DataFrame:
+def events_of(findings: DataFrame, timestamp: str | None = None, version: str = "1") -> DataFrame:
     """A finding's entry before it is chained: event is the verdict, ``verdict`` ALLOW or the tier."""
     v = F.upper(verdict(F.col("tier"), F.col("confidence")))
     ai = F.when(F.col("ai_skipped"), "skipped").when(F.col("layer") == "semantic", "used")
-    return findings.select(F.lit(timestamp).alias("timestamp"), v.alias("event"), "file", "tier", "layer", F.when(v == "ALLOW", v).otherwise(F.coalesce("tier", v)).alias("verdict"), F.lit(version).alias("version"), F.lit(None).cast("long").alias("scan_duration_ms"), ai.alias("ai_layer"), *(F.col(c).alias(f"_{c}") for c in ("confidence", *ORDER)))
+    return findings.select((F.lit(timestamp) if timestamp else rfc3339_now()).alias("timestamp"), v.alias("event"), "file", "tier", "layer", F.when(v == "ALLOW", v).otherwise(F.coalesce("tier", v)).alias("verdict"), F.lit(version).alias("version"), F.lit(None).cast("long").alias("scan_duration_ms"), ai.alias("ai_layer"), *(F.col(c).alias(f"_{c}") for c in ("confidence", *ORDER)))
 
 
-def append(events: list, key: bytes, last: dict | None = None) -> list[dict]:
-    """Chain one scan's events after ``last``: a sequential fold over what a single writer appends, on the driver."""
+NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+
+
+def chained(events: Iterable[dict], key: bytes, seq: int = 0, prev_hash: str = GENESIS) -> Iterator[dict]:
+    """Events as entries, each with the hash of the one before and its signature."""
     import hashlib
     import hmac
     import json
 
-    names = [x.split()[0] for x in ENTRY.split(", ")]
-    line = lambda e: json.dumps({n: e[n] for n in names if n not in OPTIONAL or e[n] is not None}, separators=(",", ":"), ensure_ascii=False)
-    out = []
-    for e in events:
-        entry = {n: e.get(n) for n in names} | {"seq": last["seq"] + 1 if last else 0, "prev_hash": hashlib.sha256(line(last).encode()).hexdigest() if last else GENESIS}
-        signed = {n: entry[n] for n in sorted((*SIGNED, *OPTIONAL)) if n not in OPTIONAL or entry[n] is not None}
-        entry["hmac"] = hmac.new(key, json.dumps(signed, separators=(",", ":"), ensure_ascii=False).encode(), hashlib.sha256).hexdigest()
-        out.append(entry)
-        last = entry
-    return out
+    def line(e: dict, names) -> bytes:
+        return json.dumps({n: e[n] for n in names if n not in OPTIONAL or e[n] is not None}, separators=(",", ":"), ensure_ascii=False).encode()
+
+    for event in events:
+        entry = {n: event.get(n) for n in NAMES} | {"seq": seq, "prev_hash": prev_hash}
+        entry["hmac"] = hmac.new(key, line(entry, sorted((*SIGNED, *OPTIONAL))), hashlib.sha256).hexdigest()
+        yield entry
+        seq, prev_hash = seq + 1, hashlib.sha256(line(entry, NAMES)).hexdigest()
+
+
+def append(events: list, key: bytes, last: dict | None = None) -> list[dict]:
+    """Chain a few events after ``last``, on the driver. For a scan's events use ``append_log``."""
+    import hashlib
+    import json
+
+    if not last:
+        return [*chained(events, key)]
+    line = json.dumps({n: last[n] for n in NAMES if n not in OPTIONAL or last[n] is not None}, separators=(",", ":"), ensure_ascii=False)
+    return [*chained(events, key, last["seq"] + 1, hashlib.sha256(line.encode()).hexdigest())]
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 0) and the entries of a log, a file or a folder that ``append_log`` wrote: files by time and name, lines as they stand. No log has no entries.
+
+    Lines are numbered inside each file's part; only the parts' counts meet.
+    """
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"line_no long, {ENTRY}")
+    m = F.col("_metadata")
+    place = F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("path"), m["file_block_start"].alias("start"))
+    d = lines.select(place.alias("_part"), F.monotonically_increasing_id().alias("_i"), "value").where(F.trim("value") != "")
+    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
+    starts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_i")) - 1
+    d = d.withColumn("_within", within).join(starts, "_part")
+    return d.select((F.col("_start") + F.col("_within")).alias("line_no"), F.from_json("value", ENTRY).alias("e")).select("line_no", "e.*")
+
+
+def append_log(events: DataFrame, path: str, key: bytes) -> None:
+    """Append a scan's events (``events_of``) to the log in a folder: one file, its entries after the log's last.
+
+    A chain is sequential, so the entries stream through one task in the order of the findings, an Arrow
+    batch at a time. There must be one writer.
+    """
+    spark = events.sparkSession
+    log = read_log(spark, path)
+    last = log.withColumn("_hash", entry_hash()).orderBy(F.desc("line_no")).limit(1).select("seq", "_hash").first()
+    seq, prev_hash = (last["seq"] + 1, last["_hash"]) if last else (0, GENESIS)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for pdf in batches:
+                for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                    yield r | {"scan_duration_ms": None if r["scan_duration_ms"] is None else int(r["scan_duration_ms"])}
+
+        held: list[dict] = []
+        for entry in chained(rows(), key, seq, prev_hash):
+            held.append(entry)
+            if len(held) == 4096:
+                yield pd.DataFrame(held, columns=NAMES)
+                held = []
+        yield pd.DataFrame(held, columns=NAMES)
+
+    order = [F.desc("_confidence"), *(F.col(f"_{c}") for c in ORDER)]
+    one = events.repartition(1).sortWithinPartitions(*order).select(*(c for c in NAMES if c not in ("seq", "prev_hash", "hmac")))
+    one.mapInPandas(chain, ENTRY).select(entry_json().alias("value")).write.mode("append").text(path)
+
+
+def verify_log(spark: SparkSession, path: str, key: bytes) -> DataFrame:
+    """n_entries and first_broken of a log."""
+    return first_break(read_log(spark, path), key)
 
 
 def checked(entries: DataFrame, key: bytes, part: str | None = None) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalised_path
+from ..functions.text import normalised_path, rfc3339_now
 from .route import ORDER, verdict
 
 
-
 def fingerprint(file: Column, rule: Column, secret: Column, snippet: Column, normalize_paths: bool = False) -> Column:
     """sha256 over file, rule and secret (else snippet), NUL between; a line's number plays no part."""
     name = normalised_path(file) if normalize_paths else file
@@ -30,13 +30,43 @@ def suppress(findings: DataFrame, baseline: DataFrame, normalize_paths: bool = F
     return with_fingerprint(findings, normalize_paths).join(baseline.select("fingerprint"), "fingerprint", "left_anti").drop("fingerprint")
 
 
+#: Fingerprints or results in one document of a file that others read.
+DOCUMENT = 50_000
+
+
+def _dealt(rows: DataFrame, each: int = DOCUMENT) -> DataFrame:
+    """``rows`` with part: as many parts of about ``each`` rows as they need."""
+    parts = 1 + rows.count() // each
+    return rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+
+
+def _write_documents(documents: DataFrame, path: str) -> None:
+    """``part, value`` rows as one file each: ``path/part=N``."""
+    documents.write.mode("overwrite").partitionBy("part").text(path)
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("version int, generated_at string, fingerprints array<string>").option("multiLine", "true").json(path).select(F.explode("fingerprints").alias("fingerprint")).distinct()
+    """The fingerprints of a baseline's documents, pretty or compact, in a file or a folder. Where there is none, or nothing in it parses, it is empty."""
+    try:
+        documents = spark.read.text(path, wholetext=True, recursiveFileLookup=True)  # each holds at most DOCUMENT fingerprints where written here
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        documents = spark.createDataFrame([], "value string")
+    found = F.from_json("value", "fingerprints array<string>")["fingerprints"]
+    return documents.select(F.explode(found).alias("fingerprint")).where("fingerprint is not null").distinct()
+
+
+def baseline_documents(fingerprints: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """part and value, a JSON document with version, generated_at and sorted fingerprints; one document up to ``DOCUMENT`` of them."""
+    at = F.lit(generated_at) if generated_at else rfc3339_now()
+    each = _dealt(fingerprints.select("fingerprint")).groupBy("part").agg(F.sort_array(F.collect_list("fingerprint")).alias("fingerprints"))
+    return each.select("part", F.to_json(F.struct(F.lit(1).alias("version"), at.alias("generated_at"), "fingerprints")).alias("value"))
 
 
-def write_baseline(findings: DataFrame, path: str) -> None:
-    """A table of fingerprints; any store that Spark writes."""
-    baseline_of(findings).write.mode("overwrite").json(path)
+def write_baseline(findings: DataFrame, path: str, normalize_paths: bool = False, generated_at: str | None = None) -> None:
+    """Accept all of ``findings``; ``read_baseline`` reads what is written."""
+    _write_documents(baseline_documents(baseline_of(findings, normalize_paths), generated_at), path)
 
 
 def replace_first(text: Column, secret: Column, token: Column) -> Column:
@@ -50,6 +80,12 @@ def needle(secret: Column, snippet: Column) -> Column:
     return F.coalesce(secret, F.regexp_replace(snippet, r"^[+\- ]+|[+\- ]+$", ""))
 
 
+def preview(snippet: Column, secret: Column, token: Column) -> Column:
+    """The start of a snippet as redaction would leave it; the token alone where the secret isn't in that."""
+    short, t = F.substring(snippet, 1, 80), F.coalesce(token, F.lit("REDACTED"))
+    return F.when(short.isNotNull(), F.when(F.coalesce(short.contains(secret), F.lit(False)), replace_first(short, secret, t)).otherwise(t))
+
+
 def redact_files(files: DataFrame, findings: DataFrame, only_blocked: bool = True) -> DataFrame:
     """path, text, n_redacted of ``path, text`` rows. A file's findings are applied in their order, each to its first occurrence."""
     f = findings.where(F.col("secret").isNotNull() & (verdict(F.col("tier"), F.col("confidence")) == "block")) if only_blocked else findings
@@ -87,9 +123,29 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.where("rule_id is not null").groupBy("rule_id").agg(F.min(first).alias("f")).select("rule_id", F.coalesce("f.description", "rule_id").alias("description"))
 
 
-def write_sarif(findings: DataFrame, path: str) -> None:
-    """One JSON document a result, with its rule's description beside: readers join them into a SARIF run."""
-    sarif_results(findings).join(sarif_rules(findings), "rule_id", "left").write.mode("overwrite").json(path)
+SARIF = "2.1.0"
+SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
+
+
+def sarif_documents(findings: DataFrame, tool: str = "leaksieve", version: str = "1") -> DataFrame:
+    """part and value, a SARIF log of one run; one log up to ``DOCUMENT`` results. Each names all rules, which are at most the catalog's."""
+    text = lambda c: F.struct(F.col(c).alias("text"))
+    place = F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
+    result = F.struct(F.col("rule_id").alias("ruleId"), "level", text("message").alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias(f"{tool}Fingerprint/v1")).alias("partialFingerprints"))
+    results = _dealt(sarif_results(findings)).select("part", F.struct("uri", "start_line", "rule_id", "fingerprint").alias("at"), result.alias("result"))
+    results = results.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "result"))), lambda x: x["result"]).alias("results"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.col("rule_id").alias("name"), text("description").alias("shortDescription"))
+    rules = sarif_rules(findings).agg(F.sort_array(F.collect_list(rule)).alias("rules"))  # a row of at most the catalog's rules
+    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), "rules")
+    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.coalesce("results", F.array()).alias("results"))
+    log = F.struct(F.lit(SCHEMA).alias("$schema"), F.lit(SARIF).alias("version"), F.array(run).alias("runs"))
+    some = rules.join(results, F.lit(True), "left")  # a scan without findings has a log too
+    return some.select(F.coalesce("part", F.lit(0)).alias("part"), F.to_json(log).alias("value"))
+
+
+def write_sarif(findings: DataFrame, path: str, tool: str = "leaksieve", version: str = "1") -> None:
+    """SARIF logs that other tools read, one file each."""
+    _write_documents(sarif_documents(findings, tool, version), path)
 
 
 def json_lines(findings: DataFrame) -> DataFrame:
@@ -98,6 +154,12 @@ def json_lines(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(out, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def history_json_lines(findings: DataFrame) -> DataFrame:
+    """One JSON object a finding of a history scan (with sha and subject): no secret, no snippet."""
+    out = F.struct(F.col("sha").alias("commit"), "subject", "file", F.col("line_no").alias("line"), F.col("rule_id").alias("match_type"), "tier", "layer", "confidence", "description")
+    return findings.select(F.to_json(out, {"ignoreNullFields": "false"}).alias("value"))
+
+
 def json_documents(files: DataFrame, findings: DataFrame) -> DataFrame:
     """One JSON object a file: file, clean and its findings in order. Snippets are part of it, secrets are not."""
     one = F.struct((-F.col("confidence")).alias("_c"), *(F.col(c).alias(f"_{c}") for c in ORDER if c != "file"), F.struct(F.col("line_no").alias("line"), F.col("rule_id").alias("match_type"), "tier", "layer", "confidence", "description", "snippet", "redacted").alias("f"))
