@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -69,11 +70,13 @@ def bindings_in(source: str, ext: str, names=SENSITIVE_NAMES) -> list[Binding]:
         return []
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in TOKENS[language].finditer(source) if m.lastgroup not in ("space", "comment")]
     out: list[Binding] = []
+    opened = _opened(tokens, language)
+    lines = [m.start() for m in re.finditer("\n", source)]
     brackets: list[str] = []
     for i, (kind, text, _, _) in enumerate(tokens):
         if kind == "other":
             if text in "([{":
-                brackets.append(text)
+                brackets.append(opened[i])
             elif text in ")]}" and brackets:
                 brackets.pop()
         if kind != "bind" or text not in ("=", ":=", ":"):
@@ -86,10 +89,52 @@ def bindings_in(source: str, ext: str, names=SENSITIVE_NAMES) -> list[Binding]:
         name, at = left
         value = right[0].strip("\"'`")
         if is_sensitive(name, names) and len(value.encode()) >= MIN_BYTES and not is_placeholder(value):
-            out.append(Binding(name, source.count("\n", 0, at), source[at : right[1]][:100], value, confidence_of(value)))
+            out.append(Binding(name, bisect_left(lines, at), source[at : right[1]][:100], value, confidence_of(value)))
     return out
 
 
+#: Words before a bracket that doesn't hold parameters.
+TESTS = frozenset("if for while switch with".split())
+
+
+def _opened(tokens, language: str) -> dict[int, str]:
+    """What each opening bracket opens: itself, or a script's class body or parameters, or an annotation's arguments."""
+    out: dict[int, str] = {}
+    open_at: list[int] = []
+    for i, (kind, text, _, _) in enumerate(tokens):
+        if kind != "other":
+            continue
+        if text in "([{":
+            open_at.append(i)
+            annotated = language == "java" and text == "(" and i > 1 and tokens[i - 1][0] == "name" and tokens[i - 2][1] == "@"
+            out[i] = "annotation" if annotated else "class" if language == "script" and text == "{" and _heads_class(tokens, i) else text
+        elif text in ")]}" and open_at:
+            at = open_at.pop()
+            if language == "script" and out[at] == "(" and _are_parameters(tokens, at, i):
+                out[at] = "parameters"
+    return out
+
+
+def _heads_class(tokens, i: int) -> bool:
+    """Whether a class's head stands before this brace."""
+    for kind, text, _, _ in reversed(tokens[max(0, i - 40) : i]):
+        if kind == "name" and text == "class":
+            return True
+        if kind not in ("name", "line") and text not in ("<", ">", ","):
+            return False
+    return False
+
+
+def _are_parameters(tokens, first: int, last: int) -> bool:
+    """Whether brackets hold a function's parameters: an arrow or a body follows, and no test stands before."""
+    before = [t[1] for t in tokens[max(0, first - 2) : first]]
+    after = [t[1] for t in tokens[last + 1 : last + 6] if t[0] != "line"][:3]
+    if after[:1] == ["=>"] or "function" in before:
+        return True
+    body = after[:1] == ["{"] or after[:1] == [":"] and after[2:3] in (["{"], ["=>"])
+    return body and bool(before) and before[-1] not in TESTS
+
+
 def _left(tokens, i: int, language: str, bind: str, inside: str) -> tuple[str, int] | None:
     """The bound name's text and place."""
     if i == 0:
@@ -101,7 +146,7 @@ def _left(tokens, i: int, language: str, bind: str, inside: str) -> tuple[str, i
             return None
         return text, at
     if bind == ":=" and language == "go" or bind == "=":
-        if kind != "name":
+        if kind != "name" or inside in ("parameters", "annotation", "class"):
             return None
         if inside == "(" and language in ("python", "go") and not (language == "go" and before[0] in ("line",)):
             return None  # an argument or a parameter
