@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import first_line
 from ..operators import baseline, detect, metrics, route
 from ..sources import diffs
 from ..sources.lines import file_lines, snippet_lines
@@ -41,12 +42,12 @@ def scan_history(log: DataFrame, text_col: str = "text", settings: Settings = Se
     """Findings of each commit, with sha and subject; a commit is a unit."""
     heads = diffs.commits(log, text_col).select("sha", "subject")
     found = scan_lines(diffs.history_lines(log, text_col), settings, **more)
-    return found.join(heads, found.unit_id == heads.sha)
+    return route.in_order(found.join(heads, found.unit_id == heads.sha))
 
 
 def adjudicate(findings: DataFrame, classify: Callable[[str], str]) -> DataFrame:
     """Labels (route.KEY, label) of what is to be adjudicated: at most three snippets of a unit go to ``classify``, on the executors."""
-    schema = "unit_id string, file string, line_no int, rule_id string, phase int, match_ord int, label string"
+    schema = f"unit_id string, file string, line_no int, rule_id string, phase int, match_ord {detect.MATCH_ORD}, label string"
 
     def ask(batches):
         for pdf in batches:
@@ -55,10 +56,34 @@ def adjudicate(findings: DataFrame, classify: Callable[[str], str]) -> DataFrame
     return route.to_adjudicate(findings).select(*route.KEY, "snippet").mapInPandas(ask, schema)
 
 
-def bench(samples: DataFrame, ext: str = "py", settings: Settings = Settings()) -> DataFrame:
-    """Accuracy over labelled samples (id, code, label, category, usable): one row, with how many were passed over."""
+def _flagged(samples: DataFrame, ext: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
     good = samples.where("usable").select(F.col("id").alias("unit_id"), "code", "label", "category")
     found = detect.scan_lines(snippet_lines(good, "code", F.col("unit_id"), ext), settings.rules, settings.sensitive_names, **settings.entropy())
-    flagged = route.routed(found).select("unit_id")
+    return good, route.routed(found).select("unit_id").distinct()
+
+
+def bench(samples: DataFrame, ext: str = "py", settings: Settings = Settings(), latencies: DataFrame | None = None) -> DataFrame:
+    """Accuracy over labelled samples (id, code, label, category, usable): one row, with how many were passed over.
+
+    ``latencies`` (ms) are a caller's own timings of single snippets; a scan here has none, so p50_ms and p95_ms are else null.
+    """
+    good, flagged = _flagged(samples, ext, settings)
     skipped = samples.agg(F.count_if(~F.col("usable")).alias("skipped"))
-    return metrics.confusion(good, flagged).crossJoin(F.broadcast(skipped))  # one row beside one row
+    one = metrics.confusion(good, flagged).crossJoin(F.broadcast(skipped))  # one row beside one row
+    if latencies is None:
+        return one.withColumns({"p50_ms": F.lit(None).cast("double"), "p95_ms": F.lit(None).cast("double")})
+    ranks = metrics.nearest_rank(latencies, "ms", {"p50_ms": 0.5, "p95_ms": 0.95}).select(*(F.round(c, 2).alias(c) for c in ("p50_ms", "p95_ms")))
+    return one.join(ranks, F.lit(True), "left")  # one row beside at most one
+
+
+def bench_lists(samples: DataFrame, ext: str = "py", settings: Settings = Settings(), most: int = 10) -> DataFrame:
+    """kind (missed, false alarm), items (labels of the first ones, by id) and more, the number of those left out: what a report lists."""
+    good, flagged = _flagged(samples, ext, settings)
+    d = good.join(flagged.withColumn("_hit", F.lit(True)), "unit_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    leak = F.lower("label") == "leak"
+    d = d.withColumn("kind", F.when(leak & ~F.col("_hit"), "missed").when(~leak & F.col("_hit"), "false alarm")).where("kind is not null")
+    totals = d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("kind").orderBy("unit_id")
+    shown = d.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+    items = shown.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", first_line(F.col("code")).alias("label")))), lambda x: x["label"]).alias("items"))
+    return items.join(totals, "kind").select("kind", "items", (F.col("n") - F.size("items")).alias("more"))

@@ -6,9 +6,13 @@ strings, placeholders, marked lines, clean ones) are made from hashed order keys
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.lines import spread
+
 EXTENSIONS = ("py", "env", "json", "yaml", "js", "lock")
 #: Text templates by key modulo their number; {a:b} is that part of the key's hash, {A:b} in upper case.
 TEMPLATES = (
@@ -43,13 +47,24 @@ def _column(template: str, h: Column) -> Column:
     return F.concat(*(F.lit(s) if not case else (F.upper if case == "A" else lambda x: x)(F.substring(h, a, n)) for s, case, a, n in _parts(template)))
 
 
+def template_column(templates: Sequence[str], key: Column, h: Column) -> Column:
+    """The key's template with the parts of its hash filled in."""
+    text = F.lit("")
+    for i, t in enumerate(templates):
+        text = F.when(key % len(templates) == i, _column(t, h)).otherwise(text)
+    return text
+
+
+def template_sql(templates: Sequence[str], key: str) -> str:
+    part = lambda p: quoted(p[0]) if not p[1] else f"upper(substr(h, {p[2]}, {p[3]}))" if p[1] == "A" else f"substr(h, {p[2]}, {p[3]})"
+    return f"CASE {key} % {len(templates)} " + " ".join(f"WHEN {i} THEN {' || '.join(map(part, _parts(t)))}" for i, t in enumerate(templates)) + " END"
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit_id, file, ext, line_no, text and template of one line for each order."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     k, h = F.col("o_orderkey"), F.sha2(F.col("o_orderkey").cast("string"), 256)
-    text, ext = F.lit(""), F.lit("")
-    for i, t in enumerate(TEMPLATES):
-        text = F.when(k % len(TEMPLATES) == i, _column(t, h)).otherwise(text)
+    text, ext = template_column(TEMPLATES, k, h), F.lit("")
     for i, e in enumerate(EXTENSIONS):
         ext = F.when(F.col("o_custkey") % len(EXTENSIONS) == i, e).otherwise(ext)
     d = o.select(F.concat(F.lit("u"), (F.col("o_custkey") % 100).cast("string")).alias("unit_id"), ext.alias("ext"), k.cast("int").alias("line_no"), text.alias("text"), (k % len(TEMPLATES)).cast("int").alias("template"), "o_custkey")
@@ -62,10 +77,8 @@ def quoted(text: str) -> str:
 
 def lines_sql() -> str:
     n, m = len(TEMPLATES), len(EXTENSIONS)
-    part = lambda p: quoted(p[0]) if not p[1] else f"upper(substr(h, {p[2]}, {p[3]}))" if p[1] == "A" else f"substr(h, {p[2]}, {p[3]})"
-    texts = " ".join(f"WHEN {i} THEN {' || '.join(map(part, _parts(t)))}" for i, t in enumerate(TEMPLATES))
     exts = " ".join(f"WHEN {i} THEN {quoted(e)}" for i, e in enumerate(EXTENSIONS))
     return f"""SELECT unit_id, 'src/f' || o_custkey || '.' || ext AS file, ext, line_no, text, template FROM (
         SELECT 'u' || (o_custkey % 100) AS unit_id, CASE o_custkey % {m} {exts} END AS ext, CAST(o_orderkey AS INTEGER) AS line_no,
-               CASE o_orderkey % {n} {texts} END AS text, CAST(o_orderkey % {n} AS INTEGER) AS template, o_custkey
+               {template_sql(TEMPLATES, "o_orderkey")} AS text, CAST(o_orderkey % {n} AS INTEGER) AS template, o_custkey
         FROM (SELECT *, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders))"""

@@ -108,7 +108,9 @@ def test_each_rule_has_cases_and_hits_only_where_it_should(spark):
 
 def test_gates_are_necessary(spark):
     for r in RULES:
-        assert any(g in CASES[r.id][0].lower() for g in r.gates), r.id
+        text = CASES[r.id][0].lower() if r.any_case else CASES[r.id][0]
+        assert any(g in text for g in r.gates), r.id
+        assert not r.any_case or all(g == g.lower() for g in r.gates)
 
 
 def test_occurrences_placeholders_and_seams(spark):
