@@ -33,10 +33,12 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none."""
+    """The folder all executors share. Where the session names none, a local one is set for a local master only."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="leaksieve-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -47,7 +49,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete what ``stage`` wrote, where nothing reads it any more."""
+    for df in stages:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def column(name: str) -> Column:
+    """The column of just this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(df: DataFrame, name: str = "rest") -> Column:
+    """All of a row's columns as one, so that columns added beside it can't clash with any; ``rest.*`` brings them back."""
+    return F.struct(*(column(c) for c in df.columns)).alias(name)
 
 
 def kept(name: str) -> dict:

@@ -53,25 +53,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _LUHN = "list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(dg[length(dg) + 1 - i] AS INTEGER) ELSE CAST(dg[length(dg) + 1 - i] AS INTEGER) * 2 - CASE WHEN dg[length(dg) + 1 - i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
 _MOD97 = """list_reduce(list_transform(string_split(substr(s, 5) || substr(s, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INTEGER) ELSE ascii(c) - 55 END), lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END, 0) = 1"""
+_SSN = "NOT regexp_matches(s, '^(000|666|9)|-00-|-0000$')"
+_ROUTING = "list_sum(list_transform(range(1, 10), lambda i: CAST(s[i] AS INTEGER) * [3, 7, 1][CAST((i - 1) % 3 AS INTEGER) + 1])) % 10 = 0 AND s <> '000000000'"
+#: kind, pattern, test, score in hundredths, context, and whether its spans stay whatever their score
 _PII_KINDS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(s, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || ltrim(p, '0') AS BIGINT) > 255)) = 0"),
-    ("card", r"[0-9]([\x20-]?[0-9])+", f"length(dg) BETWEEN 12 AND 19 AND {_LUHN}"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(dg) BETWEEN 9 AND 15"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 80, "mail|contact|courriel|correo", True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(s, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || ltrim(p, '0') AS BIGINT) > 255)) = 0", 70, r"\bip\b|host|server|addr", True),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length(dg) BETWEEN 12 AND 19 AND {_LUHN}", 70, "card|visa|credit|karte|carte|tarjeta", True),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(dg) BETWEEN 9 AND 15", 70, "phone|call|tel|mobile|fax", True),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97, 60, "iban|bank|konto|cuenta|compte|account", False),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", _SSN, 40, r"\bssn\b|social security", False),
+    ("routing", r"\b[0-9]{9}\b", _ROUTING, 40, r"\baba\b|routing|bank", False),
 )
+_NEAR = "lower(substr(text, greatest(CAST(b AS BIGINT) - 39, 1), least(b, 40)) || ' ' || substr(text, e + 1, 40))"
 _PII_SPANS = " UNION ALL ".join(
-    f"""SELECT r, {n} AS kind_no, '{name}' AS kind, a AS b, a + length(s) AS e, s, regexp_replace(s, '[^0-9]', '', 'g') AS dg FROM (
-        SELECT r, m[i] AS s, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
-        FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM d WHERE regexp_matches(text, '{pattern}')), unnest(range(1, len(m) + 1)) u(i)) x
-        WHERE (SELECT {test} FROM (SELECT regexp_replace(s, '[^0-9]', '', 'g') AS dg))"""
-    for n, (name, pattern, test) in enumerate(_PII_KINDS)
+    f"""SELECT r, kind_no, kind, b, e, score FROM (SELECT *, {score} + CASE WHEN regexp_matches(near, '{context}') THEN 20 ELSE 0 END - CASE WHEN regexp_matches(near, 'example|sample|dummy|version|checksum') THEN 20 ELSE 0 END AS score FROM (
+        SELECT *, {_NEAR} AS near FROM (SELECT r, text, {n} AS kind_no, '{name}' AS kind, a AS b, a + length(s) AS e, s FROM (
+        SELECT r, text, m[i] AS s, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+        FROM (SELECT r, text, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM d WHERE regexp_matches(text, '{pattern}')), unnest(range(1, len(m) + 1)) u(i)) x
+        WHERE (SELECT {test} FROM (SELECT regexp_replace(s, '[^0-9]', '', 'g') AS dg))))) WHERE {"true" if always else "score >= 50"}"""
+    for n, (name, pattern, test, score, context, always) in enumerate(_PII_KINDS)
 )
-_JOINED = "coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, kind_no, e){f}, '')"
+_JOINED = "coalesce(string_agg({x}, ',' ORDER BY b, kind_no, e){f}, '')"
+_SPAN = "kind || ':' || b || ':' || e"
 PII = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), s AS ({_PII_SPANS})
 SELECT doc_id, {", ".join(f"count(kind) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))},
-       sha256({_JOINED.format(f=" FILTER (kind_no < 4)")}) AS base_sha256, {_JOINED.format(f="")} AS spans
+       sha256({_JOINED.format(x=_SPAN, f=" FILTER (kind_no < 4)")}) AS base_sha256, {_JOINED.format(x=_SPAN, f="")} AS spans, {_JOINED.format(x="score", f="")} AS scores
 FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"""
 
 ORACLE_SQL = {"op3_sharding": SHARDING, "op4_quality_rules": QUALITY_RULES, "op6_pii": PII, "op9_exact_dedup": EXACT_DEDUP}

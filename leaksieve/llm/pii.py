@@ -3,10 +3,13 @@
 DataFrame operations only. The patterns' repeated parts are possessive, so the matcher neither recurses
 nor backtracks on long texts; none of them can match less than its greedy form would.
 
+Kinds beyond the contract's start from a lower score, so the words nearby decide on them: a number alone
+isn't a social security or routing number, one beside such words is.
+
 Defined results: a null text counts as empty and has no spans; offsets are code points, the end
 exclusive; matches of one kind never overlap, those of two kinds may; spans are in the order of start,
-then kind as in KINDS, then end. Repeated rows get equal results, an empty table none. Added columns
-replace columns of their names; others stay.
+then kind as in KINDS, then end. Repeated rows get equal results, an empty table none.
+``find_spans`` replaces a column ``pii``; other columns stay, whatever their names, and ``redact`` keeps all.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import carried, column, whole_text
 
 #: Matches whose offsets are summed in one go; a longer list is done in such blocks.
 BLOCK = 256
@@ -66,6 +69,20 @@ def _phone(x: Column) -> Column:
     return F.length(digits_of(x)).between(9, 15)
 
 
+def _ssn(x: Column) -> Column:
+    """A number that is given out: no part is all zeros, the area is neither 666 nor 9xx."""
+    return ~x.rlike("^(?:000|666|9)|-00-|-0000$")
+
+
+def _routing(x: Column) -> Column:
+    """A bank's routing number: its digits times 3, 7, 1 in turn sum to a multiple of 10."""
+    digit = lambda i: F.substring(x, i, 1).cast("int")
+    total = digit(1) * 3
+    for i in range(2, 10):
+        total = total + digit(i) * (3, 7, 1)[(i - 1) % 3]
+    return (total % 10 == 0) & (x != "000000000")
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -87,6 +104,8 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9][0-9\x20-]{10,}[0-9]"), _card, 0.7, "card|visa|credit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), _phone, 0.7, "phone|call|tel|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), mod97, 0.6, "iban|bank|konto|cuenta|compte|account", always=False),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), _ssn, 0.4, r"\bssn\b|social security", always=False),
+    Kind("routing", r"\b[0-9]{9}\b", lambda t: t.rlike(r"[0-9]{9}"), _routing, 0.4, r"\baba\b|routing|bank", always=False),
 )
 #: Words nearby that speak against any kind.
 DOUBT = "example|sample|dummy|version|checksum"
@@ -139,20 +158,26 @@ def _spans(text: Column, no: int, kind: Kind) -> Column:
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with pii: an array of start, kind_no, end, kind, text and score."""
-    text = whole_text(text_col)
+    text = whole_text(column(text_col))
     each = {f"_pii_{k.name}": _spans(text, no, k) for no, k in enumerate(KINDS)}
     names = list(each)
-    return docs.drop("pii", *names).withColumns(each).withColumn("pii", F.array_sort(F.concat(*names))).drop(*names)
+    found = F.array_sort(F.concat(*names))
+    return docs.select(carried(docs), *(v.alias(k) for k, v in each.items())).select(*(F.col("rest")[c].alias(c) for c in docs.columns if c != "pii"), found.alias("pii"))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(x["kind"], F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
 
 
+def scores(spans: Column) -> Column:
+    """The spans' scores in hundredths, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.round(x["score"] * 100).cast("int").cast("string")), ",")
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span's characters replaced by ``<KIND>``; of overlapping spans the first tells the kind."""
-    found = find_spans(docs, text_col)
-    text = whole_text(text_col)
+    text = whole_text("text")
+    found = find_spans(docs.select(carried(docs), column(text_col).alias("text")), "text")
 
     def step(a: Column, x: Column) -> Column:
         fresh = x["start"] >= a["pos"]
@@ -164,5 +189,6 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     done = F.aggregate(F.col("pii"), F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out")), step)
     tail = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["pos"] + 1, F.length(text)))
-    clean = F.when(F.size("pii") == 0, F.col(text_col)).otherwise(F.get(F.transform(F.array(done), tail), F.lit(0)))
-    return found.withColumn(text_col, clean).drop("pii")
+    clean = F.when(F.size("pii") == 0, F.col("text")).otherwise(F.get(F.transform(F.array(done), tail), F.lit(0)))
+    done = found.select("rest", clean.alias("clean"))
+    return done.select(*(F.col("clean").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))

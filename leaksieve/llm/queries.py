@@ -41,7 +41,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.filter("pii", lambda x: x["kind"] == kind)
     base: Column = F.filter("pii", lambda x: x["kind_no"] < 4)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"), pii.scores(F.col("pii")).alias("scores"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, whole_text
+from .common import carried, column, stage, whole_text
 
 SHARDS = 16
 #: Hexadecimal digits of the hash by which a shard's rows fall into buckets that number theirs apart: 4096 of them.
@@ -40,9 +40,9 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, added: Sequence[float] = (1.0,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard (with ``added`` shards more)."""
-    key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), whole_text(text_col)
+    key, text = F.coalesce(column(id_col).cast("string"), F.lit("")), whole_text(column(text_col))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        column(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(key, weights).cast("int").alias("shard"),
@@ -63,7 +63,10 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, a
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * SHARDS, id_col: str = "doc_id", files_per_shard: int = 1) -> None:
-    """Write ``docs`` as ``path/shard=N/``, in ``files_per_shard`` files each."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    out = docs.withColumn("shard", shard_of(key, weights)).withColumn("_part", F.pmod(F.xxhash64(*docs.columns), F.lit(files_per_shard)))
-    out.repartition(len(weights) * files_per_shard, "shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as ``path/shard=N/``, in ``files_per_shard`` files each, with all columns. An input column ``shard`` is an error, as the folders' own name is that."""
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("rename the column shard: the folders' names bring one of that name back")
+    key = F.coalesce(column(id_col).cast("string"), F.lit(""))
+    part = F.pmod(F.xxhash64(*(column(c) for c in docs.columns)), F.lit(files_per_shard))
+    out = docs.select(carried(docs), shard_of(key, weights).alias("to"), part.alias("part")).repartition(len(weights) * files_per_shard, "to", "part")
+    out.select("rest.*", F.col("to").alias("shard")).write.partitionBy("shard").parquet(path)
