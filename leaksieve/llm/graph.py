@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 #: Links in a partition: few links need few tasks and files, whatever the session's number of partitions.
 LINKS_EACH = 100_000
@@ -33,14 +33,15 @@ def components(links: DataFrame) -> DataFrame:
     """``u, v`` links of longs to ``node, root``: a row for each node of a link, root the smallest it reaches."""
     most = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = lambda x: x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-    links = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v"), "links")
+    held = links = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v"), "links")
     before = known(links)
     while True:
         parts = min(most, 1 + before["n"] // LINKS_EACH)
         links = links.coalesce(parts)
         turned = stage(_small_star(_large_star(links, parts), parts).where("u != v").distinct().coalesce(parts), "links")
         after = known(turned)
-        links = turned
+        discard(held)
+        held = links = turned
         if before == after:
             break
         before = after

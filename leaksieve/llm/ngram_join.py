@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stage
+from .common import carried, column, sliced, stage
 from .graph import components
 from .shingles import SHINGLE, Shingler, node_of
 
@@ -46,20 +46,20 @@ FREQUENT, FREQUENT_DF = 1 << 20, 8
 FILTER_BITS = 22
 #: Shingles that a task gathers before it hands them on, buckets for each shuffle partition, and rows whose sets it holds together.
 GATHERED, BUCKETS_EACH, AT_ONCE = 1 << 19, 4, 500
-#: Set sizes of one block differ by less than this factor; only neighbouring blocks can link.
-BLOCK_BASE = 4 / 3
 #: Rounds of anchors at most; they end when fewer than one in ROUND_YIELD comparisons links.
 ROUNDS, ROUND_YIELD = 8, 25
 #: Levels of the share of a node's prefix that others hold too; heads are drawn from the best level of a list.
 LEVELS = 10
 #: Shingles in a block of members that are compared together, about.
 MEMBER_BLOCK = 1 << 13
+#: Keys of more than one in so many of all rows are brought to their rows by a broadcast of fewer keys than this.
+HOT_SHARE = 10_000
 #: Ids of documents to fetch are broadcast up to this number of rows (16 bytes each), and joined by a shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.col(text_col).cast("binary").alias("text"))
+    return docs.select(column(text_col).cast("binary").alias("text"))
 
 
 def _packed(ascending: np.ndarray) -> bytes:
@@ -205,15 +205,17 @@ def _index(docs: DataFrame, text_col: str, shingle: int, threshold: int, buckets
 
 
 def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, node (null for an empty set)."""
+    """One row per document: doc_id, n_shingles, node (null for an empty set), text_hash."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in sliced(batches, AT_ONCE):
             sets = list(shingler.sets_of(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), batch.column("text_hash")], names=["doc_id", "n_shingles", "node", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(name, "doc_id long, n_shingles long, node long")
+    text = column(text_col)
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text.cast("string")).alias("text_hash"))
+    return source.mapInArrow(name, "doc_id long, n_shingles long, node long, text_hash long")
 
 
 def _node_sets(docs: DataFrame, ends: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -229,7 +231,7 @@ def _node_sets(docs: DataFrame, ends: DataFrame, nodes: DataFrame, id_col: str,
             sets = list(shingler.sets_of(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("binary").alias("text"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     return stage(texts.mapInArrow(pack, "node long, shingles binary"), "sets")
 
@@ -292,8 +294,8 @@ def _member_candidates(threshold: int):
     return compare
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _linked_rows(docs: DataFrame, id_col: str, text_col: str, threshold: int, shingle: int) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, text_hash, first (id and text hash of its class's first row) and alone (whether it has no word)."""
     spark = docs.sparkSession
     buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = stage(document_nodes(docs, id_col, text_col, shingle), "nodes")
@@ -345,7 +347,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = links.join(crowd, "v").groupBy("u").agg(F.max_by("v", "crowd").alias("anchor"), F.max_by("apart", "crowd").alias("off")).withColumnRenamed("u", "node")
 
     # 2. pairs of anchors in lists, over blocks, positions and classes
-    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BLOCK_BASE))).cast("int")
+    # set sizes of one block differ by less than what the threshold allows, so only neighbouring blocks can link
+    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / min(threshold, 99)))).cast("int")
     placed = live.join(anchor, "node", "left").withColumns({"anchor": F.coalesce("anchor", "node"), "off": F.coalesce("off", F.lit(0)), "block": block})
     placed = stage(placed, "placed")
 
@@ -388,15 +391,52 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links3 = _compare(open_members, sets(open_members)).where(_linked(threshold)).select("u", "v")
 
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links3))
-    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # a class's name is found node by node: rows of equal sets are counted together before classes meet
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # any id comes before none
+    least = nodes.where("node is not null").groupBy("node").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("rows"))
+    least = stage(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "node-classes")
+    names = stage(least.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "names")
+    named = stage(_brought(least.select("node", "root", "rows"), names, "root", "members"), "named-nodes")
+    labelled = _brought(nodes.where("node is not null"), named.select("node", "first", "rows"), "node", "rows")
+    columns = ("doc_id", "n_shingles", "text_hash")
+    alone = nodes.where("node is null").select(*columns, F.lit(None).cast(least.schema["least"].dataType).alias("first"), F.lit(True).alias("alone"))
+    return labelled.select(*columns, "first", F.lit(False).alias("alone")).unionByName(alone)
+
+
+def _brought(rows: DataFrame, names: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``names``, which has one row for each key and how many rows hold it.
+
+    Keys of more than one in HOT_SHARE of all rows are fewer than HOT_SHARE: they are brought to where their
+    rows lie. Rows of the other keys meet by key.
+    """
+    total = names.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(names.where(F.col(weight) * HOT_SHARE > total))
+    cold = names.where(F.col(weight) * HOT_SHARE <= total)
+    return rows.join(hot.drop(*(set(names.columns) & set(rows.columns) - {key})), key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold.drop(*(set(names.columns) & set(rows.columns) - {key})), key))
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    linked = _linked_rows(docs, id_col, text_col, threshold, shingle)
+    return linked.select("doc_id", "n_shingles", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their class (its smallest id), with all their columns. Ids name one row each; a null id stays."""
-    linked = link_documents(docs, id_col, text_col)
-    dropped = stage(linked.where("component_id != doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, id_col, "left_anti")
+    """The rows of ``docs`` that stay, one of each class, with all their columns: the one of the smallest id, and of the least hash of its text where near copies repeat that id.
+
+    Rows are told apart by id and text, so of rows that repeat an id each stays or goes with its own class.
+    Documents without a word are classes of their own and stay; a null id comes after all others.
+    """
+    linked = stage(_linked_rows(docs, id_col, text_col, THRESHOLD, SHINGLE).where("not alone"), "linked")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    lost = stage(linked.groupBy(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).agg(F.min(first).alias("tie"), F.count(F.lit(1)).alias("n")).where("n > 1 or not tie"), "near-copies")
+    sizes = lost.agg(F.count(F.lit(1)).alias("n"), F.max("tie").alias("ties")).first()
+    small = F.broadcast if sizes["n"] <= BROADCAST_ROWS else lambda x: x
+    rows = docs.select(carried(docs), column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col).cast("string")).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("hash") == F.col("lost_hash"))
+    out = rows.join(small(lost.where("not tie")), same, "left_anti")
+    if sizes["ties"]:  # equal rows that stay are cut to one
+        ties = lost.where("tie")
+        once = out.join(small(ties), same, "left_semi").dropDuplicates(["id", "hash"])
+        out = out.join(small(ties), same, "left_anti").unionByName(once)
+    return out.select("rest.*")

@@ -86,8 +86,10 @@ def test_the_order_of_rules_changes_no_verdict(make_docs, texts):
     forth = [quality.Estimate(r.name, 1.0, float(i)) for i, r in enumerate(rules)]
     back = [quality.Estimate(r.name, 1.0, -float(i)) for i, r in enumerate(rules)]
     d = quality.with_statistics(docs)
-    got = d.select("doc_id", quality.cascade(rules, forth).isNull().alias("a"), quality.cascade(rules, back).isNull().alias("b")).collect()
+    known = quality.Document(quality.whole_text("text"), quality.words_of(quality.whole_text("text")), F.col)
+    got = d.select("doc_id", quality.cascade(rules, forth, known).isNull().alias("a"), quality.cascade(rules, back, known).isNull().alias("b")).collect()
     assert all(r.a == r.b for r in got)
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(r.doc_id for r in quality.judge(docs).where("kept").collect())
     found = quality.estimate_rules(docs, rules)
     assert [e.name for e in found] == [r.name for r in rules] and all(e.cost_s > 0 and 0 <= e.rejects <= 1 for e in found)
 
