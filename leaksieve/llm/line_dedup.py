@@ -6,15 +6,17 @@ A line is deleted if it lies in a block that an earlier document holds too: neig
 1. Lines are hashed after white space is evened out. From each line on, and back from each line, the
    shortest run of neighbours with words enough is a window. Every line of a block lies in a window inside
    it, so windows find all of a block, one of short lines too.
-2. The earliest document with a window is its keeper. Documents with a window of another's keeping lose its
-   lines. Each window names its first holder only, so rows grow with the lines and never with the square of
-   a group, and no cap on frequency is needed.
-3. A line's earliest holder keeps it, as no earlier document holds a window around it: of every deleted
-   line one copy stays.
-
-An alignment of two documents (``patience``, ``deleted_lines``) keeps one order and matches a line once, so it
-deletes a part of this: its blocks consist of windows. Repeated over all pairs until nothing is left to align,
-it comes to these blocks, so the query needs no alignment; the tests hold it to the pairs.
+2. The earliest document with a window is its keeper. Each document is paired with the keepers of its
+   windows, rare or common: a window names one pair for each holder, so pairs grow with the lines and never
+   with the square of a group, and no cap on frequency is needed.
+3. A pair's shared windows are aligned by patience sorting: dealt out, in the document's order, into the
+   fewest runs that increase in both documents. The first run is what a patience diff aligns; the others are
+   what it would align next, once the first is gone, so blocks that moved or repeat aren't missed.
+4. The runs' blocks, neighbours in both documents, are deleted from the later one. A line's earliest holder
+   keeps it, as no earlier document holds a window around it: of every deleted line one copy stays.
+
+``patience`` and ``deleted_lines`` are the plain line diff of two documents; it keeps one order and matches a
+line once, so it deletes a part of this, and the tests hold the operator to it over all pairs.
 
 Windows travel as hashes with their places.
 
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import column, stage
 
 MIN_WORDS = 5
 LAST = (1 << 63) - 1
@@ -170,6 +172,35 @@ def deleted_lines(own: list[int], words: list[int], other: list[int]) -> list[in
     return [k for i, _, n in common_blocks(own, other) if sum(words[i : i + n]) >= MIN_WORDS for k in range(i, i + n)]
 
 
+def alignments(shared: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Shared windows (place, end, the keeper's place) dealt into the fewest runs that increase in both documents, by patience sorting."""
+    runs: list[list[tuple[int, int, int]]] = []
+    tops: list[int] = []  # the negated last place in the keeper of each run, ascending
+    for place, end, other in sorted(shared):
+        k = bisect_left(tops, -other + 1)  # the run whose last place is the greatest below this one
+        if k < len(tops):
+            runs[k].append((place, end, other))
+            tops[k] = -other
+        else:
+            runs.append([(place, end, other)])
+            tops.append(-other)
+    return runs
+
+
+def aligned_blocks(shared: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """First places and ends, in the later document, of the blocks that the alignments match."""
+    out: list[list[int]] = []
+    for run in alignments(shared):
+        step = None  # how far the keeper's lines are from the document's
+        for place, end, other in run:
+            if step == other - place and place <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+            else:
+                out.append([place, end])
+                step = other - place
+    return [(a, b) for a, b in out]
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """row (a number of its own), doc_id, n_lines, windows as key, first and end, and the columns to keep in ``kept``."""
 
@@ -179,8 +210,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Data
             arrays = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), *arrays, batch.column("_kept")], names=["row", "doc_id", "n_lines", "key", "first", "end", "kept"])
 
-    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(0)
-    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), kept.alias("_kept"))
+    kept = F.struct(*(column(c).alias(f"c{n}") for n, c in enumerate(keep))) if keep else F.lit(0)
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), column(id_col).cast("long").alias("_id"), column(text_col).cast("binary").alias("_text"), kept.alias("_kept"))
     kept_type = source.schema["_kept"].dataType.simpleString()
     return stage(source.mapInArrow(split, f"row long, doc_id long, n_lines long, key array<long>, first array<int>, end array<int>, kept {kept_type}"), "lines")
 
@@ -189,10 +220,23 @@ def _deletions(lines: DataFrame) -> DataFrame:
     """row, deleted (places of lines) of the documents that lose lines."""
     order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row").alias("row"))
     each = lines.select("row", "doc_id", F.explode(F.arrays_zip("key", "first", "end")).alias("x")).select("row", "doc_id", "x.*")
+    order = F.struct(order["id"].alias("id"), order["row"].alias("row"), F.col("first").alias("place"))
     held = each.groupBy("key").agg(F.min(order).alias("keeper"), F.min("row").alias("low"), F.max("row").alias("high"))
-    held = stage(held.where("low < high").select("key", F.col("keeper.row").alias("keeper")), "keepers")  # read anew, so that a join skewed by a common line can be split
-    gone = each.select("row", "key", "first", "end").join(held, "key").where("row != keeper")
-    gone = gone.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
+    held = stage(held.where("low < high").select("key", F.col("keeper.row").alias("keeper"), F.col("keeper.place").alias("place")), "keepers")  # read anew, so that a join skewed by a common line can be split
+    shared = each.select("row", "key", "first", "end").join(held, "key").where("row != keeper")
+    pairs = shared.groupBy("row", "keeper").agg(F.collect_list(F.struct("first", "end", "place")).alias("shared"))  # no more than the row's own windows
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, firsts, ends = [], [], []
+            for row, x in zip(batch.column("row").to_pylist(), batch.column("shared"), strict=True):
+                for first, end in aligned_blocks([(w["first"], w["end"], w["place"]) for w in x.as_py()]):
+                    rows.append(row)
+                    firsts.append(first)
+                    ends.append(end)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32())], names=["row", "first", "end"])
+
+    gone = pairs.mapInArrow(align, "row long, first int, end int").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,6 +258,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` without the deleted lines; a null text stays null."""
     lines = _lines(docs, id_col, text_col, docs.columns)
     out = lines.select("row", "kept").join(_deletions(lines), "row", "left")
-    text = F.col("kept")[text_col]
+    text = F.col("kept")[f"c{docs.columns.index(text_col)}"]
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("deleted"), i)), "\n")
-    return out.select(*(F.when(F.col("deleted").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in docs.columns))
+    return out.select(*(F.when(F.col("deleted").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col("kept")[f"c{n}"].alias(c) for n, c in enumerate(docs.columns)))

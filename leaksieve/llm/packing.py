@@ -2,8 +2,8 @@
 
 Each task packs the documents of its own input split in their order, so no row moves: at 100 TB as on a
 laptop a task holds one block of tokens and the documents in it. Windows may end at document ends, at
-sentence ends for a small penalty, and inside a sentence, on a grid and for a large penalty, only where it
-is longer than a window. Over the cut points p of a block
+sentence ends for a small penalty. Inside a sentence they may not, unless it runs over an eighth of a window
+without an end: there they may end on a grid, for a large penalty, or such runs would cost much padding. Over the cut points p of a block
 
     f(j) = penalty(j) + window - p(j) + min { f(i) + p(i) : p(j) - p(i) <= window },
 
@@ -35,7 +35,9 @@ WINDOW, END_ID = 2048, 1
 AT_SENTENCE, IN_SENTENCE = 4, 32
 #: Tokens of a block at least, and words whose ids a worker remembers.
 BLOCK, REMEMBERED = 1 << 18, 900_000  # at about 150 bytes a word a worker's memo stays under 150 MB
-#: Tokens between the places inside sentences where a window may end.
+#: A run without a sentence's end that is longer than a window by this is no sentence: a list, a table or code, and may be cut inside.
+LONG = 8
+#: Tokens between the places inside such runs where a window may end.
 GRID = 16
 SENTENCE_ENDS = (".", "!", "?")
 #: Characters that may part words in one text; the first that is one token does.
@@ -97,7 +99,7 @@ def cut_points(tokens: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarra
     """Where a block may be cut, with 0 first, and what each cut costs."""
     sentence = np.flatnonzero(np.isin(tokens, sentence_ids)) + 1
     ends = np.union1d(sentence, doc_ends)
-    long = np.flatnonzero(np.diff(ends, prepend=0) > window)  # only a sentence longer than a window is cut inside
+    long = np.flatnonzero(np.diff(ends, prepend=0) > window // LONG)
     inside = [np.arange((ends[k - 1] if k else 0) + GRID, ends[k], GRID) for k in long]
     every = np.union1d(ends, np.concatenate(inside)) if inside else ends
     cost = np.where(np.isin(every, doc_ends, assume_unique=True), 0, np.where(np.isin(every, sentence, assume_unique=True), AT_SENTENCE, IN_SENTENCE))

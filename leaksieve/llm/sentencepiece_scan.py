@@ -8,7 +8,9 @@ chunks can be solved apart.
 * A long text is cut into chunks at fixed code points. The state at a boundary is the token that covers or
   meets it, as (characters before, characters after) the boundary. A chunk's transfer matrix has the pairs
   of entry and exit states that a path through the chunk joins; the others weigh minus infinity.
-* Matrices are combined by ``combine``, an associative max-plus product, which leaves one path of states.
+* Matrices are combined by ``combine``, an associative max-plus product, in a tree: each round joins up to
+  ``FAN`` neighbours, whatever text they're of, until a text has one matrix. On the way back each node, whose
+  two outer states are known, tells its parts theirs.
 * Each chunk is then traced back between its two states, apart from all others.
 
 A short text is one chunk. Inside a chunk no token crosses from a letter to a following space mark, if the
@@ -16,8 +18,7 @@ vocabulary has none that does: a segment between such places has one entry and o
 is that of the model's merges, and as segments repeat a worker remembers theirs. The lattice is walked from
 a boundary to the first such place, and through whole chunks that have none.
 
-The matrices of a text are combined in one task: a few hundred bytes for each ``CHUNK`` characters, and a
-text is one row, so at most 2 GB. Texts, ids and traces stay spread by chunk.
+No task holds more than ``FAN`` matrices of a text; texts, ids and traces stay spread by chunk.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are encoded apart; an empty
 table gives no rows. Texts that hold the space mark U+2581 itself decode to spaces, as in any
@@ -32,19 +33,18 @@ from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, sliced, stage
+from .common import column, kept, sliced, stage
 
 SPACE = "▁"
 #: Code points of a chunk, and segments that a worker remembers.
 CHUNK, REMEMBERED = 16_384, 400_000
-#: Texts or chunks that a task holds together.
-AT_ONCE = 200
+#: Texts or chunks that a task holds together, and neighbours that a round of the tree combines.
+AT_ONCE, FAN = 200, 16
 State = tuple[int, int]
 START: State = (0, 0)
 NEVER = float("inf")
@@ -221,12 +221,12 @@ def combine(one: list[tuple[State, State]], two: list[tuple[State, State]]) -> l
     return sorted({(a, c) for a, b in one for c in by_entry.get(b, ())})
 
 
-def path_of_states(matrices: list[list[tuple[State, State]]]) -> list[State]:
-    """The states at the boundaries, the start's and the end's included, that lie on the one path."""
-    forward = [{START}]
+def path_of_states(matrices: list[list[tuple[State, State]]], start: State = START, end: State | None = None) -> list[State]:
+    """The states at the boundaries, the start's and the end's included, that lie on the one path between the two."""
+    forward = [{start}]
     for m in matrices:
         forward.append({b for a, b in m if a in forward[-1]})
-    state = min(forward[-1])
+    state = min(forward[-1]) if end is None else end
     out = [state]
     for m, reached in zip(reversed(matrices), reversed(forward[:-1]), strict=True):
         state = next(a for a, b in m if b == state and a in reached)
@@ -234,6 +234,58 @@ def path_of_states(matrices: list[list[tuple[State, State]]]) -> list[State]:
     return out[::-1]
 
 
+def packed_matrix(matrix: list[tuple[State, State]]) -> bytes:
+    return np.array(matrix, np.uint8).reshape(-1, 4).tobytes()
+
+
+def matrix_of(packed: bytes) -> list[tuple[State, State]]:
+    return [((a, b), (c, d)) for a, b, c, d in np.frombuffer(packed, np.uint8).reshape(-1, 4).tolist()]
+
+
+def _paths(chunks: DataFrame) -> DataFrame:
+    """row, chunk_no, matrix of chunks to row, chunk_no and the states j, k before and x, y after each."""
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts"):
+                one, *more = (matrix_of(p["matrix"]) for p in parts.as_py())
+                for m in more:
+                    one = combine(one, m)
+                out.append(packed_matrix(one))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), pa.array(out, pa.binary())], names=["row", "no", "matrix"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                path = path_of_states([matrix_of(p["matrix"]) for p in r["parts"]], (r["j"], r["k"]), (r["x"], r["y"]))
+                out += [(r["row"], p["no"], *a, *b) for p, a, b in zip(r["parts"], path, path[1:], strict=False)]
+            kinds = (pa.int64(), pa.int32(), *(pa.int32(),) * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], names=["row", "no", "j", "k", "x", "y"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = [min(b for a, b in matrix_of(m.as_py()) if a == START) for m in batch.column("matrix")]
+            zeros = pa.array([0] * len(batch), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), zeros, zeros, pa.array([x for x, _ in last], pa.int32()), pa.array([y for _, y in last], pa.int32())], names=["row", "no", "j", "k", "x", "y"])
+
+    STATES = "row long, no int, j int, k int, x int, y int"
+    level = chunks.select("row", F.col("chunk_no").alias("no"), "matrix")
+    most = (level.agg(F.max("no")).first()[0] or 0) + 1
+    rounds = []
+    while most > 1:
+        part = F.struct("no", "matrix")
+        groups = stage(level.groupBy("row", F.floor(F.col("no") / FAN).cast("int").alias("up")).agg(F.sort_array(F.collect_list(part)).alias("parts")).withColumnRenamed("up", "no"), "matrices")
+        rounds.append(groups)
+        level = groups.mapInArrow(combined, "row long, no int, matrix binary")
+        most = -(-most // FAN)
+    states = level.mapInArrow(ends, STATES)
+    for groups in reversed(rounds):
+        states = groups.join(states, ["row", "no"]).mapInArrow(told, STATES)
+    return states.withColumnRenamed("no", "chunk_no")
+
+
 def chunk_ids(pieces: Pieces, before: str, chunk: str, after: str, entry: State, leave: State) -> np.ndarray:
     """The ids of the tokens that begin in the chunk, between its two states. The token of ``leave`` begins in it."""
     j, k = entry
@@ -294,17 +346,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     out.append((doc_id, row, 0, None, None, None, None, ids.tobytes(), pieces.decode(ids)[1:] == text))
                     continue
                 for no, (before, part, after) in enumerate(parts):
-                    matrix = np.array(transfer(pieces, before, part, after), np.uint8).reshape(-1, 4)
-                    out.append((doc_id, row, no, before, part, after, matrix.tobytes(), None, None))
+                    out.append((doc_id, row, no, before, part, after, packed_matrix(transfer(pieces, before, part, after)), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 9, kinds, strict=True)], names=names)
 
-    def connect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_no")
-        matrices = [[((a, b), (c, d)) for a, b, c, d in np.frombuffer(m, np.uint8).reshape(-1, 4).tolist()] for m in pdf["matrix"]]
-        path = path_of_states(matrices)
-        one, two = np.array(path[:-1]), np.array(path[1:])
-        return pd.DataFrame({"row": pdf["row"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(), "j": one[:, 0], "k": one[:, 1], "x": two[:, 0], "y": two[:, 1]})
-
     def retrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
         for batch in sliced(batches, AT_ONCE, keep="pieces"):
@@ -317,11 +361,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)], names=["doc_id", "row", "chunk_no", "ids", "same"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     solved = stage(source.mapInArrow(solve, FIRST), "chunks")
     long = solved.where("matrix is not null")
-    path = long.select("row", "chunk_no", "matrix").groupBy("row").applyInPandas(connect, "row long, chunk_no int, j int, k int, x int, y int")
-    traced = long.drop("matrix", "ids", "same").join(path, ["row", "chunk_no"]).mapInArrow(retrace, "doc_id long, row long, chunk_no int, ids binary, same boolean")
+    traced = long.drop("matrix", "ids", "same").join(_paths(long), ["row", "chunk_no"]).mapInArrow(retrace, "doc_id long, row long, chunk_no int, ids binary, same boolean")
     return solved.where("matrix is null").select("doc_id", "row", "chunk_no", "ids", "same").union(traced)
 
 
