@@ -2,13 +2,13 @@
 
 Each task packs the documents of its own input split in their order, so no row moves: at 100 TB as on a
 laptop a task holds one block of tokens and the documents in it. Windows may end at document ends, at
-sentence ends for a small penalty. Inside a sentence they may not, unless it runs over an eighth of a window
+sentence ends for a small penalty. Inside a sentence they may not, unless it runs over a sixteenth of a window
 without an end: there they may end on a grid, for a large penalty, or such runs would cost much padding. Over the cut points p of a block
 
     f(j) = penalty(j) + window - p(j) + min { f(i) + p(i) : p(j) - p(i) <= window },
 
 whose minimum over a sliding range is kept in a monotone queue, so a block takes time linear in its cuts.
-A block's last window is carried into the next block. What is left at a split's end is cut into powers of
+A block's last window counts no padding: it is carried into the next block. What is left at a split's end is cut into powers of
 two, which need no padding.
 
 Defined results: a null text counts as empty; every document, empty ones too, ends with the end id, so
@@ -19,6 +19,7 @@ never looked at. Sequence ids are unique, not gapless: the split's number and a
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ AT_SENTENCE, IN_SENTENCE = 4, 32
 #: Tokens of a block at least, and words whose ids a worker remembers.
 BLOCK, REMEMBERED = 1 << 18, 900_000  # at about 150 bytes a word a worker's memo stays under 150 MB
 #: A run without a sentence's end that is longer than a window by this is no sentence: a list, a table or code, and may be cut inside.
-LONG = 8
+LONG = 16
 #: Tokens between the places inside such runs where a window may end.
 GRID = 16
 SENTENCE_ENDS = (".", "!", "?")
@@ -106,8 +107,8 @@ def cut_points(tokens: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarra
     return np.r_[0, every], np.r_[0, cost]
 
 
-def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
-    """The cuts of least padding plus penalties, first (0) and last included."""
+def best_cuts(at: np.ndarray, cost: np.ndarray, window: int, open_end: bool = False) -> list[int]:
+    """The cuts of least padding plus penalties, first (0) and last included. With ``open_end`` the last window needs no padding."""
     p, c = at.tolist(), cost.tolist()
     f, back = [0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])
@@ -123,6 +124,9 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
         while queue and value[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
+    if open_end and len(p) > 1:
+        first = bisect_left(p, p[-1] - window)
+        back[-1] = min(range(first, len(p) - 1), key=f.__getitem__)
     out, j = [p[-1]], len(p) - 1
     while j:
         j = back[j]
@@ -149,7 +153,7 @@ class _Packer:
         sizes = np.array([len(d[1]) // 4 for d in self.docs])
         ends = np.cumsum(sizes)
         tokens = np.frombuffer(b"".join(d[1] for d in self.docs), "<u4")
-        cuts = best_cuts(*cut_points(tokens, ends, self.sentence_ids, self.window), self.window)
+        cuts = best_cuts(*cut_points(tokens, ends, self.sentence_ids, self.window), self.window, open_end=True)
         if last:
             cuts[-1:] = self._tail(cuts[-2], cuts[-1])
         else:
