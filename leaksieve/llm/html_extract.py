@@ -1,9 +1,14 @@
 """Main text of HTML pages by tree scoring.
 
-Paragraphs give points for their length and commas to their ancestors, in full to the parent and less
-further up; a container's points are discounted by its link density. The best container is kept, with
-the siblings that score well beside it, and its blocks become the text. Each page is a row of its own,
-so a task holds one Arrow batch of pages; nothing is shuffled.
+Paragraphs give points for their length and commas to their ancestors, in full to the parent and to the
+nearest ``article`` or ``main``, and less further up; a container's points are discounted by its link
+density. The best container is kept, with the siblings that score well beside it, and its blocks become
+the text, without those that hold nothing but links. Each page is a row of its own, so a task holds one
+Arrow batch of pages; nothing is shuffled.
+
+A ``header`` is boilerplate outside an ``article``, but for one in ``main`` that holds the ``h1``. A
+``form`` is boilerplate unless it frames the page: it stands right under ``body`` and holds an
+``article``, a ``main`` or paragraphs of ``FRAME_CHARS`` characters.
 
 Defined results: a null or empty page, and one without text outside boilerplate, gives the empty text.
 Markup may be unclosed, nested wrongly, upper case or cut off at any place. Character references are
@@ -43,14 +48,19 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 #: Points: at least so long, one for each so many characters up to a most, siblings from a share of the best.
 MIN_CHARS, CHARS_A_POINT, MOST_POINTS, SIBLING_SHARE = 25, 100, 3, 0.2
 MEANT = {"article": 25.0, "main": 20.0}
+#: Characters in paragraphs that make a form the frame of its page.
+FRAME_CHARS = 140
+#: Blocks that go when they hold so many links or more, and outside headings so large a share of their text is links.
+LINK_BLOCKS, LINK_COUNT, LINK_SHARE = frozenset("div section ul ol dl table".split()), 2, 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "bad", "bonus", "score", "chars", "link_chars")
+    __slots__ = ("name", "parent", "children", "bad", "bonus", "score", "chars", "link_chars", "head_chars", "links")
 
     def __init__(self, name: str, parent: Node | None, bad: bool = False, bonus: float = 0.0):
         self.name, self.parent, self.children, self.bad, self.bonus = name, parent, [], bad, bonus
-        self.score = self.chars = self.link_chars = 0
+        self.score = self.chars = self.link_chars = self.head_chars = self.links = 0
         if parent is not None:
             parent.children.append(self)
 
@@ -80,13 +90,17 @@ def parse(page: str) -> Node:
     """The page's tree; children are nodes and undecoded strings."""
     root = Node("html", None)
     at, here, open_names, articles = 0, root, {"html": 1}, 0
+    headers: list[Node] = []  # open ones in main
+    forms: list[Node] = []  # right under body
     n = len(page)
 
     def leave(node: Node) -> None:
         nonlocal here, articles
         while True:
             open_names[here.name] -= 1
-            articles -= here.name in MEANT
+            articles -= here.name == "article"
+            if headers and headers[-1] is here:
+                headers.pop()
             done = here is node
             here = here.parent
             if done:
@@ -145,13 +159,41 @@ def parse(page: str) -> Node:
                 leave(node)
         bad, bonus = _judged(name, groups["attrs"], articles > 0)
         node = Node(name, here, bad, bonus)
+        if name == "h1":
+            for x in headers:
+                x.bad = False
+            headers.clear()
+        elif name == "form" and here.name in ("html", "body"):
+            forms.append(node)
         if name not in VOID and not groups["attrs"].endswith("/"):
             here = node
             open_names[name] = open_names.get(name, 0) + 1
-            articles += name in MEANT
+            articles += name == "article"
+            if name == "header" and open_names.get("main") and not articles:
+                headers.append(node)
+    for form in forms:
+        if form.bad and _frames(form):
+            form.bad = False
     return root
 
 
+def _frames(form: Node) -> bool:
+    """Whether a form holds the page's content."""
+    chars, stack = 0, [(form, False)]
+    while stack:
+        node, paragraph = stack.pop()
+        for x in node.children:
+            if isinstance(x, str):
+                chars += len(x.strip()) if paragraph else 0
+            elif x.name in MEANT and not x.bad:
+                return True
+            elif not x.bad and x.name != "a":
+                stack.append((x, paragraph or x.name == "p"))
+        if chars >= FRAME_CHARS:
+            return True
+    return False
+
+
 def _in_order(root: Node) -> Iterator[tuple[Node | str, bool]]:
     """Strings and nodes outside boilerplate in page order; nodes twice, the second time (True) when they end."""
     stack: list[tuple[Node | str, bool]] = [(root, False)]
@@ -169,6 +211,7 @@ def score(root: Node) -> list[Node]:
     scored: dict[int, Node] = {}
     text: dict[int, list] = {}  # a paragraph's characters and commas
     open_nodes: list[Node] = []
+    open_meant: list[Node] = []
     for x, ends in _in_order(root):
         if isinstance(x, str):
             size = len(x.strip())
@@ -186,6 +229,8 @@ def score(root: Node) -> list[Node]:
                 x.score += x.bonus
                 scored[id(x)] = x
             open_nodes.append(x)
+            if x.name in MEANT:
+                open_meant.append(x)
         else:
             links -= x.name == "a"
             open_nodes.pop()
@@ -194,16 +239,24 @@ def score(root: Node) -> list[Node]:
             if parent is not None:
                 parent.chars += x.chars
                 parent.link_chars += x.link_chars
+                parent.links += x.links + (x.name == "a")
+                parent.head_chars += x.chars if x.name in HEADINGS else x.head_chars
             if t and x.name not in BLOCKS and parent is not None:  # inline: its text is its block's
                 u = text.setdefault(id(parent), [0, 0])
                 u[0], u[1] = u[0] + t[0], u[1] + t[1]
             elif t and t[0] >= MIN_CHARS and (x.name in PARAGRAPHS or x.name in ("div", "section", "article", "main")):
                 points = 1 + t[1] + min(t[0] / CHARS_A_POINT, MOST_POINTS)
-                up, level = (parent if x.name in PARAGRAPHS else x), 0
+                up, level, meant = (parent if x.name in PARAGRAPHS else x), 0, open_meant[-1] if open_meant else None
                 while up is not None and level < 4:
-                    up.score += points / (1, 2, 6, 9)[level]
-                    scored[id(up)] = up
+                    if up is not meant:
+                        up.score += points / (1, 2, 6, 9)[level]
+                        scored[id(up)] = up
                     up, level = up.parent, level + 1
+                if meant is not None:
+                    meant.score += points
+                    scored[id(meant)] = meant
+            if x.name in MEANT:
+                open_meant.pop()
     return list(scored.values())
 
 
@@ -218,18 +271,24 @@ def kept_nodes(root: Node) -> list[Node]:
         return [root]
     worth = {id(x): x.score * (1 - _density(x)) for x in found}
     best = max(found, key=lambda x: worth[id(x)])
-    up = best
-    while up is not None:  # a part of an article stands for the whole
-        if up.name in MEANT and not up.bad and up.chars:
-            best = up
-        up = up.parent
     if best.parent is None:
         return [best]
-    if best.name in MEANT:
-        return [x for x in best.parent.children if isinstance(x, Node) and (x is best or x.name == best.name and not x.bad)]
-    least = max(10.0, worth.get(id(best), 0.0) * SIBLING_SHARE)
-    keep = lambda x: x is best or not x.bad and (worth.get(id(x), 0.0) >= least or x.name in PARAGRAPHS | {"h1", "h2", "h3"} and x.chars > 0 and _density(x) < 0.25 and (x.chars >= 80 or x.name[0] == "h"))
-    return [x for x in best.parent.children if isinstance(x, Node) and keep(x)]
+    least = max(10.0, worth[id(best)] * SIBLING_SHARE)
+
+    def stays(x: Node) -> bool:
+        if x is best or x.bad:
+            return x is best
+        if worth.get(id(x), 0.0) >= least or best.name in MEANT and x.name == best.name:
+            return True
+        if best.name in MEANT:  # what stands outside it needs points of its own
+            return False
+        return x.name in PARAGRAPHS | {"h1", "h2", "h3"} and x.chars > 0 and _density(x) < 0.25 and (x.chars >= 80 or x.name in HEADINGS)
+
+    return [x for x in best.parent.children if isinstance(x, Node) and stays(x)]
+
+
+def _only_links(x: Node) -> bool:
+    return x.name in LINK_BLOCKS and x.links >= LINK_COUNT and x.link_chars >= LINK_SHARE * (x.chars - x.head_chars)
 
 
 def text_of(nodes: list[Node]) -> str:
@@ -245,7 +304,10 @@ def text_of(nodes: list[Node]) -> str:
         for x, _ in _in_order(root):
             if isinstance(x, str):
                 inline.append(x)
-            elif x.name in BLOCKS or x.bad:
+                continue
+            if x is not root and _only_links(x):
+                x.bad = True  # its inside isn't met
+            if x.name in BLOCKS or x.bad:
                 end_block()
     end_block()
     return " ".join(blocks)

@@ -38,6 +38,15 @@ PAGES = [
     ("<main><p>Short.</p><form>name <input></form><aside>no</aside><!-- c --><style>p{}</style></main>", "Short."),
     ("plain & simple", "plain & simple"), ("", ""), (None, ""), ("<p>cut o", "cut o"), ("<div", ""), ("a < b", "a < b"), ("<table><tr><td>aa<td>bb<tr><td>cc</table>", "aa bb cc"),
     ("<script>only()", ""), ("<p hidden>x</p><p>y</p>", "y"),
+    # blocks of links go from inside the best container, headers of main without a title too
+    ("<main><header><a href=/>Site name</a> Log in</header><h1>Head</h1><p>One, two, three is a long paragraph, indeed.<div><h3>Related stories</h3><ul><li><a href=1>One story</a><li><a href=2>Two story</a></ul></div></main>", "Head One, two, three is a long paragraph, indeed."),
+    ("<main><header><h1>Title</h1></header><p>Text of it, with <a href=1>one</a> and <a href=2>two</a> links.</p></main>", "Title Text of it, with one and two links."),
+    # a form is the page's frame, or a form
+    (f"<body><form action=/><div><h1>Title</h1><p>{'One, two, three is long. ' * 8}</p></div><input></form>", "Title" + " One, two, three is long." * 8),
+    ("<body><form><p>Search this site</p><input name=q></form><article><p>Text of it, long enough for points.</p></article>", "Text of it, long enough for points."),
+    # points decide between containers: a teaser in an article goes where most text is beside it, and a wrapper inside an article doesn't lose its title
+    (f"<body><article><p>A teaser, short as it is here.</p></article><div><p>{'The real text, with commas, and more. ' * 30}</p>{'<p>Another paragraph, of the same, real text, that goes on.</p>' * 20}</div>", ("The real text, with commas, and more. " * 30).strip() + " Another paragraph, of the same, real text, that goes on." * 20),
+    (f"<body><article><h1>T</h1><div><div><div>{'<p>Some text, of a long, long kind, that is deep inside.</p>' * 30}</div></div></div></article>", "T" + " Some text, of a long, long kind, that is deep inside." * 30),
 ]
 
 
@@ -48,6 +57,36 @@ def test_html(spark):
     assert html_extract.extract_pages(docs.limit(0)).count() == 0
 
 
+def test_html_of_known_blocks():
+    """Pages put together of blocks whose text is known: exactly the article's blocks come out, in order."""
+    rng = random.Random(11)
+    words = "stone river, light of the old town, green hills and a long road; tea for two, warm bread, some salt".split()
+    prose = lambda least=12: " ".join(rng.choice(words) for _ in range(rng.randint(least, 60)))
+    wrap = [("<article>", "</article>"), ("<main>", "</main>"), ('<main><article class="post">', "</article></main>"), ('<div class="content">', "</div>"), ('<div id="story"><div>', "</div></div>"), ("<article><section>", "</section></article>")]
+    junk = [
+        lambda: f"<nav><ul><li><a href=/a>{prose()}</a><li><a href=/b>b</a></ul></nav>",
+        lambda: f'<div class="{rng.choice(["ad", "sidebar", "cookie-notice", "comments", "share social"])}"><p>{prose()}</p></div>',
+        lambda: f"<aside><p>{prose()}</p></aside>",
+        lambda: f"<script>var x = '<p>{prose()}</p>';</script><style>p {{}}</style><!-- {prose()} -->",
+        lambda: f"<form><label>{prose()}</label><input></form>",
+    ]
+    for _ in range(300):
+        blocks, want = [], []
+        for _ in range(rng.randint(2, 12)):
+            text = prose()
+            kind = rng.choice(["p", "p", "p", "open p", "inline", "list", "quote"])
+            want.append(text)
+            a, b = text.split(" ", 1)
+            blocks.append({"p": f"<p>{text}</p>", "open p": f"<p>{text}", "inline": f"<p><b>{a}</b>\n <a href=x>{b.split(' ')[0]}</a> {' '.join(b.split(' ')[1:])}</p>", "list": f"<ul><li>{a}<li>{b}</ul>", "quote": f"<blockquote>{text}</blockquote>"}[kind])
+        title = " ".join(rng.choice(words) for _ in range(4))
+        inside = [f"<h1>{title}</h1>", *blocks]
+        for _ in range(rng.randint(0, 3)):
+            inside.insert(rng.randint(1, len(inside)), rng.choice(junk)())
+        start, end = rng.choice(wrap)
+        page = "<html><head><title>t</title></head><body><header><a href=/>Site</a></header>" + "".join(rng.choice(junk)() for _ in range(rng.randint(0, 3))) + start + "".join(inside) + end + "".join(rng.choice(junk)() for _ in range(rng.randint(0, 3))) + "<footer>&copy; foot</footer></body></html>"
+        assert html_extract.main_text(page) == " ".join([title, *want]), page
+
+
 def test_html_never_fails_and_is_linear():
     rng = random.Random(1)
     parts = ["<p>", "</p>", "<div class=ad>", "</div>", "<li>", "<ul>", "<td>", "<tr>", "</table>", "<a href='x>'>", "text, ", "<", "<script>", "<!--", "-->", "&amp;", "<article>", "</b>", "<b>", "<body>", "</html>", "<h1>", "<![CDATA["]
