@@ -59,7 +59,6 @@ class WordIds:
             from tokenizers import Tokenizer
 
             memo["tokenizer"], memo["ids"] = Tokenizer.from_str(tokenizer_json), {}
-            memo["tokenizer"].encode_special_tokens = True  # their strings in a text are ordinary text
             memo["mark"] = next(((c, i[0]) for c in MARKS if len(i := memo["tokenizer"].encode(c, add_special_tokens=False).ids) == 1), None)
         self.tokenizer, self.ids, self.mark = memo["tokenizer"], memo["ids"], memo["mark"]
 

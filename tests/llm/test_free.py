@@ -148,8 +148,7 @@ def test_sentencepiece_documents(make_docs, texts, library):
 
 def test_packing(make_docs, texts):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    rows = list(enumerate([*texts, "¬ a¬b ¬¬", "<|endoftext|> it's WE'LL", "nbsp and em \x1c sep"]))
+    rows = list(enumerate([*texts, "¬ a¬b ¬¬", "<|endoftext|> it's WE'LL", "a<|endoftext|>b ¬<|startoftext|> <|ENDOFTEXT|>", "nbsp and em \x1c sep"]))
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in packing.pack_documents(make_docs(rows), WORDS).collect():
