@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leaksieve.llm import exact_dedup, ngram_join, packing, pii, quality
-from leaksieve.llm.common import stage, table
+from leaksieve.llm.common import column, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,17 +16,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
-    return exact_dedup.drop_copies(docs).select(*docs.columns)
+    return exact_dedup.drop_copies(docs).select(*map(column, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity join, the one with the smallest id stays."""
-    return ngram_join.keep_one_of_each(docs).select(*docs.columns)
+    return ngram_join.keep_one_of_each(docs).select(*map(column, docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind's name."""
-    return pii.redact(docs).select(*docs.columns)
+    return pii.redact(docs).select(*map(column, docs.columns))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
