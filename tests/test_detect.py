@@ -194,7 +194,7 @@ def test_whole_scan_routes_and_keeps_overflow(spark):
     f = detect.scan_lines(snippet_lines(docs, "text", F.col("id"), "py")).cache()
     asked = route.to_adjudicate(f).collect()
     assert [r.rank for r in asked] == [1, 2, 3]
-    labels = spark.createDataFrame([(*[a[k] for k in route.KEY], l) for a, l in zip(asked, ("leak", "clean", "?"), strict=True)], "unit_id string, file string, line_no int, rule_id string, phase int, match_ord int, label string")
+    labels = spark.createDataFrame([(*[a[k] for k in route.KEY], l) for a, l in zip(asked, ("leak", "clean", "?"), strict=True)], f"unit_id string, file string, line_no int, rule_id string, phase int, match_ord {detect.MATCH_ORD}, label string")
     out = route.routed(f, labels).collect()
     hosts = [r for r in out if r.rule_id == "internal_hostname"]
     assert len(hosts) == 4 and sum(r.layer == "semantic" and r.confidence == 0.85 for r in hosts) == 1 and sum(r.ai_skipped for r in hosts) == 1
