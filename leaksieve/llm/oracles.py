@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,4 +84,22 @@ SELECT doc_id, {", ".join(f"count(kind) FILTER (kind = '{k}') AS n_{k}" for k in
        sha256({_JOINED.format(x=_SPAN, f=" FILTER (kind_no < 4)")}) AS base_sha256, {_JOINED.format(x=_SPAN, f="")} AS spans, {_JOINED.format(x="score", f="")} AS scores
 FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"""
 
-ORACLE_SQL = {"op3_sharding": SHARDING, "op4_quality_rules": QUALITY_RULES, "op6_pii": PII, "op9_exact_dedup": EXACT_DEDUP}
+# every row against every order: the filter that removes it is the first in the order that it fails
+_FAILS = "CASE substr(o, {k}, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END"
+_FIRST = "CASE " + " ".join(f"WHEN {_FAILS.format(k=k)} THEN {k}" for k in range(1, 6)) + " ELSE 6 END"
+FILTER_AUDIT = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+     y AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+     f AS (SELECT part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                  coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN y ON w.doc_id = y.doc_id),
+     n AS (SELECT part, a, b, c, d, e, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+     o AS (SELECT unnest({["".join(p) for p in permutations("ABCDE")]}) AS o),
+     x AS (SELECT *, {_FIRST} AS first FROM n, o),
+     s AS (SELECT part, o, k, substr(o, k, 1) AS filter, CAST(sum(CASE WHEN first > k THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN first = k THEN n ELSE 0 END) AS BIGINT) AS removed,
+                  CAST(sum(CASE WHEN first < k AND {_FAILS.format(k="k")} THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                  CAST(sum(CASE WHEN CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) = 1 AND {_FAILS.format(k="k")} THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                  CAST(sum(CASE WHEN first = k AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN first = k AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
+           FROM x, unnest(range(1, 6)) u(k) GROUP BY part, o, k)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s"""
+
+ORACLE_SQL = {"op11_filter_audit": FILTER_AUDIT, "op3_sharding": SHARDING, "op4_quality_rules": QUALITY_RULES, "op6_pii": PII, "op9_exact_dedup": EXACT_DEDUP}
