@@ -102,4 +102,13 @@ WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, r
            FROM x, unnest(range(1, 6)) u(k) GROUP BY part, o, k)
 SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s"""
 
-ORACLE_SQL = {"op11_filter_audit": FILTER_AUDIT, "op3_sharding": SHARDING, "op4_quality_rules": QUALITY_RULES, "op6_pii": PII, "op9_exact_dedup": EXACT_DEDUP}
+HARD_NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+     p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+     n AS (SELECT p.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+           FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+ORACLE_SQL = {"op12_hard_negatives": HARD_NEGATIVES, "op11_filter_audit": FILTER_AUDIT, "op3_sharding": SHARDING, "op4_quality_rules": QUALITY_RULES, "op6_pii": PII, "op9_exact_dedup": EXACT_DEDUP}

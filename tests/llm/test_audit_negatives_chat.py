@@ -1,10 +1,16 @@
 """The filter audit, hard negatives and chat formatting against brute force."""
 
+import math
+import random
 import re
 from collections import Counter
 from itertools import permutations
 
-from leaksieve.llm import filter_audit
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from leaksieve.llm import filter_audit, hard_negatives
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,7 +28,7 @@ def fails(rows):
 
 
 def brute_audit(rows, labels):
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     failed, out = fails(rows), {}
     for part in {lang or "" for _, _, lang in rows}:
         own = [(i, f) for (i, _, lang), f in zip(rows, failed, strict=True) if (lang or "") == part]
@@ -58,3 +64,79 @@ def test_filter_audit_of_nothing(spark):
     assert filter_audit.audit(docs, labels).collect() == []
     one = filter_audit.audit(spark.createDataFrame([(1, None, None)], docs.schema), labels).collect()
     assert Counter(r.removed for r in one) == {1: 120, 0: 480} and {r.part for r in one} == {""}
+
+
+def brute_negatives(rows, dim, most=5):
+    """Of (vec_id, embedding, label) rows, labels changed as the query does."""
+    limit = math.isqrt((2**63 - 1) // dim)
+    good = []
+    for i, v, y in rows:
+        if i is None or v is None or y is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        q = [math.floor(256 * x) for x in v] + [0] * (dim - len(v))
+        if all(abs(x) <= limit for x in q):
+            good.append((i, (y + 1) % 10 if i % 7 == 0 else y, q))
+    anchors = {}
+    for r in good:
+        if r[0] % 100 == 0:
+            anchors[r[0]] = min(anchors.get(r[0], r), r, key=lambda r: r[1:])
+    out = set()
+    for a, label, q in anchors.values():
+        score = [(i, y, sum(s * t for s, t in zip(q, p, strict=True))) for i, y, p in good]
+
+        def first(found):
+            best = {}
+            for i, s in found:
+                best[i] = max(best.get(i, s), s)
+            return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+        for p, ps in first((i, s) for i, y, s in score if y == label and i != a):
+            for k, (n, s) in enumerate(first((i, s) for i, y, s in score if y != label and 80 * ps <= 100 * s <= 100 * ps)):
+                out.add((a, p, k + 1, n, ps, s))
+    return out
+
+
+def vectors(seed, n, dim, spread):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(4)]
+    rows = [(i, [float(np.float32(c + rng.gauss(0, spread))) for c in centres[i % 4]], i % 4) for i in range(n)]
+    same = rows[5][1]
+    rows += [(n + i, same, 1) for i in range(40)] + [(2 * n + i, same, 2) for i in range(40)]  # many ties
+    rows += [(3 * n, None, 1), (3 * n + 1, rows[0][1], None), (None, rows[0][1], 1), (3 * n + 2, [1.0, None], 1), (3 * n + 3, [math.nan] * dim, 1), (3 * n + 4, [math.inf] * dim, 1)]
+    rows += [(3 * n + 5, [3e30] * dim, 1), (3 * n + 6, [1e5] * dim, 1), (3 * n + 7, [0.5], 2), (3 * n + 8, [], 3), (3 * n + 9, [0.0] * dim, 0)]
+    rows += [rows[0], (0, rows[7][1], 3), (100, rows[9][1], 2), rows[3], (3, rows[8][1], 3)]  # ids that repeat
+    return rows
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id string, q int"
+
+
+def negatives(spark, rows, **more):
+    i, y = F.col("vec_id"), F.col("label").cast("long")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
+    got = hard_negatives.mine(df, i % 100 == 0, F.when(i % 7 == 0, (y + 1) % 10).otherwise(y), **more).collect()
+    assert len({tuple(r) for r in got}) == len(got)
+    return {tuple(r) for r in got}
+
+
+@pytest.mark.parametrize(("dim", "spread", "more"), [(16, 0.6, {}), (3, 2.0, {"chunk": 6}), (1, 1.0, {})])
+def test_hard_negatives(spark, dim, spread, more):
+    rows = vectors(dim, 700, dim, spread)
+    assert negatives(spark, rows, **more) == brute_negatives([(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None, y) for i, v, y in rows], dim)
+
+
+def test_hard_negatives_of_nothing(spark):
+    assert negatives(spark, []) == set() and negatives(spark, [(0, [], 1), (1, [], 1), (2, [], 2)]) == {(0, 1, 1, 2, 0, 0)} and negatives(spark, [(1, [1.0], 1)]) == set()
+
+
+def test_rotation_slack_covers_rounding():
+    rng = np.random.default_rng(1)
+    for dim, size in ((64, 300), (5, 2**30), (128, 2**27)):
+        q = rng.integers(-size, size, (200, dim))
+        turn = hard_negatives.Rotation.fit(q[:50], dim)
+        t = hard_negatives.Turned(q, turn)
+        exact = q.astype(object) @ q.T.astype(object)
+        assert all(abs(int(e) - u) <= turn.slack * n for e, u, n in zip(exact.ravel(), (t.u @ t.u.T).ravel(), np.outer(t.norm, t.norm).ravel(), strict=True))
+        a, b = hard_negatives.survivors(t, t, np.arange(200), np.arange(200), np.percentile(exact.astype(float), 90, axis=0), np.full(200, np.inf), turn.slack)
+        want = {(i, j) for i, j in zip(*np.nonzero(exact.astype(float) >= np.percentile(exact.astype(float), 90, axis=0)[None]), strict=True)}
+        assert want <= set(zip(a, b, strict=True)) and (size > 300 or len(a) < 1.5 * len(want))
