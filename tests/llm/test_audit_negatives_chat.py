@@ -126,7 +126,7 @@ def test_hard_negatives(spark, dim, spread, more):
 
 
 def test_hard_negatives_of_nothing(spark):
-    assert negatives(spark, []) == set() and negatives(spark, [(0, [], 1), (1, [], 1), (2, [], 2)]) == {(0, 1, 1, 2, 0, 0)} and negatives(spark, [(1, [1.0], 1)]) == set()
+    assert negatives(spark, []) == set() and negatives(spark, [(0, [], 1), (1, [], 1), (2, [], 2)]) == {(0, 2, 1, 1, 0, 0)} and negatives(spark, [(1, [1.0], 1)]) == set()
 
 
 def test_rotation_slack_covers_rounding():
