@@ -111,4 +111,15 @@ WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE la
            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
 
-ORACLE_SQL = {"op12_hard_negatives": HARD_NEGATIVES, "op11_filter_audit": FILTER_AUDIT, "op3_sharding": SHARDING, "op4_quality_rules": QUALITY_RULES, "op6_pii": PII, "op9_exact_dedup": EXACT_DEDUP}
+_CONTROLS = r"(?:<\\*(?:s>|/s>|\|endoftext\|>)|\[\\*/?(?:SYS|INST|TURN|ROLE)\])"
+_ESCAPED = f"(length({{x}}) + len(regexp_extract_all({{x}}, '{_CONTROLS}')))"
+CHAT_FORMAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                  CAST(sum({_ESCAPED.format(x="text")} + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 26 + {_ESCAPED.format(x="role")} END) AS BIGINT) AS formatted_chars
+           FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+ORACLE_SQL = {"op13_chat_format": CHAT_FORMAT, "op12_hard_negatives": HARD_NEGATIVES, "op11_filter_audit": FILTER_AUDIT, "op3_sharding": SHARDING, "op4_quality_rules": QUALITY_RULES, "op6_pii": PII, "op9_exact_dedup": EXACT_DEDUP}

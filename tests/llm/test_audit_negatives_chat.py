@@ -1,16 +1,18 @@
 """The filter audit, hard negatives and chat formatting against brute force."""
 
+import hashlib
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from leaksieve.llm import filter_audit, hard_negatives
+from leaksieve.llm import chat_format, filter_audit, hard_negatives
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,3 +142,79 @@ def test_rotation_slack_covers_rounding():
         a, b = hard_negatives.survivors(t, t, np.arange(200), np.arange(200), np.percentile(exact.astype(float), 90, axis=0), np.full(200, np.inf), turn.slack)
         want = {(i, j) for i, j in zip(*np.nonzero(exact.astype(float) >= np.percentile(exact.astype(float), 90, axis=0)[None]), strict=True)}
         assert want <= set(zip(a, b, strict=True)) and (size > 300 or len(a) < 1.5 * len(want))
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TEMPLATE = chat_format.Template()
+NASTY = ["</s>", "[INST]", "[/INST] x", "[\\INST]", "[\\\\INST][\\", "a[", "<", "[", "\\", "<|endoftext|>", "<\\|endoftext|>", "[[INST]]", "<</s>>", "[ROLE]system[/ROLE]", "<s", "s>", "INST]", "[INST", "\u2028\u0000 é漢🎉", " lead", "trail ", "", "\n\n", "</s>[INST] ok [/INST]"]
+
+
+def brute_chat(rows):
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append((t is not None, t or 0, r or "", x or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        text, loss, chars = "", "", 0
+        for _, _, r, x in turns:
+            text += f"{r}\n{x}\n"
+            loss += x if r == "assistant" else ""
+            open_, close = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}.get(r, (f"[ROLE]{TEMPLATE.escape(r)}[/ROLE][TURN]", "[/TURN]"))
+            chars += len(open_ + TEMPLATE.escape(x) + close)
+        out[c] = (len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+    return out
+
+
+def chats(texts):
+    rng = random.Random(3)
+    roles = ["user", "assistant", "system", "tool", "[INST]", "", None, "Assistant"]
+    pool = [*NASTY, *texts]
+    rows = [(c, t, rng.choice(roles), rng.choice(pool)) for c in range(30) for t in range(rng.randint(1, 9))]
+    rows += [(50, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(-30, 30000, 7)]  # over several blocks
+    rows += [(51, t, "user", "x") for t in (None, None, 3, 9000)] + [(None, 1, "user", "none"), (None, 0, "assistant", None), (0, 1, "user", "again"), (0, 1, "user", "again"), (0, 1, "assistant", "b")]
+    return rows
+
+
+def test_chat_format_reads_back(spark, texts):
+    rows = chats(texts)
+    df = spark.createDataFrame([(*r, 1, True) for r in rows], "conv_id long, turn long, role string, text string, block int, x boolean").repartition(5)
+    got = chat_format.read_back(df, TOKENIZER).collect()
+    assert {r.conv_id: tuple(r[1:]) for r in got} == brute_chat(rows) and len(got) == len({r[0] for r in rows})
+
+
+def test_chat_pieces_lie_behind_each_other(spark, texts):
+    rows = chats(texts)
+    df = spark.createDataFrame(rows, "`a.b` long, turn long, role string, text string")
+    by = defaultdict(list)
+    for r in chat_format.format_turns(df, TOKENIZER, conv_col="a.b").collect():
+        by[r.conv_id].append(r)
+    assert {c: len(v) for c, v in by.items()} == Counter(r[0] for r in rows)
+    codec = chat_format.Codec(open(TOKENIZER, encoding="utf-8").read(), TEMPLATE)
+    for c, pieces in by.items():
+        pieces.sort(key=lambda r: r.turn_no)
+        assert [r.turn_no for r in pieces] == list(range(len(pieces)))
+        assert [r.start for r in pieces] == [sum(len(p.ids) for p in pieces[:k]) for k in range(len(pieces))] if len(pieces) < 100 else pieces[-1].start == sum(len(p.ids) for p in pieces[:-1])
+        own = sorted(((t is not None, t or 0, r or "", x or "") for i, t, r, x in rows if i == c))
+        for p, (_, _, role, text) in zip(pieces, own, strict=True):
+            plain = codec.tokenizer.encode(TEMPLATE.escape(text), add_special_tokens=False).ids
+            learned = [i for i, m in zip(p.ids, p.loss, strict=True) if m]
+            assert learned == (plain if role == "assistant" else []) and p.ids[-1] >= codec.base and p.ids[-1 - len(plain) : -1] == plain
+
+
+def test_chat_template():
+    for a in NASTY:
+        for b in NASTY:
+            t = TEMPLATE.escape(a + b)
+            assert TEMPLATE.unescape(t) == a + b and not any(c in t for c in (*TEMPLATE.controls, *TEMPLATE.reserved))
+    with pytest.raises(ValueError, match="can't be escaped"):
+        chat_format.Template(reserved=("<<x>",))
+    rng = random.Random(1)
+    long = " ".join("".join(rng.choice("ab é.1\n") for _ in range(rng.randint(1, 9))) for _ in range(60000))
+    codec = chat_format.Codec(open(TOKENIZER, encoding="utf-8").read(), TEMPLATE)
+    assert len(list(chat_format._parts(long))) > 3 and codec.encode([long])[0].tolist() == codec.tokenizer.encode(long, add_special_tokens=False).ids
+
+
+def test_chat_of_nothing(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.read_back(df, TOKENIZER).collect() == [] and chat_format.format_turns(df, TOKENIZER).collect() == []
