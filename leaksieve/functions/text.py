@@ -137,11 +137,50 @@ def first_line(text: Column, width: int = 80) -> Column:
     return F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, width)
 
 
+def _adding(add, x: Column):
+    return lambda t: add(t, x)  # of one argument only: a second would be taken for the array's index
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number from 0 on with so many digits, rounded by its exact binary value, exact halves to the even digit.
+
+    The double's multiple that decides (twice the scaled value against an odd number) is a sum of its products with
+    powers of two, which are exact, so each addition's error is known and the comparison is exact too.
+    """
+    scale = 10**digits
+
+    def rounded(v: Column) -> Column:
+        terms = [v * float(1 << k) for k in range(10, -1, -1) if 2 * scale >> k & 1]
+
+        def add(sum_: Column, x: Column) -> Column:
+            def with_error(t: Column) -> Column:
+                part = t - sum_["high"]
+                return F.struct(t.alias("high"), (sum_["low"] + (sum_["high"] - (t - part)) + (x - part)).alias("low"))
+
+            return let(sum_["high"] + x, with_error)
+
+        twice = F.struct(terms[0].alias("high"), F.lit(0.0).alias("low"))
+        for x in terms[1:]:
+            twice = let(twice, _adding(add, x))
+        down = F.floor(v * float(scale))
+
+        def digit(t: Column) -> Column:
+            over = (t["high"] - (down * 2 + 1).cast("double")) + t["low"]
+            return F.when((over > 0) | (over == 0) & (F.pmod(down, F.lit(2)) == 1), down + 1).otherwise(down)
+
+        whole = let(twice, digit)
+        return let(whole, lambda w: F.concat(F.floor(w / scale).cast("string"), F.lit("."), F.lpad(F.pmod(w, F.lit(scale)).cast("string"), digits, "0")))
+
+    return let(value.cast("double"), rounded)
+
+
 def human_bytes(n: Column) -> Column:
     """A number of bytes in units of 1000."""
     out = F.concat(n.cast("string"), F.lit(" B"))
+    value = n.cast("double")
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = F.when(n >= 1000**i, F.format_string(f"%.1f {unit}", n / float(1000**i))).otherwise(out)
+        value = value / 1000.0  # step by step, as the rounding of each step counts
+        out = F.when(n >= 1000**i, F.concat(fixed(value, 1), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

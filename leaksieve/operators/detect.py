@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import FLAGS, MIN_TOKEN_BYTES, SEAM, THRESHOLD, TOKEN_SPLIT, byte_entropy, entropy_confidence, free_names, is_harmless_token, is_placeholder, let, sensitive_context, threshold
+from ..functions.text import FLAGS, MIN_TOKEN_BYTES, SEAM, THRESHOLD, TOKEN_SPLIT, byte_entropy, entropy_confidence, fixed, free_names, is_harmless_token, is_placeholder, let, sensitive_context, threshold
 from .bindings import LANGUAGES, SENSITIVE_NAMES, bindings_in
 from .rules import REDACTED, RULES, Rule
 
@@ -182,7 +182,7 @@ def entropy_tokens(lines: DataFrame, overrides: Mapping[str, float] | None = Non
 
 def _entropy_columns(best: Column) -> dict[str, Column]:
     return {
-        "layer": F.lit("entropy"), "rule_id": F.lit("high_entropy"), "description": F.format_string("High entropy token (H=%.2f)", best["h"]), "redacted": F.lit(f"{REDACTED}_HIGH_ENTROPY"),
+        "layer": F.lit("entropy"), "rule_id": F.lit("high_entropy"), "description": F.concat(F.lit("High entropy token (H="), fixed(best["h"], 2), F.lit(")")), "redacted": F.lit(f"{REDACTED}_HIGH_ENTROPY"),
         "confidence": entropy_confidence(best["h"], best["threshold"]), "tier": F.lit("T2"), "match_ord": match_ord(F.lit(2), F.lit(0), F.lit(1)),
     }
 
