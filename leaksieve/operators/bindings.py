@@ -95,10 +95,13 @@ def bindings_in(source: str, ext: str, names=SENSITIVE_NAMES) -> list[Binding]:
 
 #: Words before a bracket that doesn't hold parameters.
 TESTS = frozenset("if for while switch with".split())
+#: Words that head a body of members, and those that declare the name after them.
+BODIES = frozenset("class interface enum".split())
+DECLARES = frozenset("const let var readonly public private protected static declare export final".split())
 
 
 def _opened(tokens, language: str) -> dict[int, str]:
-    """What each opening bracket opens: itself, or a script's class body or parameters, or an annotation's arguments."""
+    """What each opening bracket opens: itself, or a script's parameters, pattern to take apart or body of members, or an annotation's arguments."""
     out: dict[int, str] = {}
     open_at: list[int] = []
     for i, (kind, text, _, _) in enumerate(tokens):
@@ -107,24 +110,64 @@ def _opened(tokens, language: str) -> dict[int, str]:
         if text in "([{":
             open_at.append(i)
             annotated = language == "java" and text == "(" and i > 1 and tokens[i - 1][0] == "name" and tokens[i - 2][1] == "@"
-            out[i] = "annotation" if annotated else "class" if language == "script" and text == "{" and _heads_class(tokens, i) else text
+            out[i] = "annotation" if annotated else "class" if language == "script" and text == "{" and _heads_body(tokens, i) else text
         elif text in ")]}" and open_at:
             at = open_at.pop()
-            if language == "script" and out[at] == "(" and _are_parameters(tokens, at, i):
+            after = next((t for t in tokens[i + 1 : i + 3] if t[0] != "line"), ("", "", 0, 0))
+            if language != "script":
+                continue
+            if out[at] == "(" and _are_parameters(tokens, at, i):
                 out[at] = "parameters"
+            elif out[at] in ("{", "[") and (after[1] == "=" or after[0] == "name" and after[1] in ("of", "in")):
+                out[at] = "pattern"
+    if language == "script":  # what a pattern or a list of parameters holds is a pattern too, but for values
+        held: list[int] = []
+        for i, (kind, text, _, _) in enumerate(tokens):
+            if kind == "other" and text in "([{":
+                value = i and tokens[i - 1][1] == "="
+                if held and out[i] in ("{", "[") and out[held[-1]] in ("pattern", "parameters") and not value:
+                    out[i] = "pattern"
+                held.append(i)
+            elif kind == "other" and text in ")]}" and held:
+                held.pop()
     return out
 
 
-def _heads_class(tokens, i: int) -> bool:
-    """Whether a class's head stands before this brace."""
-    for kind, text, _, _ in reversed(tokens[max(0, i - 40) : i]):
-        if kind == "name" and text == "class":
+def _heads_body(tokens, i: int) -> bool:
+    """Whether before this brace stands the head of a class, an interface or an enum, or what makes it a type."""
+    before = [t[1] for t in tokens[max(0, i - 3) : i]]
+    if len(before) == 3 and before[2] == ":" and before[0] in DECLARES:
+        return True  # let x: { ... }
+    alias = before[-1:] == ["="]
+    for kind, text, _, _ in reversed(tokens[max(0, i - 40) : i - alias]):
+        if kind == "name" and text in ({"type"} if alias else BODIES):
             return True
-        if kind not in ("name", "line") and text not in ("<", ">", ","):
+        if alias and kind == "line" or kind not in ("name", "line") and text not in ("<", ">", ","):
             return False
     return False
 
 
+def _annotated(tokens, i: int) -> tuple[str, int] | None:
+    """The name whose declared type ends before token ``i``: back over the type, brackets counted, to its colon."""
+    depth = 0
+    for k in range(i - 1, 0, -1):
+        kind, text = tokens[k][:2]
+        if kind in ("other", "bind") and text in (">", "]", ")", "}"):
+            depth += 1
+        elif kind == "other" and text in ("<", "[", "(", "{"):
+            depth -= 1
+            if depth < 0:
+                return None
+        elif depth == 0 and text == ":" and kind == "bind":
+            name = tokens[k - 1]
+            before = tokens[k - 2] if k > 1 else ("line", "\n", 0, 0)
+            starts = before[0] == "line" or before[1] in (";", "{", "}") or before[1] in DECLARES
+            return (name[1], name[2]) if name[0] == "name" and starts and name[1] not in KEYWORDS | {"try", "finally"} else None
+        elif depth == 0 and (kind in ("line", "comment") or text in (";", ",", "=", ":=")):
+            return None
+    return None
+
+
 def _are_parameters(tokens, first: int, last: int) -> bool:
     """Whether brackets hold a function's parameters: an arrow or a body follows, and no test stands before."""
     before = [t[1] for t in tokens[max(0, first - 2) : first]]
@@ -146,18 +189,20 @@ def _left(tokens, i: int, language: str, bind: str, inside: str) -> tuple[str, i
             return None
         return text, at
     if bind == ":=" and language == "go" or bind == "=":
-        if kind != "name" or inside in ("parameters", "annotation", "class"):
+        if inside in ("parameters", "annotation", "class", "pattern"):
             return None
         if inside == "(" and language in ("python", "go") and not (language == "go" and before[0] in ("line",)):
             return None  # an argument or a parameter
         # a declared type between the name and the mark: name: Type = ..., var name Type = ...
-        if language in ("python", "script") and before[1] == ":" and i > 2 and tokens[i - 3][0] == "name":
-            return tokens[i - 3][1], tokens[i - 3][2]
+        if language in ("python", "script") and (declared := _annotated(tokens, i)):
+            return declared
+        if kind != "name":
+            return None
         if language == "go" and before[0] == "name" and before[1] not in KEYWORDS:
             return before[1], before[2]
         if language == "go" and before[1] == ",":  # of a list of names the first
             k = i - 2
-            while k > 1 and tokens[k][1] == "," and tokens[k - 1][0] == "name":
+            while k > 0 and tokens[k][1] == "," and tokens[k - 1][0] == "name":
                 k -= 2
             return tokens[k + 1][1], tokens[k + 1][2]
         return text, at

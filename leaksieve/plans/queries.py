@@ -412,10 +412,19 @@ def custom_rules(spark, sf_dir):
 
 #: Sources of bindings by language, and what each must report; what reports nothing is a default, field, argument or test.
 BINDINGS = {
-    "py": ('api_key = "{1:20}"\nf(token="{1:20}")\nx = {"secret": "{2:20}"}', ((1, "API_KEY", 1), (3, '"SECRET"', 2))),
-    "js": ('const apiToken = "{1:20}";\nfunction f(token = "{1:20}") { return token }\nclass A { secret = "{1:20}"; }\nlet o = { password: "{3:20}" };', ((1, "APITOKEN", 1), (4, "PASSWORD", 3))),
-    "ts": ('let masterKey: string = "{1:20}";\nconst g = (token = "{1:20}") => token;', ((1, "MASTERKEY", 1),)),
-    "go": ('secret := "{1:20}"\nvar token string = "{2:20}"\ncfg := C{password: "{1:20}"}', ((1, "SECRET", 1), (2, "TOKEN", 2))),
+    "py": (
+        'api_key = "{1:20}"\nf(token="{1:20}")\nx = {"secret": "{2:20}"}\ntoken: str | None = "{3:20}"\nself.secret: dict[str, str] = "{4:20}"\nif debug: password = "{5:20}"\ndef f(token: str | None = "{1:20}"): pass',
+        ((1, "API_KEY", 1), (3, '"SECRET"', 2), (4, "TOKEN", 3), (5, "SELF.SECRET", 4), (6, "PASSWORD", 5)),
+    ),
+    "js": (
+        'const apiToken = "{1:20}";\nfunction f(token = "{1:20}") { return token }\nclass A { secret = "{1:20}"; }\nlet o = { password: "{3:20}" };\nconst { token = "{1:20}", b: { secret = "{1:20}" } } = o;\nfunction g({ token = "{1:20}" }) { password = "{4:20}" }',
+        ((1, "APITOKEN", 1), (4, "PASSWORD", 3), (6, "PASSWORD", 4)),
+    ),
+    "ts": (
+        'let masterKey: string = "{1:20}";\nconst g = (token = "{1:20}") => token;\nlet apiToken: string | null = "{2:20}";\nconst token: Map<string, string> = "{3:20}";\ninterface A { token: "{1:20}" }\ntype B = { secret: "{1:20}" };\nlet p: { password: "{1:20}" };\nenum C { token = "{1:20}" }',
+        ((1, "MASTERKEY", 1), (3, "APITOKEN", 2), (4, "TOKEN", 3)),
+    ),
+    "go": ('token, err := "{3:20}", nil\nsecret := "{1:20}"\nvar token string = "{2:20}"\ncfg := C{password: "{1:20}"}', ((1, "TOKEN", 3), (2, "SECRET", 1), (3, "TOKEN", 2))),
     "java": ('class A { private String secret = "{1:20}";\n @Value(token = "{1:20}")\n int x = 1; }', ((1, "SECRET", 1),)),
 }
 
