@@ -15,13 +15,16 @@ from ..sources.lines import file_lines, snippet_lines
 from ..sources.settings import Settings
 
 
-def scan_lines(lines: DataFrame, settings: Settings = Settings(), known: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """All layers over numbered lines, routed, less a baseline's findings, in the order of confidence."""
-    found = detect.scan_lines(lines, settings.rules, settings.sensitive_names, **settings.entropy())
+def _reported(found: DataFrame, settings: Settings, known: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     out = route.routed(found, labels, settings.fallback)
     return route.in_order(baseline.suppress(out, known) if known is not None else out)
 
 
+def scan_lines(lines: DataFrame, settings: Settings = Settings(), known: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """All layers over numbered lines, routed, less a baseline's findings, in the order of confidence."""
+    return _reported(detect.scan_lines(lines, settings.rules, settings.sensitive_names, **settings.entropy()), settings, known, labels)
+
+
 def scan_texts(docs: DataFrame, id_col: str, text_col: str, ext: str = "", settings: Settings = Settings(), **more) -> DataFrame:
     """Each row's text is a unit; markers in it aren't looked at."""
     return scan_lines(snippet_lines(docs, text_col, F.col(id_col), ext), settings, **more)
@@ -38,11 +41,17 @@ def scan_diffs(texts: DataFrame, text_col: str = "text", settings: Settings = Se
     return scan_lines(diffs.added_lines(rows, settings.exclude_dirs, settings.exclude_files), settings, **more)
 
 
+def scan_commits(commits: DataFrame, settings: Settings = Settings(), **more) -> DataFrame:
+    """Findings of each commit (sha, subject, text), with sha and subject; a commit is a unit."""
+    lines = diffs.commit_lines(commits, settings.exclude_dirs, settings.exclude_files)
+    found = detect.scan_lines(lines, settings.rules, settings.sensitive_names, **settings.entropy())
+    sha, subject = diffs.of_unit(F.col("unit_id"))
+    return _reported(found.withColumns({"sha": sha, "subject": subject, "unit_id": sha}), settings, **more)
+
+
 def scan_history(log: DataFrame, text_col: str = "text", settings: Settings = Settings(), **more) -> DataFrame:
-    """Findings of each commit, with sha and subject; a commit is a unit."""
-    heads = diffs.commits(log, text_col).select("sha", "subject")
-    found = scan_lines(diffs.history_lines(log, text_col), settings, **more)
-    return route.in_order(found.join(heads, found.unit_id == heads.sha))
+    """The same of the commits of log texts."""
+    return scan_commits(diffs.commits(log, text_col), settings, **more)
 
 
 def adjudicate(findings: DataFrame, classify: Callable[[str], str]) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import audit, baseline, detect, metrics, route
 from ..operators.rules import RULES, catalog, with_custom
 from ..sources import diffs
 from ..sources.lines import ALLOW, EXCLUDE_DIRS, EXCLUDE_FILES, file_lines, snippet_lines, spread
+from ..sources.staging import fresh
 from . import api
 from .corpus import lines, lines_sql, quoted, template_column, template_sql
 
@@ -161,6 +162,64 @@ def diff_line_numbers(spark, sf_dir):
     return diffs.added_lines(rows).select("unit_id", "file", "line_no", "text")
 
 
+# one diff of all orders, in blocks of 512 places
+_BIG_ROW = """CASE WHEN pos % 997 = 5 THEN '+++ b/big/m' || pos || '.py' WHEN pos % 53 = 2 THEN '@@ -1,0 +' || (pos % 500) || ',4 @@' WHEN pos % 11 = 0 THEN '-old ' || pos
+    WHEN pos % 3001 = 7 THEN '+# leaksieve:skip-file' WHEN pos % 5 = 0 THEN ' same ' || pos ELSE '+new ' || pos END"""
+
+
+@query(f"""WITH d AS (SELECT pos, {_BIG_ROW} AS text FROM (SELECT o_orderkey AS pos FROM orders)),
+    e AS (SELECT *, last_value(CASE WHEN text LIKE '+++ b/%' THEN substr(text, 7) END IGNORE NULLS) OVER w AS file, sum(CASE WHEN text LIKE '+++ b/%' THEN 1 ELSE 0 END) OVER w AS file_no,
+            sum(CASE WHEN text LIKE '+++ b/%' OR text LIKE '@@ %' THEN 1 ELSE 0 END) OVER w AS hunk FROM d WINDOW w AS (ORDER BY pos)),
+    n AS (SELECT *, coalesce(max(CASE WHEN text LIKE '@@ %' THEN CAST(regexp_extract(text, '\\+([0-9]+)', 1) AS INTEGER) END) OVER h, 0) + sum(CASE WHEN text NOT LIKE '+++ b/%' AND (text LIKE '+%' OR text LIKE ' %') THEN 1 ELSE 0 END) OVER h - 1 AS line_no,
+            bool_or(text LIKE '+%skip-file%') OVER (PARTITION BY file_no) AS skipped FROM e WINDOW h AS (PARTITION BY hunk ORDER BY pos))
+    SELECT pos, file, CAST(line_no AS INTEGER) AS line_no, skipped FROM n WHERE text LIKE '+%' AND text NOT LIKE '+++ b/%'""")
+def diff_across_blocks(spark, sf_dir):
+    """All orders as one diff: its blocks are numbered apart, and what one leaves to the next is carried over."""
+    k, s = F.col("pos"), lambda c: c.cast("string")
+    text = (
+        F.when(k % 997 == 5, F.concat(F.lit("+++ b/big/m"), s(k), F.lit(".py"))).when(k % 53 == 2, F.concat(F.lit("@@ -1,0 +"), s(k % 500), F.lit(",4 @@"))).when(k % 11 == 0, F.concat(F.lit("-old "), s(k)))
+        .when(k % 3001 == 7, "+# leaksieve:skip-file").when(k % 5 == 0, F.concat(F.lit(" same "), s(k))).otherwise(F.concat(F.lit("+new "), s(k)))
+    )
+    d = spread(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos")))
+    rows = d.select(F.lit("all").alias("unit_id"), F.shiftright("pos", 9).alias("block"), "pos", text.alias("text"))
+    return diffs.numbered(rows).where("kind = 'added'").select("pos", "file", "line_no", "skipped")
+
+
+def _commits(spark, sf_dir) -> DataFrame:
+    """sha, subject, text: a commit for each order, each fifth of which only removes."""
+    k, s = F.col("o_orderkey"), lambda c: c.cast("string")
+    h, n = F.sha2(s(k), 256), F.col("o_orderkey") % 3
+    key = F.concat(F.lit('+k = "AKIA'), F.upper(F.substring(h, 1, 16)), F.lit('"\n'))
+    text = F.concat(F.lit("\n+++ b/m"), s(k), F.lit(".py\n@@ -4 +"), s(n + 1), F.lit(",2 @@ def f\n"), F.when(k % 5 == 0, F.lit("-gone\n")).otherwise(F.concat(key, F.lit("-gone\n+v"), s(k), F.lit("\n"))))
+    return _table(spark, sf_dir, "orders").select(F.substring(h, 1, 40).alias("sha"), F.concat(F.lit("order "), s(k)).alias("subject"), text.alias("text"))
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """The same written as a log and read in splits."""
+    path = fresh(spark, "log")
+    _commits(spark, sf_dir).select(F.concat("sha", F.lit("\0"), "subject", F.lit("\n"), "text").alias("value")).write.option("lineSep", diffs.COMMIT).text(path)
+    return diffs.read_log(spark, path)
+
+
+_COMMITS = "(SELECT *, substr(h, 1, 40) AS sha, 'order ' || o_orderkey AS subject, 'm' || o_orderkey || '.py' AS file, CAST(o_orderkey % 3 + 1 AS INTEGER) AS first FROM (SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders) WHERE o_orderkey % 5 <> 0)"
+
+
+@query(f"""SELECT sha, subject, file, first AS line_no, 'k = "AKIA' || upper(substr(h, 1, 16)) || '"' AS text FROM {_COMMITS}
+    UNION ALL SELECT sha, subject, file, first + 1, 'v' || o_orderkey FROM {_COMMITS}""")
+def commit_log(spark, sf_dir):
+    """A log written and read back: commits that add nothing leave."""
+    lines = diffs.commit_lines(_log(spark, sf_dir))
+    sha, subject = diffs.of_unit(F.col("unit_id"))
+    return lines.select(sha.alias("sha"), subject.alias("subject"), "file", "line_no", "text")
+
+
+@query(f"""SELECT sha AS "commit", subject, file, CAST(first AS BIGINT) AS line, 'aws_access_key' AS match_type, 'T0' AS tier, 'regex' AS layer, CAST(0.98 AS DOUBLE) AS confidence, 'aws access key' AS description FROM {_COMMITS}""")
+def history_report(spark, sf_dir):
+    """The log's scan as its JSON lines say it."""
+    schema = "commit string, subject string, file string, line long, match_type string, tier string, layer string, confidence double, description string"
+    return baseline.history_json_lines(api.scan_commits(_log(spark, sf_dir))).select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
 # Rules -------------------------------------------------------------------------------------------------------------------
 
 _CATALOG = ", ".join(f"({n}, {quoted(r.id)}, {quoted(r.tier)})" for n, r in enumerate(RULES))
