@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, baseline, detect, metrics, route
+from ..operators import audit, baseline, compare, detect, metrics, route
 from ..operators.rules import RULES, catalog, with_custom
 from ..sources import diffs
 from ..sources.lines import ALLOW, EXCLUDE_DIRS, EXCLUDE_FILES, file_lines, snippet_lines, spread
@@ -220,6 +220,22 @@ def history_report(spark, sf_dir):
     return baseline.history_json_lines(api.scan_commits(_log(spark, sf_dir))).select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
+# two states of a file for each customer: an order's line is only in the old one, only in the new one, in both, or changed
+@query("""WITH r AS (SELECT 'src/c' || o_custkey || '.py' AS file, o_orderkey AS k, CASE WHEN o_custkey % 4 = 0 THEN 9 ELSE o_orderkey % 6 END AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey % 4 = 0 OR o_orderkey % 6 <> 0)
+    SELECT file, CAST(n AS INTEGER) AS line_no, CASE WHEN kind = 2 THEN 'changed ' ELSE 'line ' END || k AS text FROM r WHERE kind IN (1, 2) OR (file LIKE '%7.py' AND kind <> 9)""")
+def range_diff(spark, sf_dir):
+    """Lines that the new state adds; files of a fourth of the customers are the same in both, those of a tenth are new."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(c % 4 == 0, 9).otherwise(k % 6)
+    path = F.concat(F.lit("src/c"), c.cast("string"), F.lit(".py"))
+    o = _table(spark, sf_dir, "orders").select(path.alias("path"), k.alias("k"), kind.alias("kind"))
+    line = lambda word: F.concat(F.lit(word), F.col("k").cast("string"), F.lit("\n"))
+    files = lambda d, text: d.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    old = files(o.where("kind <> 1 and (not path like '%7.py' or kind = 9)"), line("line "))
+    new = files(o.where("kind <> 0"), F.when(F.col("kind") == 2, line("changed ")).otherwise(line("line ")))
+    return compare.added_between(old, new).select("file", "line_no", "text")
+
+
 # Rules -------------------------------------------------------------------------------------------------------------------
 
 _CATALOG = ", ".join(f"({n}, {quoted(r.id)}, {quoted(r.tier)})" for n, r in enumerate(RULES))

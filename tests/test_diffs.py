@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leaksieve.operators import compare
 from leaksieve.plans import api
 from leaksieve.sources import diffs
 
@@ -89,3 +90,40 @@ def test_log_read_in_splits(spark, tmp_path):
         assert {(r.sha, r.subject, r.unit_id, r.file, r.line_no) for r in found} == {(f"sha{i}", f"subject \x01 {i}", f"sha{i}", f"f{i}.py", i) for i in range(1, 3000, 2)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def common(a, b):
+    """The length of a longest common subsequence, cell by cell."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for k, y in enumerate(b):
+            row[k + 1] = before[k] + 1 if x == y else max(row[k], before[k + 1])
+    return row[-1]
+
+
+def test_added_lines_are_what_no_common_subsequence_holds():
+    rng = random.Random(2)
+    for _ in range(3000):
+        old, new = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        added = set(compare.added_places(old, new))
+        kept = [x for k, x in enumerate(new) if k not in added]
+        assert len(kept) == common(old, new) == common(old, kept)
+    old = [str(rng.randrange(3000)) for _ in range(20000)]
+    new = [x for x in old if rng.random() > 0.1]
+    for _ in range(500):
+        new.insert(rng.randrange(len(new)), "n")
+    assert len(compare.added_places(old, new)) == 500
+    assert compare.added_places([], ["a"]) == [0] and compare.added_places(["a"], []) == []
+
+
+def test_two_states(spark):
+    schema = "path string, text string, extra int"
+    make = lambda d: spark.createDataFrame([(p, t, 1) for p, t in d], schema)
+    old = [("same.py", "a\nb\n"), ("a.py", "x\ny\nz\n"), ("end.py", "x"), ("gone.py", "x"), ("bin", "\0a"), ("crlf.py", "a\nb\n"), ("skip.py", "a\n"), ("null.py", None), ("twice.py", "b\n"), ("twice.py", "a\n")]
+    new = [("same.py", "a\nb\n"), ("a.py", "x\nnew\nz\nlast"), ("end.py", "x\n"), ("bin", "\0b"), ("crlf.py", "a\r\nb\n"), ("skip.py", "a\nb # leaksieve:skip-file\n"), ("null.py", "n\n"), ("new.py", "1\n2 leaksieve:allow\n\n3"), ("node_modules/x.py", "q"), ("x.lock", "q"), ("twice.py", "a\n"), ("twice.py", "c\n"), ("empty.py", None)]
+    got = {(r.file, r.line_no, r.text, r.ext) for r in compare.added_between(make(old), make(new)).collect()}
+    assert got == {("a.py", 2, "new", "py"), ("a.py", 4, "last", "py"), ("end.py", 1, "x", "py"), ("crlf.py", 1, "a", "py"), ("null.py", 1, "n", "py"), ("new.py", 1, "1", "py"), ("new.py", 3, "", "py"), ("new.py", 4, "3", "py")}
+    everything = compare.added_between(None, make(new))
+    assert {(r.file, r.line_no) for r in everything.where("file = 'same.py'").collect()} == {("same.py", 1), ("same.py", 2)}
+    assert compare.added_between(make([]), make(new)).count() == everything.count() and compare.added_between(make(new), make([])).count() == 0
