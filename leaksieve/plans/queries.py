@@ -185,6 +185,17 @@ def diff_across_blocks(spark, sf_dir):
     return diffs.numbered(rows).where("kind = 'added'").select("pos", "file", "line_no", "skipped")
 
 
+@query(f"SELECT 'doc' || unit_id || '.txt' AS file, CAST(line_no AS INTEGER) AS line_no, length(text) AS n FROM ({DOC_LINES})")
+def documents_in_one_diff(spark, sf_dir):
+    """A single diff that adds every document: blocks of 64 documents."""
+    docs = spread(_table(spark, sf_dir, "documents").where("doc_id is not null")).select("doc_id", tx.split_lines(F.col("text")).alias("lines"))
+    head = F.array(F.concat(F.lit("+++ b/doc"), F.col("doc_id").cast("string"), F.lit(".txt")), F.lit("@@ -0,0 +1 @@"))
+    d = docs.select("doc_id", F.posexplode(F.concat(head, F.transform("lines", lambda x: F.concat(F.lit("+"), x)))).alias("k", "text"))
+    pos = F.shiftleft("doc_id", 24) + F.col("k")
+    rows = d.select(F.lit("all").alias("unit_id"), F.shiftright(pos, 30).alias("block"), pos.alias("pos"), "text")
+    return diffs.numbered(rows).where("kind = 'added'").select("file", "line_no", (F.length("text") - 1).cast("long").alias("n"))
+
+
 def _commits(spark, sf_dir) -> DataFrame:
     """sha, subject, text: a commit for each order, each fifth of which only removes."""
     k, s = F.col("o_orderkey"), lambda c: c.cast("string")
