@@ -46,25 +46,30 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _within_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` numbered as if each block stood alone.
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with kind, name (a header's file), start (a hunk's) and skip (whether an added line has the marker): all that numbering needs of a text."""
+    text = F.col("text")
+    kind = F.when(text.startswith("+++ b/"), "file").when(text.startswith("@@ "), "hunk").when(text.startswith("+"), "added").when(text.startswith(" "), "context").otherwise("other")
+    d = rows.withColumn("kind", kind)
+    start = F.coalesce(F.regexp_extract("text", r"\+(\d*)", 1).try_cast("int"), F.lit(0))
+    of = lambda k: F.col("kind") == k
+    return d.withColumns({"name": F.when(of("file"), F.substring("text", 7, 1 << 30)), "start": F.when(of("hunk"), start), "skip": of("added") & text.contains(SKIP_FILE)})
+
 
-    kind; file, the last header's name; files, marks: headers, headers and hunks up to here; steps: lines that count up to
-    here; base: what to add to them for the number; skip: whether the line has the marker, own_skip: a line of its file within the block.
+def _within_blocks(marked: DataFrame) -> DataFrame:
+    """Lines numbered as if each block stood alone.
+
+    file: the last header's name; files, marks: headers, headers and hunks up to here; steps: lines that count up to here;
+    base: what to add to them for the number; own_skip: whether a line of the same file within the block has the marker.
     """
     block = Window.partitionBy("unit_id", "block")
     w = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    header, hunk = F.col("text").startswith("+++ b/"), F.col("text").startswith("@@ ")
-    kind = F.when(header, "file").when(hunk, "hunk").when(F.col("text").startswith("+"), "added").when(F.col("text").startswith(" "), "context").otherwise("other")
-    d = rows.withColumn("kind", kind)
     of = lambda *kinds: F.col("kind").isin(*kinds)
-    d = d.withColumns({
-        "file": F.last(F.when(of("file"), F.substring("text", 7, 1 << 30)), ignorenulls=True).over(w),
-        "files": F.sum(of("file").cast("long")).over(w), "marks": F.sum(of("file", "hunk").cast("long")).over(w),
-        "steps": F.sum(of("added", "context").cast("long")).over(w), "skip": of("added") & F.col("text").contains(SKIP_FILE),
+    d = marked.withColumns({
+        "file": F.last("name", ignorenulls=True).over(w), "files": F.sum(of("file").cast("long")).over(w), "marks": F.sum(of("file", "hunk").cast("long")).over(w),
+        "steps": F.sum(of("added", "context").cast("long")).over(w),
     })
-    start = F.coalesce(F.regexp_extract("text", r"\+(\d*)", 1).try_cast("int"), F.lit(0))
-    base = F.when(of("hunk"), start - F.col("steps")).when(of("file"), -F.col("steps"))
+    base = F.when(of("hunk"), F.col("start") - F.col("steps")).when(of("file"), -F.col("steps"))
     own = Window.partitionBy("unit_id", "block", "files")
     return d.withColumns({"base": F.last(base, ignorenulls=True).over(w), "own_skip": F.max("skip").over(own)})
 
@@ -98,8 +103,9 @@ def numbered(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("block", F.shiftright(F.col("pos").cast("long"), BLOCK))
     if "split" not in rows.columns:
         rows = rows.withColumn("split", F.lit(True))
-    carried = _carried(_within_blocks(rows.where("split")))  # of units of one block nothing is carried
-    d = _within_blocks(rows).join(carried, ["unit_id", "block"], "left")
+    # of units of one block nothing is carried; summaries need no text
+    carried = _carried(_within_blocks(_marked(rows.where("split")).select("unit_id", "block", "pos", "kind", "name", "start", "skip")))
+    d = _within_blocks(_marked(rows)).join(carried, ["unit_id", "block"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     skipped = F.when(F.col("files") == 0, F.col("first_skipped")).when(F.col("files") == F.col("n_files"), F.col("last_skipped"))
     return d.withColumns({
