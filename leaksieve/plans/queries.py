@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import audit, baseline, compare, detect, metrics, route
 from ..operators.rules import RULES, catalog, with_custom
-from ..sources import diffs
+from ..sources import diffs, ignores
 from ..sources.lines import ALLOW, EXCLUDE_DIRS, EXCLUDE_FILES, file_lines, snippet_lines, spread
 from ..sources.staging import fresh
 from . import api
@@ -231,6 +231,24 @@ def history_report(spark, sf_dir):
     return baseline.history_json_lines(api.scan_commits(_log(spark, sf_dir))).select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
+_IGNORE_FILES = [(".gitignore", "*.log\n!keep.log\nbuild/\n# none\n"), ("lib/.gitignore", "/tmp*\n!tmp_ok\n"), ("lib/deep/.gitignore", "!x.log\n")]
+_IGNORE_DIRS, _IGNORE_NAMES = ("src", "lib", "lib/tmpdir", "a/build/b", "lib/deep", "builds"), ("x.log", "keep.log", "tmp1", "tmp_ok", "main.py", "build", "y.log.txt")
+
+
+@query(f"""SELECT p_partkey, path FROM (SELECT p_partkey, dir, name, dir || '/' || p_partkey || '/' || name AS path, FALSE AS below FROM (SELECT p_partkey, {list(_IGNORE_DIRS)}[CAST(p_partkey % 6 AS INTEGER) + 1] AS dir, {list(_IGNORE_NAMES)}[CAST(p_partkey % 7 AS INTEGER) + 1] AS name FROM part)
+    UNION ALL SELECT p_partkey, dir, name, dir || '/' || name, TRUE FROM (SELECT p_partkey, {list(_IGNORE_DIRS)}[CAST(p_partkey % 6 AS INTEGER) + 1] AS dir, p_partkey || {list(_IGNORE_NAMES)}[CAST(p_partkey % 7 AS INTEGER) + 1] AS name FROM part))
+    WHERE dir IN ('lib/tmpdir', 'a/build/b') OR (ends_with(name, '.log') AND name <> 'keep.log' AND NOT (dir = 'lib/deep' AND name = 'x.log'))""")
+def ignore_rules(spark, sf_dir):
+    """Paths of parts that ignore files of three folders leave out: two files for each part."""
+    k = F.col("p_partkey")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int") + 1)
+    d = _table(spark, sf_dir, "part").select("p_partkey", pick(_IGNORE_DIRS).alias("dir"), pick(_IGNORE_NAMES).alias("name"))
+    both = F.array(F.concat_ws("/", "dir", k.cast("string"), "name"), F.concat(F.col("dir"), F.lit("/"), k.cast("string"), F.col("name")))
+    paths = d.select("p_partkey", F.explode(both).alias("path"))
+    ignored = ignores.ignored_paths(paths, ignores.rules_of(spark.createDataFrame(_IGNORE_FILES, "path string, text string")))
+    return paths.join(ignored, "path", "left_semi").select("p_partkey", "path")
+
+
 # two states of a file for each customer: an order's line is only in the old one, only in the new one, in both, or changed
 @query("""WITH r AS (SELECT 'src/c' || o_custkey || '.py' AS file, o_orderkey AS k, CASE WHEN o_custkey % 4 = 0 THEN 9 ELSE o_orderkey % 6 END AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey % 4 = 0 OR o_orderkey % 6 <> 0)
     SELECT file, CAST(n AS INTEGER) AS line_no, CASE WHEN kind = 2 THEN 'changed ' ELSE 'line ' END || k AS text FROM r WHERE kind IN (1, 2) OR (file LIKE '%7.py' AND kind <> 9)""")

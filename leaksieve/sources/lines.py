@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +33,6 @@ def file_lines(files: DataFrame, exclude_dirs=EXCLUDE_DIRS, exclude_files=EXCLUD
     )
 
 
-def read_tree(spark: SparkSession, root: str, exclude_dirs=(), exclude_files=()) -> DataFrame:
-    """path, text of the files under a folder, as any store that Spark reads lists them. Files of excluded folders and names are listed, and never opened."""
-    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    # a filter on file names alone prunes the list of files; names come with escapes for what a link can't hold
-    inside = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(root.rstrip("/")) + "/", ""), F.lit("+"), F.lit("%2B")))
-    return found.where(~is_excluded(inside, exclude_dirs, exclude_files)).select(inside.alias("path"), F.col("value").alias("text"))
-
-
 def without_ignored(files: DataFrame, ignored: DataFrame) -> DataFrame:
     """``files`` without the paths of ``ignored`` (path), however they're written."""
     from ..functions.text import normalised_path

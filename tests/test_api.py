@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from leaksieve.operators import baseline
 from leaksieve.plans import api
 from leaksieve.sources import diffs, settings
-from leaksieve.sources.lines import read_samples, read_tree
+from leaksieve.sources.lines import read_samples
+from leaksieve.sources.trees import read_tree
 
 
 def test_settings(tmp_path):

@@ -9,7 +9,8 @@ from leaksieve.operators import audit, baseline, bindings, detect, metrics, rout
 from leaksieve.operators.rules import RULES
 from leaksieve.plans import api
 from leaksieve.sources import diffs
-from leaksieve.sources.lines import read_tree, snippet_lines
+from leaksieve.sources.lines import snippet_lines
+from leaksieve.sources.trees import read_tree
 
 KEY = "AKIA" + "Q7" * 8
 

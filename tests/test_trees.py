@@ -1,12 +1,11 @@
 """Ignore rules and the listing of trees."""
 
 import os
-import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from leaksieve.sources import ignores
+from leaksieve.sources import ignores, trees
+from leaksieve.sources.lines import EXCLUDE_DIRS, EXCLUDE_FILES
 
 #: Ignore files, the paths they are asked about, and which of them are ignored.
 CASES = [
@@ -43,3 +42,41 @@ def test_files_left_by_their_own_rules(spark):
     more = spark.createDataFrame([(".gitignore", "*.py\n")], "path string, text string")
     assert "./b.py" not in {r.path for r in ignores.without_ignored_files(d, more).collect()}
     assert ignores.without_ignored_files(d.where("false")).count() == 0
+
+
+def plant(root, files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+
+FILES = {"x.py": "1", "sub/y z.py": "2", "sub/a+b%20.py": "3", "sub/[q]{1}*?.py": "4", "k=1/z.py": "5", ".env": "6", "build/no.py": "7", "sub/node_modules/no.js": "8", "a.lock": "9", "é/漢.py": "10", "empty.py": "", "_hidden/f.py": "11"}
+
+
+@pytest.mark.parametrize("above", ["plain", "prework/build", "work", "with space/[a]+b%20", "node_modules/work"])
+def test_tree_paths(spark, tmp_path, monkeypatch, above):
+    root = tmp_path / above / "work"
+    plant(root, FILES)
+    want = {n: t for n, t in FILES.items() if not n.startswith("build/") and "node_modules" not in n and n != "a.lock"}
+    (root / "link.py").symlink_to(root / "x.py")
+    (root / "loop").symlink_to(root, target_is_directory=True)
+    (root / "broken").symlink_to(root / "none")
+    read = lambda path: {r.path: r.text for r in trees.read_tree(spark, path, EXCLUDE_DIRS, EXCLUDE_FILES).collect()}
+    assert read(str(root)) == read(str(root) + "/") == want
+    assert {r.path: r.text for r in trees.read_tree(spark, str(root)).collect()} == FILES
+
+
+def test_relative_root_and_none(spark, tmp_path):
+    root = os.path.relpath(tmp_path / "w")
+    plant(tmp_path / "w", {"build/x.py": "1", "y/w/y.py": "2"})
+    assert {r.path for r in trees.read_tree(spark, root).collect()} == {"build/x.py", "y/w/y.py"}
+    assert trees.read_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_excluded_folders_are_never_listed(spark, tmp_path, monkeypatch):
+    plant(tmp_path, {f"target/{n}/f.py": "" for n in range(200)} | {f"src/{n}/f.py": "" for n in range(30)})
+    listed = []
+    real = trees.Store.names
+    monkeypatch.setattr(trees.Store, "names", lambda self, folder: listed.append(folder.getName()) or real(self, folder))
+    assert len(trees.list_tree(spark, str(tmp_path), ("target",))) == 30
+    assert "target" not in listed and len(listed) == 32
