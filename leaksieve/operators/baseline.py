@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised_path, rfc3339_now
+from ..sources.staging import staged
+from .documents import write_document
 from .route import ORDER, verdict
 
 
@@ -30,43 +34,41 @@ def suppress(findings: DataFrame, baseline: DataFrame, normalize_paths: bool = F
     return with_fingerprint(findings, normalize_paths).join(baseline.select("fingerprint"), "fingerprint", "left_anti").drop("fingerprint")
 
 
-#: Fingerprints or results in one document of a file that others read.
-DOCUMENT = 50_000
-
-
-def _dealt(rows: DataFrame, each: int = DOCUMENT) -> DataFrame:
-    """``rows`` with part: as many parts of about ``each`` rows as they need."""
-    parts = 1 + rows.count() // each
-    return rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
-
-
-def _write_documents(documents: DataFrame, path: str) -> None:
-    """``part, value`` rows as one file each: ``path/part=N``."""
-    documents.write.mode("overwrite").partitionBy("part").text(path)
+#: Lines of a baseline that has a fingerprint a line, as it is written here and, with indents, elsewhere.
+_OPEN, _CLOSE, _HASH = r"^\s*\{\s*$", r"^\s*\]?\s*\}\s*$", r'^\s*,?"([^"\\]*)",?\s*$'
+_OTHER = r'^\s*(?:\],?|"version"\s*:\s*\d+,|"generated_at"\s*:\s*"[^"\\]*",|"fingerprints"\s*:\s*\[(?:\s*\])?)?\s*$'
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """The fingerprints of a baseline's documents, pretty or compact, in a file or a folder. Where there is none, or nothing in it parses, it is empty."""
+    """The fingerprints of a baseline's documents, in a file or a folder. Where there is none, or nothing in it parses, it is empty.
+
+    A document with a fingerprint a line is read by lines, in as many tasks as it has splits. Any other is parsed whole.
+    """
     try:
-        documents = spark.read.text(path, wholetext=True, recursiveFileLookup=True)  # each holds at most DOCUMENT fingerprints where written here
+        lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        documents = spark.createDataFrame([], "value string")
-    found = F.from_json("value", "fingerprints array<string>")["fingerprints"]
-    return documents.select(F.explode(found).alias("fingerprint")).where("fingerprint is not null").distinct()
-
-
-def baseline_documents(fingerprints: DataFrame, generated_at: str | None = None) -> DataFrame:
-    """part and value, a JSON document with version, generated_at and sorted fingerprints; one document up to ``DOCUMENT`` of them."""
-    at = F.lit(generated_at) if generated_at else rfc3339_now()
-    each = _dealt(fingerprints.select("fingerprint")).groupBy("part").agg(F.sort_array(F.collect_list("fingerprint")).alias("fingerprints"))
-    return each.select("part", F.to_json(F.struct(F.lit(1).alias("version"), at.alias("generated_at"), "fingerprints")).alias("value"))
+        return spark.createDataFrame([], "fingerprint string")
+    v = F.col("value")
+    of = lambda p: F.count_if(v.rlike(p))
+    known = v.rlike(_OPEN) | v.rlike(_CLOSE) | v.rlike(_HASH) | v.rlike(_OTHER)
+    ends = v.rlike(r'"\s*$') & v.rlike(_HASH)  # elements that no comma follows, less those that one precedes: all but one
+    shape = lines.groupBy("file").agg(F.count_if(~known).alias("odd"), of(_OPEN).alias("opens"), of(_CLOSE).alias("closes"), of(_HASH).alias("n"), F.count_if(ends).alias("last"), F.count_if(v.rlike(r"^\s*,")).alias("led"), of("fingerprints").alias("lists"))
+    fits = "odd = 0 and opens = 1 and closes = 1 and lists = 1 and (n = 0 or last = 1 and led = 0 or last = n and led = n - 1)"
+    by_line = lines.join(F.broadcast(shape.where(fits).select("file")), "file").where(v.rlike(_HASH)).select(F.regexp_extract(v, _HASH, 1).alias("fingerprint"))  # a row a document
+    rest = shape.where(f"not ({fits})").select("file")
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value").join(F.broadcast(rest), "file")
+    parsed = whole.select(F.explode(F.from_json("value", "fingerprints array<string>")["fingerprints"]).alias("fingerprint"))
+    return by_line.unionByName(parsed).where("fingerprint is not null").distinct()
 
 
 def write_baseline(findings: DataFrame, path: str, normalize_paths: bool = False, generated_at: str | None = None) -> None:
-    """Accept all of ``findings``; ``read_baseline`` reads what is written."""
-    _write_documents(baseline_documents(baseline_of(findings, normalize_paths), generated_at), path)
+    """Accept all of ``findings``: one JSON document, the file ``path``, with version, generated_at and sorted fingerprints. ``read_baseline`` reads it."""
+    prints = baseline_of(findings, normalize_paths).select("fingerprint", F.to_json(F.array("fingerprint")).alias("value"))
+    at = generated_at or findings.sparkSession.range(1).select(rfc3339_now()).first()[0]
+    element = prints.withColumn("value", F.substring("value", F.lit(2), F.length("value") - 2))
+    write_document(element, ["fingerprint"], path, f'{{\n"version": 1,\n"generated_at": {json.dumps(at)},\n"fingerprints": [\n', "]\n}\n")
 
 
 def replace_first(text: Column, secret: Column, token: Column) -> Column:
@@ -109,8 +111,11 @@ def level(tier: Column) -> Column:
 
 def sarif_results(findings: DataFrame) -> DataFrame:
     """rule_id, level, message, uri, start_line, fingerprint: what a report says of a finding. Neither secret nor snippet."""
-    f = with_fingerprint(findings)
-    return f.select(
+    return with_fingerprint(findings).select(*_result_columns())
+
+
+def _result_columns() -> tuple[Column, ...]:
+    return (
         F.coalesce("rule_id", F.lit("unknown")).alias("rule_id"), level(F.col("tier")).alias("level"),
         F.concat(F.lit("["), F.coalesce("tier", F.lit("?")), F.lit("] "), F.coalesce("description", F.lit("Potential secret or IP leak"))).alias("message"),
         normalised_path(F.coalesce("file", F.lit(""))).alias("uri"), F.greatest(F.coalesce("line_no", F.lit(1)), F.lit(1)).alias("start_line"), "fingerprint",
@@ -127,25 +132,23 @@ SARIF = "2.1.0"
 SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
 
-def sarif_documents(findings: DataFrame, tool: str = "leaksieve", version: str = "1") -> DataFrame:
-    """part and value, a SARIF log of one run; one log up to ``DOCUMENT`` results. Each names all rules, which are at most the catalog's."""
+def write_sarif(findings: DataFrame, path: str, tool: str = "leaksieve", version: str = "1") -> None:
+    """A SARIF log of one run, the file ``path``, with all results by place and each rule once. ``findings`` are worked out once.
+
+    What is staged for that has neither secrets nor snippets. The rules are at most the catalog's, and stand behind the results.
+    """
+    report = with_fingerprint(findings).select(*_result_columns(), F.struct((-F.col("confidence")).alias("c"), "unit_id", *ORDER, "description").alias("first"), F.col("rule_id").alias("id"))
+    report = staged(report, "report")
     text = lambda c: F.struct(F.col(c).alias("text"))
     place = F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule_id").alias("ruleId"), "level", text("message").alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias(f"{tool}Fingerprint/v1")).alias("partialFingerprints"))
-    results = _dealt(sarif_results(findings)).select("part", F.struct("uri", "start_line", "rule_id", "fingerprint").alias("at"), result.alias("result"))
-    results = results.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "result"))), lambda x: x["result"]).alias("results"))
-    rule = F.struct(F.col("rule_id").alias("id"), F.col("rule_id").alias("name"), text("description").alias("shortDescription"))
-    rules = sarif_rules(findings).agg(F.sort_array(F.collect_list(rule)).alias("rules"))  # a row of at most the catalog's rules
-    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), "rules")
-    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.coalesce("results", F.array()).alias("results"))
-    log = F.struct(F.lit(SCHEMA).alias("$schema"), F.lit(SARIF).alias("version"), F.array(run).alias("runs"))
-    some = rules.join(results, F.lit(True), "left")  # a scan without findings has a log too
-    return some.select(F.coalesce("part", F.lit(0)).alias("part"), F.to_json(log).alias("value"))
-
-
-def write_sarif(findings: DataFrame, path: str, tool: str = "leaksieve", version: str = "1") -> None:
-    """SARIF logs that other tools read, one file each."""
-    _write_documents(sarif_documents(findings, tool, version), path)
+    rules = report.where("id is not null").groupBy("id").agg(F.min("first").alias("first")).select("id", F.coalesce("first.description", "id").alias("text")).orderBy("id").collect()
+    catalog = [{"id": r.id, "name": r.id, "shortDescription": {"text": r.text}} for r in rules]
+    driver = json.dumps({"driver": {"name": tool, "version": version, "rules": catalog}}, ensure_ascii=False)
+    write_document(
+        report.withColumn("value", F.to_json(result)), ["uri", "start_line", "rule_id", "fingerprint"], path,
+        f'{{"$schema": {json.dumps(SCHEMA)}, "version": "{SARIF}", "runs": [{{"results": [\n', f'],\n"tool": {driver}\n}}]}}\n',
+    )
 
 
 def json_lines(findings: DataFrame) -> DataFrame:

@@ -560,20 +560,26 @@ def diff_many_texts(spark, sf_dir):
 
 @query(FINDINGS + f"SELECT DISTINCT {FINGERPRINT} AS fingerprint FROM f")
 def baseline_roundtrip(spark, sf_dir):
-    """Fingerprints written as documents and read back from them."""
-    documents = baseline.baseline_documents(baseline.baseline_of(_findings(spark, sf_dir)))
-    return documents.select(F.explode(F.from_json("value", "fingerprints array<string>")["fingerprints"]).alias("fingerprint"))
+    """Fingerprints written as one document and read back from it."""
+    path = fresh(spark, "baseline") + ".json"
+    baseline.write_baseline(_findings(spark, sf_dir), path)
+    return baseline.read_baseline(spark, path)
 
 
 @query(FINDINGS + f"""SELECT '2.1.0' AS version, 'leaksieve' AS tool, rule_id, CASE tier WHEN 'T0' THEN 'error' WHEN 'T1' THEN 'warning' WHEN 'T2' THEN 'note' ELSE 'none' END AS level, file AS uri, CAST(greatest(line_no, 1) AS BIGINT) AS start_line, {FINGERPRINT} AS fingerprint,
     (SELECT count(DISTINCT rule_id) FROM f) AS n_rules FROM f""")
 def sarif_run(spark, sf_dir):
-    """The results of the SARIF logs, read back from their JSON."""
-    schema = "version string, runs array<struct<tool: struct<driver: struct<name: string, rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: long>>>>, partialFingerprints: map<string, string>>>>>"
-    d = baseline.sarif_documents(_findings(spark, sf_dir)).select(F.from_json("value", schema).alias("d")).select("d.version", F.explode("d.runs").alias("run"))
-    r = d.select("version", F.col("run.tool.driver.name").alias("tool"), F.size("run.tool.driver.rules").cast("long").alias("n_rules"), F.explode("run.results").alias("r"))
+    """The results of the SARIF log, read back from the file: it has one a line, and the tool with its rules behind them."""
+    path = fresh(spark, "sarif") + ".json"
+    baseline.write_sarif(_findings(spark, sf_dir), path)
+    lines = spark.read.text(path)
+    result = "ruleId string, level string, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: long>>>>, partialFingerprints map<string, string>"
+    r = lines.select(F.from_json(F.regexp_replace("value", "^,", ""), result).alias("r")).where("r.ruleId is not null")
+    version = lines.select(F.regexp_extract("value", '"version": "([0-9.]+)", "runs"', 1).alias("version")).where("version <> ''")
+    tool = lines.select(F.from_json(F.regexp_extract("value", '^"tool": (.*)$', 1), "driver struct<name: string, rules: array<struct<id: string>>>").alias("t")).where("t.driver is not null").select(F.col("t.driver.name").alias("tool"), F.size("t.driver.rules").cast("long").alias("n_rules"))
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
-    return r.select("version", "tool", F.col("r.ruleId").alias("rule_id"), "r.level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"), F.element_at("r.partialFingerprints", "leaksieveFingerprint/v1").alias("fingerprint"), "n_rules")
+    d = r.select(F.col("r.ruleId").alias("rule_id"), "r.level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"), F.element_at("r.partialFingerprints", "leaksieveFingerprint/v1").alias("fingerprint"))
+    return d.join(F.broadcast(version.join(tool, F.lit(True))), F.lit(True))  # one row beside each
 
 
 @query("""WITH e AS (SELECT c_nationkey AS chain, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT chain, n AS n_entries, CAST(CASE WHEN chain % 5 = 0 AND n > 1 THEN 1 WHEN chain % 5 = 1 AND n > 2 THEN 2 END AS BIGINT) AS first_broken FROM e""")

@@ -22,7 +22,7 @@ def findings(spark):
 
 
 def documents(path):
-    return [json.loads(f.read_text()) for f in sorted(path.rglob("part-*"))]
+    return [json.loads(path.read_text())]
 
 
 def test_baseline_is_read_back_whole_and_suppresses(spark, findings, tmp_path):
@@ -34,6 +34,13 @@ def test_baseline_is_read_back_whole_and_suppresses(spark, findings, tmp_path):
     assert known.count() == 3 and baseline.suppress(findings, known).count() == 0
     assert baseline.read_baseline(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "broken").write_text("{no json")
+    (tmp_path / "cut").write_text("\n".join(path.read_text().splitlines()[:-2]))
+    assert baseline.read_baseline(spark, str(tmp_path / "cut")).count() == 0
+    for indent in (None, 2):
+        (tmp_path / "other").write_text(json.dumps(one, indent=indent))
+        assert baseline.read_baseline(spark, str(tmp_path / "other")).count() == 3
+    baseline.write_baseline(findings.where("false"), str(path))
+    assert documents(path)[0]["fingerprints"] == [] and baseline.read_baseline(spark, str(path)).count() == 0
     assert baseline.read_baseline(spark, str(tmp_path / "broken")).count() == 0
 
 
@@ -49,6 +56,35 @@ def test_sarif_log_of_some_and_of_no_findings(findings, tmp_path):
     assert log["runs"][0]["results"] == [] and log["runs"][0]["tool"]["driver"]["rules"] == []
 
 
+def test_documents_of_any_size(spark, tmp_path):
+    many = spark.range(200_000).select(
+        F.lit("u").alias("unit_id"), F.concat(F.lit("f"), F.col("id") % 977).alias("file"), F.lit("py").alias("ext"), (F.col("id") % 1000).cast("int").alias("line_no"), F.lit("regex").alias("layer"), F.concat(F.lit("r"), F.col("id") % 7).alias("rule_id"),
+        F.lit('a "quote" \\').alias("description"), F.lit("s").alias("snippet"), F.concat(F.lit("secret"), F.col("id")).alias("secret"), F.lit("x").alias("redacted"), F.lit(0.9).alias("confidence"), F.lit("T0").alias("tier"), F.lit(False).alias("ai_skipped"), F.lit(0).alias("phase"),
+        detect.match_ord(F.lit(0), F.lit(0), F.lit(1)).alias("match_ord"),
+    )
+    baseline.write_sarif(many, str(tmp_path / "s.json"))
+    (log,) = documents(tmp_path / "s.json")
+    results = log["runs"][0]["results"]
+    places = [(r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], r["locations"][0]["physicalLocation"]["region"]["startLine"]) for r in results]
+    assert len(results) == 200_000 and places == sorted(places) and len(log["runs"][0]["tool"]["driver"]["rules"]) == 7
+    baseline.write_baseline(many, str(tmp_path / "b.json"))
+    (one,) = documents(tmp_path / "b.json")
+    assert len(one["fingerprints"]) == 200_000 and one["fingerprints"] == sorted(one["fingerprints"])
+    assert baseline.suppress(many, baseline.read_baseline(spark, str(tmp_path / "b.json"))).count() == 0
+
+
+def test_findings_are_worked_out_once_for_a_log(spark, findings, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    baseline.write_sarif(findings.mapInArrow(count, findings.schema), str(tmp_path / "s"))
+    assert seen.value == 3
+
+
 def test_audit_log_appends_verifies_and_shows_a_change(spark, findings, tmp_path):
     path = tmp_path / "audit"
     assert audit.verify_log(spark, str(path), b"k").first()["n_entries"] == 0
