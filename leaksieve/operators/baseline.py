@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import normalised_path, rfc3339_now
 from ..sources.staging import staged
 from .documents import write_document
+from .redact import redact
 from .route import ORDER, verdict
 
 
@@ -88,15 +91,22 @@ def preview(snippet: Column, secret: Column, token: Column) -> Column:
     return F.when(short.isNotNull(), F.when(F.coalesce(short.contains(secret), F.lit(False)), replace_first(short, secret, t)).otherwise(t))
 
 
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n", IntegerType())]))
+def _redacted(texts: pd.Series, steps: pd.Series) -> pd.DataFrame:
+    done = [(None, None) if t is None else redact(t, [(s["needle"], s["token"]) for s in found]) for t, found in zip(texts, steps, strict=True)]
+    return pd.DataFrame(done, columns=["text", "n"]).astype({"n": "Int32"})
+
+
 def redact_files(files: DataFrame, findings: DataFrame, only_blocked: bool = True) -> DataFrame:
-    """path, text, n_redacted of ``path, text`` rows. A file's findings are applied in their order, each to its first occurrence."""
+    """path, text, n_redacted of ``path, text`` rows. A file's findings are applied in their order, each to its first occurrence, in time linear in both; files without findings don't leave the JVM."""
     f = findings.where(F.col("secret").isNotNull() & (verdict(F.col("tier"), F.col("confidence")) == "block")) if only_blocked else findings
-    step = F.struct((-F.col("confidence")).alias("c"), *(F.col(c) for c in ORDER if c != "file"), needle(F.col("secret"), F.col("snippet")).alias("needle"), F.col("redacted").alias("token"))
+    word = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    step = F.struct((-F.col("confidence")).alias("c"), *(F.col(c) for c in ORDER if c != "file"), word(needle(F.col("secret"), F.col("snippet")), "needle"), word(F.col("redacted"), "token"))
     steps = f.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
     d = files.join(steps, "path", "left")
-    folded = F.aggregate("steps", F.struct(F.col("text").alias("text"), F.lit(0).alias("n")), lambda a, s: F.struct(replace_first(a["text"], s["needle"], s["token"]).alias("text"), (a["n"] + (F.instr(a["text"], s["needle"]) > 0).cast("int")).alias("n")))
-    done = F.when(F.col("steps").isNotNull(), folded)
-    return d.withColumn("done", done).select("path", F.coalesce("done.text", "text").alias("text"), F.coalesce("done.n", F.lit(0)).alias("n_redacted"))
+    plain = F.transform(F.coalesce("steps", F.array()), lambda s: F.struct(s["needle"].alias("needle"), s["token"].alias("token")))
+    d = d.withColumn("done", _redacted(F.when(F.col("steps").isNotNull(), F.col("text")), plain))
+    return d.select("path", F.coalesce("done.text", "text").alias("text"), F.coalesce("done.n", F.lit(0)).alias("n_redacted"))
 
 
 LEVELS = {"T0": "error", "T1": "warning", "T2": "note"}
