@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, baseline, compare, detect, metrics, route
+from ..operators import adjudicator, audit, baseline, compare, detect, metrics, route
 from ..operators.rules import RULES, catalog, with_custom
 from ..sources import diffs, ignores
 from ..sources.lines import ALLOW, EXCLUDE_DIRS, EXCLUDE_FILES, file_lines, snippet_lines, spread
@@ -637,3 +637,47 @@ def json_report(spark, sf_dir):
 def check_exit(spark, sf_dir):
     f = _findings(spark, sf_dir)
     return route.fails_build(f).toDF("any_tier").join(route.fails_build(f, ["t3"]).toDF("tier3"), F.lit(True))  # one row beside one row
+
+
+# Addresses, logs and documents that the library writes and reads back ------------------------------------------------------
+
+_ENDPOINTS = ("http://h{k}", "http://h{k}:8/", "http://h{k}/completion", "http://h{k}/completion//", "http://h{k}/v1", "http://h{k}/v1/chat/completions", "h{k}/completion/completion")
+_ENDPOINT_SQL = "CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN replace({quoted(e)}, '{{k}}', CAST(c_custkey AS VARCHAR))" for i, e in enumerate(_ENDPOINTS)) + " END"
+
+
+@query(f"SELECT c_custkey, CASE WHEN ends_with(e, '/v1/chat/completions') THEN e ELSE regexp_replace(regexp_replace(e, '/+$', ''), '(/completion)+$', '') || '/v1/chat/completions' END AS url FROM (SELECT c_custkey, {_ENDPOINT_SQL} AS e FROM customer)")
+def completion_urls(spark, sf_dir):
+    """Where an adjudicator's requests go, by what is given as its address."""
+    k = F.col("c_custkey")
+    given = F.replace(F.element_at(F.array(*map(F.lit, _ENDPOINTS)), (k % 7).cast("int") + 1), F.lit("{k}"), k.cast("string"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", adjudicator.completions_url_of(given).alias("url"))
+
+
+@query(TOKENS + """, r AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY round(h, 9) DESC, token_no) AS rn FROM e WHERE NOT harmless AND h >= threshold)
+    SELECT line_no, 'High entropy token (H=' || printf('%.2f', h) || ')' AS description, 'T2' AS tier, 'REDACTED_HIGH_ENTROPY' AS redacted FROM r WHERE rn = 1""")
+def entropy_reports(spark, sf_dir):
+    return detect.entropy_findings(lines(spark, sf_dir).drop("template")).select("line_no", "description", "tier", "redacted")
+
+
+@query(FINDINGS + f""", r AS (SELECT *, {VERDICT} AS v, row_number() OVER (ORDER BY {ORDER_SQL}) - 1 AS k FROM f WHERE tier = 'T0' OR line_no % 5 = 0)
+    SELECT k AS seq, upper(v) AS event, file, tier, 'regex' AS layer, CASE WHEN v = 'allow' THEN 'ALLOW' ELSE tier END AS verdict, CAST(NULL AS BIGINT) AS first_broken FROM r""")
+def audit_log(spark, sf_dir):
+    """Two scans' events appended to a log, read back and verified: the second's entries follow the first's."""
+    path, key = fresh(spark, "audit"), b"key"
+    f = _findings(spark, sf_dir).where("tier = 'T0' or line_no % 5 = 0")
+    sure = F.col("confidence") > 0.9  # the order of a log is that of confidence, so two scans give what one would
+    for part in (f.where(sure), f.where(~sure)):
+        audit.append_log(audit.events_of(part), path, key)
+    log = audit.read_log(spark, path).select("seq", "event", "file", "tier", "layer", "verdict")
+    return log.join(F.broadcast(audit.verify_log(spark, path, key).select("first_broken")), F.lit(True))  # one row
+
+
+@query(FINDINGS + f""", g AS (SELECT file, count(*) AS n, max(confidence) AS top, arg_min(rule_id, row(-confidence, line_no, CAST(collapsed AS INTEGER) * 1000000 + rule_no * 1000 + occurrence)) AS first FROM f GROUP BY file)
+    SELECT file, g.file IS NULL AS clean, coalesce(n, 0) AS n, first, top FROM (SELECT DISTINCT file FROM l) LEFT JOIN g USING (file)""")
+def check_documents(spark, sf_dir):
+    """The JSON document of each file of a check, clean ones too, as it reads."""
+    found, files = _findings(spark, sf_dir), lines(spark, sf_dir).select(F.col("file").alias("path"))
+    schema = "file string, clean boolean, findings array<struct<match_type: string, confidence: double, snippet: string, redacted: string>>"
+    d = baseline.json_documents(files, found).select(F.from_json("value", schema).alias("d")).select("d.*")
+    first = F.get("findings", F.lit(0))
+    return d.select("file", "clean", F.size("findings").cast("long").alias("n"), first["match_type"].alias("first"), first["confidence"].alias("top"))
