@@ -41,6 +41,8 @@ CLOSES_P = BLOCKS - {"br", "option", "caption", "td", "th", "tr", "tbody", "thea
 BAD = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|side|aside|footer|foot|masthead|breadcrumbs?|comments?|disqus|respond|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|search|alert|contentinfo|complementary|skip)(?:$|[^a-z])")
 HEADER = re.compile(r"(?:^|[^a-z])(?:site|page|top|global|main)[-_]?header(?:$|[^a-z])|(?:^|\s)header(?:$|\s)")
 GOOD = re.compile(r"(?:^|[^a-z])(?:article|post|entry|content|story|main|body|text|blog)(?:$|[^a-z])")
+#: Words that begin so mark readers' comments: comments, commentlist, comment-form; a commentary is an article's.
+COMMENTS = re.compile(r"(?:^|[^a-z])comment(?!ar|at)")
 HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 LOOSE_TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)", re.S)
@@ -79,7 +81,7 @@ def _judged(name: str, attrs: str, inside_article: bool) -> tuple[bool, float]:
     if says.strip():
         if name not in ("html", "body", "article", "main") and not GOOD.search(says) and (BAD.search(says) or HEADER.search(says) and not inside_article):
             return True, 0.0
-        if re.search(r"(?:^|[^a-z])comments?(?:$|[^a-z])", says) and name not in ("html", "body"):
+        if COMMENTS.search(says) and name not in ("html", "body"):
             return True, 0.0
         if GOOD.search(says):
             bonus += 10.0
@@ -273,7 +275,7 @@ def kept_nodes(root: Node) -> list[Node]:
     best = max(found, key=lambda x: worth[id(x)])
     if best.parent is None:
         return [best]
-    least = max(10.0, worth[id(best)] * SIBLING_SHARE)
+    least = worth[id(best)] * SIBLING_SHARE
 
     def stays(x: Node) -> bool:
         if x is best or x.bad:

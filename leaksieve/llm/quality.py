@@ -184,7 +184,7 @@ def cascade(rules: Sequence[Rule], estimates: Sequence[Estimate], document: Docu
     """The name of the first rule that rejects, in the order of rejections per cost; null where none does."""
     worth = {e.name: e.worth for e in estimates}
     first = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: worth[r.name]):
+    for r in reversed(sorted(rules, key=lambda r: -worth[r.name])):  # built from the last asked to the first
         first = F.when(F.coalesce(r.reject(document), F.lit(True)), F.lit(r.name)).otherwise(first)
     return first
 

@@ -387,3 +387,10 @@ def test_held_out_labels_are_never_seen(spark, make_docs):
     rows = [(i, f"word{i % 7} bad" if i % 2 else f"word{i % 7} good") for i in range(60)]
     train = toxicity.training_rows(make_docs(rows), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int"))
     assert train.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)
+
+
+def test_equal_columns_and_lists_of_comments():
+    column = "<p>A paragraph of some length, with a comma.</p>"
+    assert html_extract.main_text(f"<div><div class=col>{column}</div><div class=col>{column.replace('A', 'Another')}</div></div>").count("paragraph") == 2
+    page = f"<article>{column * 3}<ol class=commentlist><li>I like it, really, very much.</ol><div class='comment-form'>Say, say</div><p class=commentary>Some commentary, kept as it is.</p></article>"
+    assert "like" not in html_extract.main_text(page) and "Say" not in html_extract.main_text(page) and "commentary" in html_extract.main_text(page)

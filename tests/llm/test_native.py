@@ -147,3 +147,11 @@ def test_empty_tables(make_docs):
     none = make_docs([])
     assert exact_dedup.label_documents(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
     assert sharding.assign_shards(none).count() == 0 and quality.judge(none).count() == 0 and pii.find_spans(none).count() == 0
+
+
+def test_rules_of_equal_worth_keep_their_order(spark):
+    rules = [quality.Rule(name, lambda d: d.n_words > 0) for name in ("first", "second", "third")]
+    docs = spark.createDataFrame([("a b",)], "text string")
+    d = quality.Document(F.col("text"), quality.words_of(F.col("text")), lambda n: F.size(quality.words_of(F.col("text"))))
+    asked = lambda *worth: docs.select(quality.cascade(rules, [quality.Estimate(r.name, 1.0, w) for r, w in zip(rules, worth, strict=True)], d)).first()[0]
+    assert asked(0.0, 0.0, 0.0) == "first" and asked(0.1, 0.5, 0.5) == "second" and asked(0.1, 0.2, 0.5) == "third"
