@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale transforms, independent of the rest of the library."""
+"""Training-data operators: thirteen corpus-scale transforms, independent of the rest of the library."""
 
 import sys
 
