@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import normalised_path, rfc3339_now
-from ..sources.staging import staged
+from ..sources.staging import discard, staged
 from .documents import write_document
 from .redact import redact
 from .route import ORDER, verdict
@@ -159,6 +159,7 @@ def write_sarif(findings: DataFrame, path: str, tool: str = "leaksieve", version
         report.withColumn("value", F.to_json(result)), ["uri", "start_line", "rule_id", "fingerprint"], path,
         f'{{"$schema": {json.dumps(SCHEMA)}, "version": "{SARIF}", "runs": [{{"results": [\n', f'],\n"tool": {driver}\n}}]}}\n',
     )
+    discard(report)
 
 
 def json_lines(findings: DataFrame) -> DataFrame:
