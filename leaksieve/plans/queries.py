@@ -681,3 +681,20 @@ def check_documents(spark, sf_dir):
     d = baseline.json_documents(files, found).select(F.from_json("value", schema).alias("d")).select("d.*")
     first = F.get("findings", F.lit(0))
     return d.select("file", "clean", F.size("findings").cast("long").alias("n"), first["match_type"].alias("first"), first["confidence"].alias("top"))
+
+
+#: What hides a secret, and what only looks like one, by a key's remainder: the first seven must be found.
+OBFUSCATED = (
+    'secret = base64.b64decode("c2stcHJvai1acThYdzdLajZWYjVZdDRSc0xtTnBRb0doVHVFaUFjRGY5MzIxMA==").decode()  # {1:6}', 'key_hex = "{1:40}"', "# old key: AKIA{A1:16} do not use", 'p = """line one\nAKIA{A1:16}\nline three"""', 'k = "AKIA" + "{A1:8}" + "{A9:8}"',
+    '\u0410KI\u0410 = "AKIA{A1:16}"', 'mnemonic = "apple brick cloud drift eagle frost grape house ivory joker koala lemon"  # {1:4}',
+    'checksum = "{1:64}"', 'trace = "{1:8}-{9:4}-{13:4}-{17:4}-{21:12}"', 'h = "$2b$12${1:53}"', 'icon = "iVBORw0KGgo{1:40}"', 'version = "1.2.{1:2}-rc.1+build.{3:2}"',
+)
+
+
+@query("SELECT p_partkey, p_partkey % 12 < 7 AS flagged FROM part")
+def obfuscation_cases(spark, sf_dir):
+    """The whole scan of a snippet for each part: hidden secrets are flagged, harmless lookalikes aren't."""
+    k = F.col("p_partkey")
+    docs = _table(spark, sf_dir, "part").select("p_partkey", template_column(OBFUSCATED, k, F.sha2(k.cast("string"), 256)).alias("text"))
+    found = route.routed(detect.scan_lines(snippet_lines(docs, "text", k, "py"))).select(F.col("unit_id").cast("long").alias("p_partkey"), F.lit(True).alias("hit")).distinct()
+    return docs.join(found, "p_partkey", "left").select("p_partkey", F.coalesce("hit", F.lit(False)).alias("flagged"))
