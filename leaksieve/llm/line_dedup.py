@@ -6,19 +6,20 @@ A line is deleted if it lies in a block that an earlier document holds too: neig
 1. Lines are hashed after white space is evened out. From each line on, and back from each line, the
    shortest run of neighbours with words enough is a window. Every line of a block lies in a window inside
    it, so windows find all of a block, one of short lines too.
-2. The earliest document with a window is its keeper. Each document is paired with the keepers of its
-   windows, rare or common: a window names one pair for each holder, so pairs grow with the lines and never
-   with the square of a group, and no cap on frequency is needed.
-3. A pair's shared windows are aligned by patience sorting: dealt out, in the document's order, into the
-   fewest runs that increase in both documents. The first run is what a patience diff aligns; the others are
-   what it would align next, once the first is gone, so blocks that moved or repeat aren't missed.
-4. The runs' blocks, neighbours in both documents, are deleted from the later one. A line's earliest holder
-   keeps it, as no earlier document holds a window around it: of every deleted line one copy stays.
-
-``patience`` and ``deleted_lines`` are the plain line diff of two documents; it keeps one order and matches a
-line once, so it deletes a part of this, and the tests hold the operator to it over all pairs.
-
-Windows travel as hashes with their places.
+2. The earliest document with a window is its keeper. Documents that share a rare window, one of at most
+   ``RARE`` holders, overlap: each is paired with the window's keeper, so pairs grow with the lines and
+   never with the square of a group.
+3. A pair's line lists, from the first to the last window they share, are aligned by patience diff. Where it
+   leaves a shared window out, because one order can't hold a block that moved or repeats, what is left of
+   the document is aligned once more, against the place where the keeper has it.
+4. Windows of more holders name pairs only where the rare ones left them: a document that still has such a
+   window is paired with its keeper and aligned in the same way. So no frequency is cut off.
+5. Aligned blocks are deleted from the later document. A line's earliest holder keeps it, as no earlier
+   document holds a window around it: of every deleted line one copy stays.
+
+A window pairs documents by one 64-bit hash and is deleted only if lines of another, independent 64-bit hash
+align over all of it; texts themselves aren't compared. A keeper of very many documents is copied by
+``SALTS``, so that its pairs are spread over tasks.
 
 Defined results: a null or empty text has one empty line, which is never deleted; earlier means the
 smaller id, a null id comes last, and of equal ids the one read first. Repeated rows are documents of
@@ -29,9 +30,9 @@ are kept by ``drop_repeated_lines`` and never looked at.
 from __future__ import annotations
 
 import struct
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -42,6 +43,10 @@ from pyspark.sql import functions as F
 from .common import column, stage
 
 MIN_WORDS = 5
+#: Documents that hold a window at most for it to be rare.
+RARE = 16
+#: Parts over which the pairs of one keeper are spread.
+SALTS = 64
 LAST = (1 << 63) - 1
 #: Hashes of runs of lines: a polynomial in this base, modulo a prime.
 BASE, PRIME = 0x1B873593CC9E2D51, (1 << 61) - 1
@@ -51,14 +56,16 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
-    """Of each line the hash of its words (signed, 64 bits) and their number."""
-    hashes, words = [], []
+def line_hashes(text: bytes | None) -> tuple[list[int], list[int], list[int]]:
+    """Of each line the hash of its words (signed, 64 bits), their number, and a second hash of them."""
+    hashes, words, marks = [], [], []
     for line in (text or b"").split(b"\n"):
         w = line.split()
-        hashes.append(_signed(xxhash.xxh64_intdigest(b" ".join(w))))
+        plain = b" ".join(w)
+        hashes.append(_signed(xxhash.xxh64_intdigest(plain)))
         words.append(len(w))
-    return hashes, words
+        marks.append(_signed(xxhash.xxh3_64_intdigest(plain, 1)))
+    return hashes, words, marks
 
 
 def spans(words: list[int]) -> list[tuple[int, int]]:
@@ -83,9 +90,9 @@ def spans(words: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def windows(text: bytes | None) -> tuple[int, list[int], list[int], list[int]]:
-    """The number of a text's lines; of each window its key (signed, 64 bits), first place and end."""
-    hashes, words = line_hashes(text)
+def windows(text: bytes | None) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
+    """The second hashes of a text's lines; of each window its key (signed, 64 bits), first place, end, and whether the text holds it for the first time."""
+    hashes, words, marks = line_hashes(text)
     places = spans(words)
     keys, sums = [], []
     for i, j in places:
@@ -95,7 +102,9 @@ def windows(text: bytes | None) -> tuple[int, list[int], list[int], list[int]]:
         sums = sums or list(accumulate(hashes, lambda s, h: (s * BASE + h) % PRIME, initial=0))
         run = (sums[j] - sums[i] * pow(BASE, j - i, PRIME)) % PRIME
         keys.append(_signed(xxhash.xxh64_intdigest(struct.pack("<4q", j - i, hashes[i], hashes[j - 1], run))))
-    return len(hashes), keys, [i for i, _ in places], [j for _, j in places]
+    met: set[int] = set()
+    fresh = [not (k in met or met.add(k)) for k in keys]
+    return marks, keys, [i for i, _ in places], [j for _, j in places], fresh
 
 
 def covered(places: list[dict]) -> list[int]:
@@ -156,10 +165,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+def common_blocks(a: list[int], b: list[int], align: Callable = patience) -> list[tuple[int, int, int]]:
     """Runs of aligned lines that are neighbours in both: first places and length."""
     blocks: list[list[int]] = []
-    for i, j in patience(a, b):
+    for i, j in align(a, b):
         if blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
             blocks[-1][2] += 1
         else:
@@ -168,75 +177,101 @@ def common_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def deleted_lines(own: list[int], words: list[int], other: list[int]) -> list[int]:
-    """Places in a document that lie in large enough blocks common with an earlier one."""
+    """Places in a document that lie in large enough blocks common with an earlier one, by one diff."""
     return [k for i, _, n in common_blocks(own, other) if sum(words[i : i + n]) >= MIN_WORDS for k in range(i, i + n)]
 
 
-def alignments(shared: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """Shared windows (place, end, the keeper's place) dealt into the fewest runs that increase in both documents, by patience sorting."""
-    runs: list[list[tuple[int, int, int]]] = []
-    tops: list[int] = []  # the negated last place in the keeper of each run, ascending
-    for place, end, other in sorted(shared):
-        k = bisect_left(tops, -other + 1)  # the run whose last place is the greatest below this one
-        if k < len(tops):
-            runs[k].append((place, end, other))
-            tops[k] = -other
-        else:
-            runs.append([(place, end, other)])
-            tops.append(-other)
-    return runs
-
-
-def aligned_blocks(shared: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """First places and ends, in the later document, of the blocks that the alignments match."""
+def _inside(shared: list[tuple[int, int, int]], blocks: list[tuple[int, int, int]]) -> tuple[list, list]:
+    """The shared windows (ascending) that lie in one of the blocks, and the others."""
+    firsts = [i for i, _, _ in blocks]
+    found, left = [], []
+    for w in shared:
+        k = bisect_right(firsts, w[0]) - 1
+        (found if k >= 0 and w[1] <= blocks[k][0] + blocks[k][2] else left).append(w)
+    return found, left
+
+
+def aligned_blocks(own: list[int], other: list[int], shared: list[tuple[int, int, int]], align: Callable = patience) -> list[tuple[int, int]]:
+    """First places and ends, in the later document, of what aligning finds of the windows shared with its keeper (place, end, the keeper's place)."""
+    found, left = _inside(sorted(shared), common_blocks(own, other, align))
+    left.sort(key=lambda w: (w[2] - w[0], w[0]))
+    at = 0
+    while at < len(left):  # windows that overlap at one distance are one range
+        step, start, end = left[at][2] - left[at][0], left[at][0], left[at][1]
+        to = at + 1
+        while to < len(left) and left[to][2] - left[to][0] == step and left[to][0] <= end:
+            end = max(end, left[to][1])
+            to += 1
+        blocks = [(i + start, j, n) for i, j, n in common_blocks(own[start:end], other[start + step : end + step], align)]
+        found.extend(_inside(left[at:to], blocks)[0])
+        at = to
     out: list[list[int]] = []
-    for run in alignments(shared):
-        step = None  # how far the keeper's lines are from the document's
-        for place, end, other in run:
-            if step == other - place and place <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], end)
-            else:
-                out.append([place, end])
-                step = other - place
+    for first, end, _ in sorted(found):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
     return [(a, b) for a, b in out]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """row (a number of its own), doc_id, n_lines, windows as key, first and end, and the columns to keep in ``kept``."""
+    """row (a number of its own), doc_id, the lines' second hashes as marks, windows as key, first, end and fresh, and the columns to keep in ``kept``."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
         for batch in batches:
             found = [windows(x.as_py()) for x in batch.column("_text")]
-            arrays = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), *arrays, batch.column("_kept")], names=["row", "doc_id", "n_lines", "key", "first", "end", "kept"])
+            arrays = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), *arrays, batch.column("_kept")], names=["row", "doc_id", "marks", "key", "first", "end", "fresh", "kept"])
 
     kept = F.struct(*(column(c).alias(f"c{n}") for n, c in enumerate(keep))) if keep else F.lit(0)
     source = docs.select(F.monotonically_increasing_id().alias("_row"), column(id_col).cast("long").alias("_id"), column(text_col).cast("binary").alias("_text"), kept.alias("_kept"))
     kept_type = source.schema["_kept"].dataType.simpleString()
-    return stage(source.mapInArrow(split, f"row long, doc_id long, n_lines long, key array<long>, first array<int>, end array<int>, kept {kept_type}"), "lines")
+    return stage(source.mapInArrow(split, f"row long, doc_id long, marks array<long>, key array<long>, first array<int>, end array<int>, fresh array<boolean>, kept {kept_type}"), "lines")
 
 
-def _deletions(lines: DataFrame) -> DataFrame:
-    """row, deleted (places of lines) of the documents that lose lines."""
-    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row").alias("row"))
-    each = lines.select("row", "doc_id", F.explode(F.arrays_zip("key", "first", "end")).alias("x")).select("row", "doc_id", "x.*")
-    order = F.struct(order["id"].alias("id"), order["row"].alias("row"), F.col("first").alias("place"))
-    held = each.groupBy("key").agg(F.min(order).alias("keeper"), F.min("row").alias("low"), F.max("row").alias("high"))
-    held = stage(held.where("low < high").select("key", F.col("keeper.row").alias("keeper"), F.col("keeper.place").alias("place")), "keepers")  # read anew, so that a join skewed by a common line can be split
-    shared = each.select("row", "key", "first", "end").join(held, "key").where("row != keeper")
-    pairs = shared.groupBy("row", "keeper").agg(F.collect_list(F.struct("first", "end", "place")).alias("shared"))  # no more than the row's own windows
+def _shared(lines: DataFrame) -> DataFrame:
+    """The windows of documents that aren't their keepers: row, first, end, keeper, place (the keeper's), holders."""
+    each = lines.select("row", "doc_id", F.explode(F.arrays_zip("key", "first", "end", "fresh")).alias("x")).select("row", "doc_id", "x.*")
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row").alias("row"), F.col("first").alias("place"))
+    held = each.groupBy("key").agg(F.min(order).alias("keeper"), F.sum(F.col("fresh").cast("long")).alias("holders"))
+    held = stage(held.where("holders > 1").select("key", F.col("keeper.row").alias("keeper"), F.col("keeper.place").alias("place"), "holders"), "keepers")  # read anew, so that a join skewed by a common line can be split
+    return stage(each.select("row", "key", "first", "end").join(held, "key").where("row != keeper").drop("key"), "shared")
+
+
+def _aligned(shared: DataFrame, lines: DataFrame) -> DataFrame:
+    """row, first, end of the blocks that the pairs named by these windows align."""
+    pairs = shared.groupBy("row", "keeper").agg(
+        F.collect_list(F.struct("first", "end", "place")).alias("shared"),  # no more than the row's own windows
+        F.min("first").alias("own_from"), F.max("end").alias("own_to"), F.min("place").alias("from"), F.max(F.expr("place + end - first")).alias("to"),
+    ).withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    keepers = pairs.select("keeper", "salt").distinct().join(lines.select(F.col("row").alias("keeper"), F.col("marks").alias("theirs")), "keeper")
+    both = pairs.join(keepers, ["keeper", "salt"]).withColumn("other", F.expr("slice(theirs, from + 1, to - from)")).drop("theirs")
+    both = both.join(lines.select("row", "marks"), "row").withColumn("own", F.expr("slice(marks, own_from + 1, own_to - own_from)"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, firsts, ends = [], [], []
-            for row, x in zip(batch.column("row").to_pylist(), batch.column("shared"), strict=True):
-                for first, end in aligned_blocks([(w["first"], w["end"], w["place"]) for w in x.as_py()]):
+            for k, row in enumerate(batch.column("row").to_pylist()):
+                own_from, other_from = batch.column("own_from")[k].as_py(), batch.column("from")[k].as_py()
+                windows = [(w["first"] - own_from, w["end"] - own_from, w["place"] - other_from) for w in batch.column("shared")[k].as_py()]
+                for first, end in aligned_blocks(batch.column("own")[k].as_py(), batch.column("other")[k].as_py(), windows):
                     rows.append(row)
-                    firsts.append(first)
-                    ends.append(end)
+                    firsts.append(first + own_from)
+                    ends.append(end + own_from)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32())], names=["row", "first", "end"])
 
-    gone = pairs.mapInArrow(align, "row long, first int, end int").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
+    return both.select("row", "own_from", "from", "shared", "own", "other").mapInArrow(align, "row long, first int, end int")
+
+
+def _deletions(lines: DataFrame) -> DataFrame:
+    """row, deleted (places of lines) of the documents that lose lines."""
+    shared = _shared(lines)
+    blocks = F.collect_list(F.struct("first", "end")).alias("gone")
+    rare = stage(_aligned(shared.where(F.col("holders") <= RARE), lines).groupBy("row").agg(blocks), "aligned")
+    common = shared.where(F.col("holders") > RARE).join(rare, "row", "left")
+    common = common.where("gone is null or not exists(gone, g -> g.first <= first and end <= g.end)")
+    gone = rare.select("row", F.explode("gone").alias("g")).select("row", "g.*").unionByName(_aligned(common, lines)).groupBy("row").agg(blocks)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +284,7 @@ def _deletions(lines: DataFrame) -> DataFrame:
 def label_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_deleted, deleted (places from 0, comma-joined)."""
     lines = _lines(docs, id_col, text_col, [])
-    out = lines.select("row", "doc_id", "n_lines").join(_deletions(lines), "row", "left")
+    out = lines.select("row", "doc_id", F.size("marks").cast("long").alias("n_lines")).join(_deletions(lines), "row", "left")
     deleted = F.coalesce("deleted", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(deleted).cast("long").alias("n_deleted"), F.array_join(deleted.cast("array<string>"), ",").alias("deleted"))
 

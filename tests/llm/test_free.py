@@ -337,8 +337,28 @@ def test_line_dedup_finds_blocks_in_any_order(make_docs):
     got = deleted_by_query(make_docs, texts)
     assert got == lines_by_brute_force(texts)
     split = [line_dedup.line_hashes(t.encode()) for t in texts]
-    for i, (own, words) in enumerate(split):  # and no pair can align a block that stayed
-        assert all({*line_dedup.deleted_lines(own, words, other)} <= {*got[i]} for other, _ in split[:i])
+    for i, (own, words, _) in enumerate(split):  # and no pair can align a block that stayed
+        assert all({*line_dedup.deleted_lines(own, words, other)} <= {*got[i]} for other, _, _ in split[:i])
+
+
+def test_line_dedup_aligns_before_it_deletes():
+    own, keeper = [1, 2, 3, 9, 4, 5], [4, 5, 7, 1, 2, 3]
+    shared = [(0, 2, 3), (1, 3, 4), (4, 6, 0)]  # two windows in order, one that moved
+    assert line_dedup.aligned_blocks(own, keeper, shared) == [(0, 3), (4, 6)]
+    assert line_dedup.aligned_blocks(own, keeper, shared, align=lambda a, b: []) == []  # no alignment, no deletion
+    asked = []
+    line_dedup.aligned_blocks(own, keeper, shared, align=lambda a, b: asked.append((a, b)) or line_dedup.patience(a, b))
+    assert asked == [(own, keeper), ([4, 5], [4, 5])]  # the whole lists, then what one order can't hold
+    assert line_dedup.aligned_blocks([1, 2], [1, 8], [(0, 2, 0)]) == []  # a key that only seems equal
+    assert line_dedup.aligned_blocks([1, 2, 1, 2], [1, 2], [(0, 2, 0), (2, 4, 0)]) == [(0, 4)]
+
+
+def test_line_dedup_of_common_lines(make_docs):
+    """More holders than are rare: rare windows pair near copies, common ones what is left."""
+    notice = "\n".join(f"line {k} of a notice that all hold" for k in range(3))
+    texts = [f"{'' if n % 3 else notice + chr(10)}own text of number {n} and more\n{notice}" for n in range(3 * line_dedup.RARE)]
+    texts += [texts[5] + "\nits own last line, longer than five words", texts[6] + "\n" + texts[5]]
+    assert deleted_by_query(make_docs, texts) == lines_by_brute_force(texts)
 
 
 def test_line_dedup_finds_blocks_of_short_lines(make_docs):
