@@ -1,9 +1,9 @@
 """Order-preserving packing of token streams into windows, by dynamic programming.
 
 Each task packs the documents of its own input split in their order, so no row moves: at 100 TB as on a
-laptop a task holds one block of tokens and the documents in it. Windows may end at document ends, at
-sentence ends for a small penalty. Inside a sentence they may not, unless it runs over a sixteenth of a window
-without an end: there they may end on a grid, for a large penalty, or such runs would cost much padding. Over the cut points p of a block
+laptop a task holds one block of tokens and the documents in it. Windows may end at document ends, and at
+sentence ends for a small penalty. Inside a sentence they may not, unless it is longer than a window: there
+they may end on a grid, for a large penalty. Over the cut points p of a block
 
     f(j) = penalty(j) + window - p(j) + min { f(i) + p(i) : p(j) - p(i) <= window },
 
@@ -29,16 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, kept
+from .common import column, give_back, kept
 
 WINDOW, END_ID = 2048, 1
 #: Penalties of a cut, in tokens of padding: at a sentence's end, and inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 4, 32
 #: Tokens of a block at least, and words whose ids a worker remembers.
 BLOCK, REMEMBERED = 1 << 18, 900_000  # at about 150 bytes a word a worker's memo stays under 150 MB
-#: A run without a sentence's end that is longer than a window by this is no sentence: a list, a table or code, and may be cut inside.
-LONG = 16
-#: Tokens between the places inside such runs where a window may end.
+#: Tokens between the places inside a sentence longer than a window where one may end.
 GRID = 16
 SENTENCE_ENDS = (".", "!", "?")
 #: Characters that may part words in one text; the first that is one token does.
@@ -99,7 +97,7 @@ def cut_points(tokens: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarra
     """Where a block may be cut, with 0 first, and what each cut costs."""
     sentence = np.flatnonzero(np.isin(tokens, sentence_ids)) + 1
     ends = np.union1d(sentence, doc_ends)
-    long = np.flatnonzero(np.diff(ends, prepend=0) > window // LONG)
+    long = np.flatnonzero(np.diff(ends, prepend=0) > window)
     inside = [np.arange((ends[k - 1] if k else 0) + GRID, ends[k], GRID) for k in long]
     every = np.union1d(ends, np.concatenate(inside)) if inside else ends
     cost = np.where(np.isin(every, doc_ends, assume_unique=True), 0, np.where(np.isin(every, sentence, assume_unique=True), AT_SENTENCE, IN_SENTENCE))
@@ -212,5 +210,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         yield rows(packer.place(last=True))
         give_back()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("binary").alias("text"))
     return source.mapInArrow(pack, PIECES)

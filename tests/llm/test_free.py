@@ -186,6 +186,19 @@ def test_cuts_are_the_best():
         assert cuts[0] == 0 and cuts[-1] == at[-1] and worth == best[len(at) - 1]
 
 
+def test_sentences_that_fit_a_window_stay_whole():
+    rng = random.Random(9)
+    for window in (20, 64, 100):
+        sizes = [rng.choice((1, 3, window // 2, window - 1, window, window + 1, 3 * window)) for _ in range(300)]
+        tokens = np.concatenate([np.r_[np.zeros(n - 1, int), 7] for n in sizes])  # 7 ends a sentence
+        ends = np.cumsum(sizes)
+        docs = np.union1d(ends[rng.sample(range(300), 40)], ends[-1:])
+        cuts = packing.best_cuts(*packing.cut_points(tokens, docs, np.array([7]), window), window)
+        assert all(b - a <= window for a, b in zip(cuts, cuts[1:], strict=False))
+        inside = np.searchsorted(ends, [c for c in cuts[1:] if c not in {*ends.tolist()}])
+        assert all(sizes[k] > window for k in inside)
+
+
 # Near copies -------------------------------------------------------------------------------------------------------------
 
 
