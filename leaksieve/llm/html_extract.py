@@ -286,7 +286,22 @@ def kept_nodes(root: Node) -> list[Node]:
             return False
         return x.name in PARAGRAPHS | {"h1", "h2", "h3"} and x.chars > 0 and _density(x) < 0.25 and (x.chars >= 80 or x.name in HEADINGS)
 
-    return [x for x in best.parent.children if isinstance(x, Node) and stays(x)]
+    kept = [x for x in best.parent.children if isinstance(x, Node) and stays(x)]
+    title = _title_before(root, kept)
+    return [title, *kept] if title else kept
+
+
+def _title_before(root: Node, kept: list[Node]) -> Node | None:
+    """The page's only h1 outside boilerplate, if it stands before what is kept."""
+    first, before, all_of = kept[0], [], 0
+    met = False
+    for x, ends in _in_order(root):
+        met |= x is first
+        if isinstance(x, Node) and x.name == "h1" and not ends and not x.bad:
+            all_of += 1
+            if not met:
+                before.append(x)
+    return before[0] if all_of == 1 and before else None
 
 
 def _only_links(x: Node) -> bool:

@@ -20,6 +20,9 @@ a boundary to the first such place, and through whole chunks that have none.
 
 No task holds more than ``FAN`` matrices of a text; texts, ids and traces stay spread by chunk.
 
+Models are BPE ones that leave texts as they are: spaces marked, one mark in front, nothing removed or
+normalised, no pieces of the user's own. ``Pieces`` refuses all others, as their encoding is another one.
+
 Defined results: a null text counts as empty and has no tokens; repeated rows are encoded apart; an empty
 table gives no rows. Texts that hold the space mark U+2581 itself decode to spaces, as in any
 SentencePiece model. Other columns are never looked at.
@@ -50,6 +53,25 @@ START: State = (0, 0)
 NEVER = float("inf")
 
 
+def _refuse_others(proto) -> None:
+    trainer, norm = proto.trainer_spec, proto.normalizer_spec
+    wrong = [
+        what
+        for what, found in {
+            "isn't BPE": trainer.model_type != trainer.BPE,
+            "normalises characters": bool(norm.precompiled_charsmap),
+            "removes white space": norm.remove_extra_whitespaces,
+            "doesn't mark a text's start": not norm.add_dummy_prefix,
+            "doesn't mark spaces": not norm.escape_whitespaces,
+            "marks spaces behind words": trainer.treat_whitespace_as_suffix,
+            "has pieces of the user's own": any(p.type in (4, 5) for p in proto.pieces),
+        }.items()
+        if found
+    ]
+    if wrong:
+        raise ValueError(f"a model that {', '.join(wrong)} can't be used here")
+
+
 class Pieces:
     """A BPE model's pieces and what follows from them."""
 
@@ -58,6 +80,7 @@ class Pieces:
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
+        _refuse_others(proto)
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.rank = {p.piece: -p.score for p in proto.pieces if p.type == 1}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}

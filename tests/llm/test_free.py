@@ -29,6 +29,19 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
 
+def test_other_models_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    for change in (lambda m: setattr(m.trainer_spec, "model_type", 1), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), lambda m: setattr(m.pieces[500], "type", 4)):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model)
+        change(proto)
+        with pytest.raises(ValueError, match="can't be used"):
+            Pieces(proto.SerializeToString())
+
+
 # HTML --------------------------------------------------------------------------------------------------------------------
 
 ARTICLE = '<article><h1>Ti&amp;tle</h1><p><b>First, long enough paragraph of the text.<br><p>Second &lt;p&gt;  with\n\tspace &eacute;.</p><ul><li>one<li>two</ul></article>'
@@ -47,6 +60,10 @@ PAGES = [
     # points decide between containers: a teaser in an article goes where most text is beside it, and a wrapper inside an article doesn't lose its title
     (f"<body><article><p>A teaser, short as it is here.</p></article><div><p>{'The real text, with commas, and more. ' * 30}</p>{'<p>Another paragraph, of the same, real text, that goes on.</p>' * 20}</div>", ("The real text, with commas, and more. " * 30).strip() + " Another paragraph, of the same, real text, that goes on." * 20),
     (f"<body><article><h1>T</h1><div><div><div>{'<p>Some text, of a long, long kind, that is deep inside.</p>' * 30}</div></div></div></article>", "T" + " Some text, of a long, long kind, that is deep inside." * 30),
+    # the only title comes along from before the container; not where there are two, nor from boilerplate
+    (f"<body><div><h1>The title</h1></div><div><div class=content>{'<p>Some text, of a long, long kind, that is deep inside.</p>' * 3}</div></div>", "The title" + " Some text, of a long, long kind, that is deep inside." * 3),
+    (f"<body><div><h1>One</h1></div><div><h1>Two</h1></div><div><div class=content>{'<p>Some text, of a long, long kind, that is deep inside.</p>' * 3}</div></div>", ("Some text, of a long, long kind, that is deep inside. " * 3).strip()),
+    (f"<body><nav><h1>Menu</h1></nav><div><div class=content>{'<p>Some text, of a long, long kind, that is deep inside.</p>' * 3}</div></div>", ("Some text, of a long, long kind, that is deep inside. " * 3).strip()),
 ]
 
 
