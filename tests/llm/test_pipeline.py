@@ -26,7 +26,8 @@ def documents():
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     df = QUERIES[name](spark, SF)
