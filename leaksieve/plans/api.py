@@ -37,8 +37,8 @@ def scan_files(files: DataFrame, settings: Settings = Settings(), **more) -> Dat
 
 def scan_diffs(texts: DataFrame, text_col: str = "text", settings: Settings = Settings(), id_col: str | None = None, **more) -> DataFrame:
     """Each row's diff is a unit, named by ``id_col`` (unique), or else by its text's digest."""
-    rows = diffs.diff_rows(texts, text_col, F.col(id_col) if id_col else None)
-    return scan_lines(diffs.added_lines(rows, settings.exclude_dirs, settings.exclude_files), settings, **more)
+    lines = diffs.text_added_lines(texts, text_col, F.col(id_col) if id_col else None, settings.exclude_dirs, settings.exclude_files)
+    return scan_lines(lines, settings, **more)
 
 
 def scan_commits(commits: DataFrame, settings: Settings = Settings(), **more) -> DataFrame:

@@ -21,19 +21,24 @@ COMMIT = "\x01commit\x01"
 BLOCK = 16
 
 
-def diff_rows(texts: DataFrame, text_col: str = "text", unit: Column | None = None) -> DataFrame:
-    """unit_id, block, pos, text and split (whether the unit has several blocks) of each line of diff texts.
-
-    Each text is a unit: ``unit`` (unique; null counts as empty), or else its digest and, from the second copy on, a number.
-    """
+def _units(texts: DataFrame, text_col: str, unit: Column | None) -> DataFrame:
+    """unit_id and _text of diff texts."""
     if unit is None:
         # copies are alike: one of each with their number, counted in every task first, gives them all
         text = texts.select(F.col(text_col).alias("_text")).where("_text != ''")  # neither null nor empty texts have lines
         each = text.groupBy(F.sha2(F.col("_text").cast("binary"), 256).alias("_digest")).agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_n"))
         texts, text_col = each.select("_digest", "_text", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")), "_text"
         unit = F.when(F.col("_copy") > 1, F.concat_ws("-", "_digest", F.col("_copy").cast("string"))).otherwise(F.col("_digest"))
-    lines = split_lines(F.col(text_col))
-    d = texts.select(F.coalesce(unit.cast("string"), F.lit("")).alias("unit_id"), (F.size(lines) > 1 << BLOCK).alias("split"), F.posexplode(lines).alias("pos", "text"))
+    return texts.select(F.coalesce(unit.cast("string"), F.lit("")).alias("unit_id"), F.col(text_col).alias("_text"))
+
+
+def diff_rows(texts: DataFrame, text_col: str = "text", unit: Column | None = None) -> DataFrame:
+    """unit_id, block, pos, text and split (whether the unit has several blocks) of each line of diff texts.
+
+    Each text is a unit: ``unit`` (unique; null counts as empty), or else its digest and, from the second copy on, a number.
+    """
+    lines = split_lines(F.col("_text"))
+    d = _units(texts, text_col, unit).select("unit_id", (F.size(lines) > 1 << BLOCK).alias("split"), F.posexplode(lines).alias("pos", "text"))
     return d.select("unit_id", F.shiftright("pos", BLOCK).cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), "text", "split")
 
 
@@ -121,6 +126,28 @@ def added_lines(rows: DataFrame, exclude_dirs=EXCLUDE_DIRS, exclude_files=EXCLUD
     return d.select("unit_id", "file", extension(F.col("file")).alias("ext"), "line_no", F.substring("text", 2, 1 << 30).alias("text"))
 
 
+#: Where, in a text, a file's part and a hunk begin.
+FILE_START, HUNK_START = r"(?<=\n)(?=\+\+\+ b/)", r"(?<=\n)(?=@@ )"
+
+
+def text_added_lines(texts: DataFrame, text_col: str = "text", unit: Column | None = None, exclude_dirs=EXCLUDE_DIRS, exclude_files=EXCLUDE_FILES) -> DataFrame:
+    """``added_lines`` of diff texts that are each a row; units are those of ``diff_rows``.
+
+    A text is cut into files, and these into hunks. A line's number is its hunk's start and the count of the
+    hunk's counting lines before it, which is its place among them: nothing is shuffled or sorted.
+    """
+    part, hunk = F.col("part"), F.col("hunk")
+    d = _units(texts, text_col, unit).select("unit_id", F.explode(F.split("_text", FILE_START, -1)).alias("part"))
+    d = d.where(part.startswith("+++ b/") & ~(part.contains(SKIP_FILE) & part.rlike(rf"\n\+[^\n]*{SKIP_FILE}")))
+    d = d.select("unit_id", F.regexp_extract(part, r"^\+\+\+ b/([^\n]*?)(?:\r?\n|\z)", 1).alias("file"), F.explode(F.split(part, HUNK_START, -1)).alias("hunk"))
+    d = d.where((F.col("file") != "") & ~is_excluded(F.col("file"), exclude_dirs, exclude_files))
+    start = F.when(hunk.startswith("@@ "), F.regexp_extract(hunk, r"^[^\n+]*\+(\d*)", 1).try_cast("int"))
+    counting = F.filter(split_lines(hunk), lambda x: (x.startswith("+") | x.startswith(" ")) & ~x.startswith("+++ b/"))
+    d = d.select("unit_id", "file", F.coalesce(start, F.lit(0)).cast("long").alias("start"), F.posexplode(counting).alias("pos", "text"))
+    d = d.where(F.col("text").startswith("+") & ~F.col("text").contains(ALLOW))
+    return d.select("unit_id", "file", extension(F.col("file")).alias("ext"), (F.col("start") + F.col("pos")).cast("int").alias("line_no"), F.substring("text", 2, 1 << 30).alias("text"))
+
+
 def _commit(record: Column) -> list[Column]:
     """sha, subject and text of what follows a COMMIT."""
     head = F.substring_index(record, "\n", 1)
@@ -140,7 +167,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def commit_lines(commits: DataFrame, exclude_dirs=EXCLUDE_DIRS, exclude_files=EXCLUDE_FILES) -> DataFrame:
     """Added lines of each commit (sha, subject, text); the unit is the commit, as ``commit_unit`` writes it. Commits that add nothing leave."""
-    return added_lines(diff_rows(commits, "text", commit_unit(F.col("sha"), F.col("subject"))), exclude_dirs, exclude_files)
+    return text_added_lines(commits, "text", commit_unit(F.col("sha"), F.col("subject")), exclude_dirs, exclude_files)
 
 
 def commit_unit(sha: Column, subject: Column) -> Column:
