@@ -44,7 +44,9 @@ def scan_diffs(texts: DataFrame, text_col: str = "text", settings: Settings = Se
 def scan_commits(commits: DataFrame, settings: Settings = Settings(), **more) -> DataFrame:
     """Findings of each commit (sha, subject, text), with sha and subject; a commit is a unit."""
     lines = diffs.commit_lines(commits, settings.exclude_dirs, settings.exclude_files)
-    found = detect.scan_lines(lines, settings.rules, settings.sensitive_names, **settings.entropy())
+    # a commit that names nothing sensitive binds nothing: its lines needn't meet
+    naming = diffs.commit_lines(commits.where(detect.may_bind(F.col("text"), settings.sensitive_names)), settings.exclude_dirs, settings.exclude_files)
+    found = detect.line_findings(lines, settings.rules, entropy=settings.entropy()).unionByName(detect.binding_findings(naming, settings.sensitive_names))
     sha, subject = diffs.of_unit(F.col("unit_id"))
     return _reported(found.withColumns({"sha": sha, "subject": subject, "unit_id": sha}), settings, **more)
 
