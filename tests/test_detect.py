@@ -207,3 +207,16 @@ def test_hmac(spark):
     for key in (b"k", b"x" * 100):
         got = spark.createDataFrame([("mé",), ("",)], "m string").select("m", tx.hmac_sha256(key, F.col("m")).alias("h")).collect()
         assert all(r.h == hmac.new(key, r.m.encode(), hashlib.sha256).hexdigest() for r in got)
+
+
+def test_bindings_of_whole_texts(spark):
+    from leaksieve.sources.lines import snippet_lines, snippets
+
+    value = "q7w8e9r0t1y2u3i4o5p6"
+    texts = [f'a = 1\r\napi_key = "{value}"\n', f'api__key = "{value}"', f'name = "{value}"', None, "", f'\n\nsecret = "{value}"\n# ü', f'Key = 1\nmasterKey = "{value}"']
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = lambda f: sorted(map(repr, f.collect()))
+    whole = detect.text_binding_findings(snippets(d, "text", F.col("id"), "py", F.lit("a.py")))
+    assert rows(whole) == rows(detect.binding_findings(snippet_lines(d, "text", F.col("id"), "py", F.lit("a.py"))))
+    assert {(r.unit_id, r.line_no) for r in whole.collect()} >= {("0", 2), ("1", 1), ("5", 3)}
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
