@@ -34,6 +34,9 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Row groups and pages of what is staged: texts' buffers stay small, as executors have little memory beside what they hold.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(128 << 10)}
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_copies),
@@ -48,5 +51,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"), **SMALL_GROUPS)
     return docs
