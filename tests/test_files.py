@@ -103,6 +103,22 @@ def test_audit_log_appends_verifies_and_shows_a_change(spark, findings, tmp_path
     assert audit.verify_log(spark, str(whole), b"k").first().first_broken in (3, 4)
 
 
+def test_audit_log_is_chained_range_by_range_whatever_its_names_hold(spark, findings, tmp_path, monkeypatch):
+    names = ["a\x1fb", "a\u2028b", "a\u0085\"\\", "é\U0001f511", None, "z"]
+    monkeypatch.setattr(audit, "CHUNK", 2)
+    many = findings.crossJoin(spark.createDataFrame([(n,) for n in names], "name string")).withColumn("file", F.col("name")).drop("name")
+    path = str(tmp_path / "audit")
+    for _ in range(2):
+        audit.append_log(audit.events_of(many, "t"), path, b"k")
+    found = audit.verify_log(spark, path, b"k").first()
+    assert (found.n_entries, found.first_broken) == (36, None)
+    entries = [r.asDict() for r in audit.read_log(spark, path).orderBy("line_no").collect()]
+    order = sorted(many.collect(), key=lambda r: (-r.confidence, r.file is not None, (r.file or "").encode()))
+    assert [e["file"] for e in entries] == [r.file for r in order] * 2
+    assert [{k: v for k, v in e.items() if k != "line_no"} for e in entries] == audit.append(entries, b"k")
+    assert len(list((tmp_path / "audit").glob("part-*"))) > 4
+
+
 def test_history_report_names_commits(spark):
     log = diffs.COMMIT + f"abc\0Add key\n+++ b/k.py\n@@ -0,0 +1 @@\n+k = '{KEY}'\n"
     found = api.scan_history(spark.createDataFrame([(log,)], "text string"))
