@@ -25,6 +25,9 @@ def fingerprint(file: Column, rule: Column, secret: Column, snippet: Column, nor
 
 
 def with_fingerprint(findings: DataFrame, normalize_paths: bool = False) -> DataFrame:
+    """``findings`` with their fingerprint. Those that have one keep it: so they can be staged without secret and snippet."""
+    if "fingerprint" in findings.columns:
+        return findings
     return findings.withColumn("fingerprint", fingerprint(F.col("file"), F.col("rule_id"), F.col("secret"), F.col("snippet"), normalize_paths))
 
 
