@@ -62,9 +62,15 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     ends = v.rlike(r'"\s*$') & v.rlike(_HASH)  # elements that no comma follows, less those that one precedes: all but one
     shape = lines.groupBy("file").agg(F.count_if(~known).alias("odd"), of(_OPEN).alias("opens"), of(_CLOSE).alias("closes"), of(_HASH).alias("n"), F.count_if(ends).alias("last"), F.count_if(v.rlike(r"^\s*,")).alias("led"), of("fingerprints").alias("lists"))
     fits = "odd = 0 and opens = 1 and closes = 1 and lists = 1 and (n = 0 or last = 1 and led = 0 or last = n and led = n - 1)"
-    by_line = lines.join(F.broadcast(shape.where(fits).select("file")), "file").where(v.rlike(_HASH)).select(F.regexp_extract(v, _HASH, 1).alias("fingerprint"))  # a row a document
-    rest = shape.where(f"not ({fits})").select("file")
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value").join(F.broadcast(rest), "file")
+    fitting = F.coalesce(F.expr(fits), F.lit(False)).alias("fits")
+    documents = shape.select("file", fitting).collect()  # a row a document
+    rest = [r.file for r in documents if not r.fits]
+    file = F.col("file")
+    by_line = (lines.where(~file.isin(rest)) if rest else lines).where(v.rlike(_HASH)).select(F.regexp_extract(v, _HASH, 1).alias("fingerprint"))
+    if not rest:
+        return by_line.where("fingerprint is not null").distinct()
+    # documents read by lines are passed over before this, as one may be longer than a row can be
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).where(F.col("_metadata.file_path").isin(rest)).select("value")
     parsed = whole.select(F.explode(F.from_json("value", "fingerprints array<string>")["fingerprints"]).alias("fingerprint"))
     return by_line.unionByName(parsed).where("fingerprint is not null").distinct()
 
